@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
     n = batch.num_rows
     if not n:
         return
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
     block = np.cumsum(lengths) // most
     edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), n]
     for a, b in zip(edges, edges[1:], strict=False):

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clueforge.llm import decontaminate, language_id, secret_scan
 from clueforge.llm.bpe_codec import encode_decode
+from clueforge.llm._text import training_row
 from clueforge.llm.token_counts import count_tokens
 from clueforge.session import table
 
@@ -18,6 +21,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def language_model(docs: DataFrame) -> dict:
+    """The language model of a corpus, from the labelled rows that are not held out."""
+    return language_id.train(docs.where(training_row("doc_id", 4, 2)))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    keep = {"doc_id": F.col("doc_id"), "held_out": ~training_row("doc_id", 4, 2)}
+    return language_id.predict(docs, language_model(docs), keep)
+
+
+def secret_model(docs: DataFrame) -> list[float]:
+    """The log-likelihood ratios from generated random strings and tokens of a bounded sample of texts."""
+    return secret_scan.train(secret_scan.random_samples(docs).unionByName(secret_scan.ordinary_samples(docs)))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_model(docs))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), decontaminate.build_items(table(spark, sf_dir, "benchmark")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -27,6 +55,9 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op4_secret_scan": op4_secret_scan,
+    "op6_decontaminate": op6_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
 }
