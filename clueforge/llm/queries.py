@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clueforge.llm import decontaminate, language_id, secret_scan
+from clueforge.llm import decontaminate, jaccard_join, language_id, secret_scan
 from clueforge.llm.bpe_codec import encode_decode
 from clueforge.llm._text import training_row
 from clueforge.llm.token_counts import count_tokens
@@ -50,6 +50,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op6_decontaminate": op6_decontaminate,
     "op5_token_counts": op5_token_counts,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
