@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clueforge.llm import decontaminate, jaccard_join, language_id, secret_scan
+from clueforge.llm import decontaminate, jaccard_join, language_id, lm_scoring, secret_scan
 from clueforge.llm.bpe_codec import encode_decode
 from clueforge.llm._text import training_row
 from clueforge.llm.token_counts import count_tokens
@@ -54,6 +54,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = training_row("doc_id", 7, 2)
+    return lm_scoring.score(docs, lm_scoring.train(docs.where(learn)), ~learn)
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
