@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clueforge.llm import decontaminate, jaccard_join, language_id, lm_scoring, secret_scan
+from clueforge.llm import decontaminate, jaccard_join, language_id, lm_scoring, pii_scan, secret_scan
 from clueforge.llm.bpe_codec import encode_decode
 from clueforge.llm._text import training_row
 from clueforge.llm.token_counts import count_tokens
@@ -64,6 +64,10 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan.scan(table(spark, sf_dir, "documents"), pii_scan.train(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_secret_scan": op4_secret_scan,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_pii_scan": op10_pii_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
