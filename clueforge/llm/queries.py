@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clueforge.llm import decontaminate, jaccard_join, language_id, lm_scoring, pii_scan, secret_scan
+from clueforge.llm import decontaminate, jaccard_join, language_id, lm_scoring, pii_scan, secret_scan, topk_search, warc_derive
 from clueforge.llm.bpe_codec import encode_decode
 from clueforge.llm._text import training_row
 from clueforge.llm.token_counts import count_tokens
@@ -21,6 +21,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derive.derive(warc_derive.responses_of_pages(table(spark, sf_dir, "pages")), ("page_id",))
+
+
 def language_model(docs: DataFrame) -> dict:
     """The language model of a corpus, from the labelled rows that are not held out."""
     return language_id.train(docs.where(training_row("doc_id", 4, 2)))
@@ -69,6 +77,8 @@ def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
+    "op3_warc_derive": op3_warc_derive,
     "op2_language_id": op2_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op6_decontaminate": op6_decontaminate,
@@ -79,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii_scan": op10_pii_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk_search.oracle_sql(), "op3_warc_derive": warc_derive.oracle_sql()}
