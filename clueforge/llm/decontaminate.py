@@ -10,6 +10,7 @@ occur in the items, are skipped with one vectorised test.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,9 +167,11 @@ def build_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
     return Items(items, window)
 
 
-def decontaminate(docs: DataFrame, items: Items, doc_id: str = "doc_id", text: str = "text", with_clean: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, items: Items, doc_id: str = "doc_id", text: str = "text", with_clean: bool = False, keep: tuple[str, ...] | list[str] = (), with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row, and clean_text where `with_clean`.
 
+    Columns `keep` and, where `with_text`, the text itself follow unchanged.
+
     clean_text is the text without its hit words (joined by spaces where any was
     removed). A null or empty text has no words and is not contaminated; with no
     items nothing is hit. Repeated rows are judged each; other columns are not read.
@@ -179,6 +182,9 @@ def decontaminate(docs: DataFrame, items: Items, doc_id: str = "doc_id", text: s
     schema = f"doc_id {dtype}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     if with_clean:
         schema += ", clean_text string"
+    if with_text:
+        schema += ", text string"
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -199,16 +205,19 @@ def decontaminate(docs: DataFrame, items: Items, doc_id: str = "doc_id", text: s
                         texts[i] = _without(texts[i], hit[counts[i] : counts[i + 1]])
                     arrays.append(pa.array(texts, pa.string()))
                     names.append("clean_text")
+                if with_text:
+                    arrays.append(part.column(1))
+                    names.append("text")
+                arrays += part.columns[2:]
+                names += keep
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep)
     return rows.mapInArrow(judged, schema)
 
 
 def _without(text: str, hit: np.ndarray) -> str:
     """The text without its hit words and the separators between them."""
-    import re
-
     out, at, previous = [], 0, False
     for word, gone in zip(re.finditer("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text), hit.tolist(), strict=True):
         if gone:

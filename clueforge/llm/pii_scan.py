@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clueforge.llm._spans import digits, joined, luhn, spans
+from clueforge.llm._spans import digits, joined, luhn, redacted, spans
 
 #: The base patterns. Possessive forms and look-behinds only keep long texts linear.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -223,7 +223,7 @@ def scan(docs: DataFrame, model: Boosted, doc_id: str = "doc_id", text: str = "t
     found = found.withColumn("free", free)
     added = F.transform(F.filter("free", lambda x: ~F.exists("free", lambda o: meets(o["span"], x["span"]) & before(o, x))), lambda x: x["span"])
     found = found.withColumn("added", F.coalesce(added, F.slice("known", 1, 0)))
-    out = found.select(
+    return found.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]],
         F.size("added").cast("long").alias("n_model"),
@@ -231,17 +231,3 @@ def scan(docs: DataFrame, model: Boosted, doc_id: str = "doc_id", text: str = "t
         joined(F.concat("known", "added")).alias("spans"),
         *([redacted(F.col("text"), F.concat("known", "added")).alias("redacted")] if with_redacted else []),
     )
-    return out
-
-
-def redacted(text: Column, found: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; overlapping spans by the first."""
-    cut = F.aggregate(
-        F.array_sort(found),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))).alias("out"),
-        ),
-    )
-    return F.concat(cut["out"], F.substring(text, cut["at"] + 1, F.length(text)))
