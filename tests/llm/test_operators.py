@@ -1,0 +1,258 @@
+"""The other operators against brute force, round trips, held-out accuracy and DuckDB."""
+
+import collections
+import math
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from clueforge.llm import bpe_codec, decontaminate, jaccard_join, language_id, lm_scoring, topk_search, warc_derive
+from clueforge.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
+from clueforge.llm.token_counts import count_tokens
+
+ODD = [None, "", " ", "\n\t ", "a", "A b", "a b c", "é", "😀" * 50, "word " * 3_000, "x" * 50_000, "the same text twice over", "the same text twice over"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows, with extra columns whose names clash with those of results."""
+    return spark.createDataFrame([(i, t, "en" if i % 2 else None, 1.0, i) for i, t in enumerate(ODD)], "doc_id long, text string, lang string, score double, n_tokens int")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def spaced(text):
+    return re.findall("[^\x20\x09-\x0d]+", lower(text))
+
+
+def test_token_counts(spark, odd, empty):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "tab\t\t x", "don't  we'll", "日本語 テキスト", "͸\U00018e00's"]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    for r in count_tokens(docs, path).join(docs, "doc_id").collect():
+        text = r.text or ""
+        n = len(lib.encode(text, add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 1024)
+    assert count_tokens(empty, path).count() == 0
+
+
+def test_bpe_codec(spark, odd, empty):
+    import tiktoken
+
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    lib = tiktoken.Encoding("own", pat_str=bpe_codec.pre_tokens.__globals__["PATTERN"], mergeable_ranks=bpe_codec.read_ranks(path), special_tokens={})
+    for r in bpe_codec.encode_decode(odd, path, with_ids=True).join(odd.select("doc_id", "text"), "doc_id").collect():
+        assert r.ids == lib.encode_ordinary(r.text or "") and r.n_tokens == len(r.ids)
+        assert r.decoded == (r.text or "")
+    assert bpe_codec.encode_decode(empty, path).count() == 0
+
+
+def test_language(spark, sf, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.97
+    assert all(0 <= r.score <= 1 for r in found)
+    model = language_id.train(docs)
+    rows = {r.doc_id: r for r in language_id.predict(odd, model, {"doc_id": F.col("doc_id")}).collect()}
+    assert [rows[i].lang_pred for i in range(4)] == ["und"] * 4 and rows[4].lang_pred != "und" and len(rows) == len(ODD)
+    untrained = language_id.train(empty)
+    assert {r.lang_pred for r in language_id.predict(odd, untrained, {"doc_id": F.col("doc_id")}).collect()} == {"und"}
+    assert language_id.predict(empty, model, {"doc_id": F.col("doc_id")}).count() == 0
+
+
+def brute_hits(items, text):
+    windows = collections.defaultdict(set)
+    take = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
+    for name, body in items:
+        words = take(body)
+        k = min(13, len(words))
+        for j in range(len(words) - k + 1 if k else 0):
+            windows[tuple(words[j : j + k])].add(name)
+    words = take(text)
+    hit, found = [False] * len(words), set()
+    for k in {len(w) for w in windows}:
+        for j in range(len(words) - k + 1):
+            if names := windows.get(tuple(words[j : j + k])):
+                found |= names
+                hit[j : j + k] = [True] * k
+    return len(words), sum(hit), len(found)
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_decontaminate(spark, odd, empty, short):
+    benchmark = [("i1", " ".join(f"w{i}" for i in range(30))), ("i2", " ".join(f"w{i}" for i in range(10, 25))), ("i3", ""), ("i4", None)] + ([("i5", "w3 W4")] if short else [])
+    rows = [(100, " ".join(f"w{i}" for i in range(5, 40))), (101, "x " * 300 + " ".join(f"W{i}" for i in range(13))), (102, "w3 w4 x w3"), (103, " ".join(f"w{i}" for i in range(12)))]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    items = decontaminate.build_items(spark.createDataFrame(benchmark, "item_id string, text string"))
+    for r in decontaminate.decontaminate(docs, items, with_clean=True).join(docs, "doc_id").collect():
+        n, hit, found = brute_hits(benchmark, r.text)
+        assert (r.n_words, r.n_hit, r.n_items) == (n, hit, found)
+        assert r.contaminated == (hit > 0 and 20 * hit >= n)
+        if not hit:
+            assert r.clean_text == r.text
+    assert decontaminate.decontaminate(empty, items).count() == 0
+    none = decontaminate.build_items(spark.createDataFrame([], "item_id string, text string"))
+    assert decontaminate.decontaminate(docs, none).where("n_hit > 0").count() == 0
+
+
+def brute_components(rows):
+    sets = {}
+    for d, t in rows:
+        w = spaced(t)
+        sets[d] = frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    order = sorted(sets)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            common = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * common >= 90 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+@pytest.mark.parametrize(("block", "one_task"), [(96, 1_000_000), (4, 0)])
+def test_jaccard_components(spark, empty, block, one_task, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "ONE_TASK", one_task)
+    r = np.random.default_rng(3)
+    rows = list(enumerate(ODD))
+    for family in range(6):
+        words = [f"v{x}" for x in r.integers(0, 400, int(r.integers(4, 120)))]
+        for copy in range(14):
+            own = list(words)
+            for _ in range(int(r.integers(0, 5))):
+                own[int(r.integers(0, len(own)))] = f"n{int(r.integers(0, 50))}"
+            rows.append((1000 + 100 * family + copy, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == brute_components(rows)
+    assert jaccard_join.jaccard_components(empty).count() == 0
+
+
+def test_lm_scoring(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(odd.select(F.col("doc_id") + 10_000, "text"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
+    words = {d: [*spaced(t), None] for d, t in rows}
+    counts = collections.Counter(w for d in words if not held[d] for w in words[d])
+    total, distinct = sum(counts.values()), len(counts)
+    learn = lm_scoring.F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
+    model = lm_scoring.train(docs.where(learn))
+    got = lm_scoring.score(docs, model, ~learn).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in words[r.doc_id])
+        assert r.held_out == held[r.doc_id] and r.train_tokens == total and r.n_tokens == len(words[r.doc_id])
+        assert r.n_known == sum(counts[w] > 0 for w in words[r.doc_id]) and r.base_score == pytest.approx(want)
+        assert r.score < 0 and math.isfinite(r.score)
+    assert lm_scoring.score(empty, model, F.lit(False)).count() == 0
+    blank = lm_scoring.train(empty)
+    assert lm_scoring.score(odd, blank, F.lit(True)).where("n_known > 0").count() == 0
+
+
+def test_attention_gradients_and_causality():
+    r = np.random.default_rng(0)
+    model = lm_scoring.Attention(np.ones(lm_scoring.CLASSES))
+    ids = r.integers(3, 20, 200).astype(np.int32)
+    inputs, targets, _ = lm_scoring.windows(ids, np.array([0, 70, 70, 200]))
+    assert (targets >= 0).sum() == 200
+    gradients, n = model.gradients(inputs, targets), (targets >= 0).sum()
+    for name in model.NAMES:
+        value = getattr(model, name)
+        at = np.unravel_index(np.abs(gradients[name]).argmax(), value.shape)
+        old, losses = value[at], []
+        for step in (1e-2, -1e-2):
+            value[at] = old + step
+            losses.append(-model.log_probs(inputs, targets).sum() / n)
+        value[at] = old
+        assert gradients[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-2, rel=0.05, abs=1e-4)
+    later = inputs.copy()
+    later[:, -1] = 5
+    assert np.allclose(model.log_probs(inputs, targets)[:, :-1], model.log_probs(later, targets)[:, :-1])
+    before = model.log_probs(inputs, targets).sum()
+    assert model.fit(inputs, targets, steps=60).log_probs(inputs, targets).sum() > before
+
+
+def test_top_k(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in r.normal(0, 0.5 + (i % 3), 8)]) for i in range(300)]
+    rows += [(300, None), (301, []), (302, [float("nan")] * 8), (303, [None] * 8), (304, [float("inf")] * 8), (None, [1.0] * 8), (7, rows[7][1]), (305, rows[3][1]), (306, [1.0, 2.0])]
+    vectors = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")
+    valid = [(i, np.floor(256 * np.array([*v, *[0] * (8 - len(v))], np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    got = collections.defaultdict(list)
+    for x in topk_search.top_k(vectors, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    for q, v in valid:
+        if q % 10 == 0:
+            assert got[q] == [(d, s) for s, d in sorted(((int(v @ w), d) for d, w in valid if d != q), key=lambda p: (-p[0], p[1]))[:5]]
+    assert topk_search.top_k(vectors.limit(0), F.lit(True)).count() == 0
+    assert topk_search.top_k(vectors.where("vec_id < 3"), F.lit(True)).count() == 6
+
+
+def test_warc(spark, tmp_path):
+    raw = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a/\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<title>T</title><p>one &amp; two</p><script>x</script><p>three"
+    (tmp_path / "a.warc").write_bytes(raw % (len(http), http))
+    responses = warc_derive.read_responses(spark, str(tmp_path / "a.warc"))
+    got = {r.record_type: r for r in warc_derive.derive(responses).collect()}
+    assert got["conversion"].block == "T\none & two\nthree" and got["conversion"].refers_to == "<urn:uuid:1>"
+    assert got["metadata"].block.startswith("title: T\r\n") and got["metadata"].payload_digest == got["conversion"].payload_digest
+    warc_derive.write_records(warc_derive.derive(responses), str(tmp_path / "out"))
+    import gzip
+
+    data = b"".join(gzip.decompress(r.record) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    parsed = list(warc_derive._parsed(data))
+    assert [h["warc-type"] for h, _ in parsed] == ["metadata", "conversion"] and parsed[1][1].decode() == got["conversion"].block
+    nulls = spark.createDataFrame([(1, None, None), (2, "u", "")], "page_id long, url string, html string")
+    assert warc_derive.derive(warc_derive.responses_of_pages(nulls), ("page_id",)).where("block is null or record_id is null").count() == 0
+    assert warc_derive.derive(warc_derive.responses_of_pages(nulls.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_oracle(spark, sf, name):
+    db = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    found = QUERIES[name](spark, sf)
+    cols = sorted(found.columns)
+    want = db.sql(ORACLE_SQL[name])
+    assert sorted(map(tuple, found.select(cols).collect())) == sorted(want.select(*cols).fetchall())
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+    from clueforge.llm.queries import op6_decontaminate, op7_jaccard_join
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    kept = {d for d, t in docs.items() if t and re.search(r"[^\W\d_]", t)}
+    first = {r.doc_id for r in op7_jaccard_join(spark, sf).collect() if r.doc_id == r.component_id}
+    clean = {r.doc_id for r in op6_decontaminate(spark, sf).collect() if not r.contaminated}
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert set(got) == kept & first & clean
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "benchmark_free", "secret_free", "tokens"]
+    codec = bpe_codec.Codec(bpe_codec.read_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken")))
+    changed = [d for d, r in got.items() if codec.decode(r.ids).decode() != docs[d]]
+    assert changed and all("[assign]" in codec.decode(got[d].ids).decode() or "[" in codec.decode(got[d].ids).decode() for d in changed)
+    assert len(changed) < 40
