@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 ZERO_WIDTH = "[​-‏﻿]"
 #: Characters that compatibility normalisation leaves as they are in composed texts.
@@ -65,7 +66,11 @@ def overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.least(F.size(a), F.size(b)).cast("double")), F.lit(0.0))
 
 
-@F.pandas_udf("visible long, signal long, broken long, top long, entropy double")
+#: The type of character statistics; an object, since a text needs a session to be parsed.
+STATS = StructType([StructField(n, LongType()) for n in ("visible", "signal", "broken", "top")] + [StructField("entropy", DoubleType())])
+
+
+@F.pandas_udf(STATS)
 def char_stats(texts: pd.Series) -> pd.DataFrame:
     """Counts of visible, letter-or-digit, replacement and commonest characters, and the entropy of the visible ones."""
     out = []
@@ -183,6 +188,6 @@ def phrase_hours(query: Column) -> Column:
     return F.when(F.lower(query).rlike(r"last [0-9]+ days?"), n * 24).when(F.lower(query).rlike(r"last [0-9]+ hours?"), n).when(F.lower(query).contains("today"), 24)
 
 
-def register_all(spark) -> None:  # noqa: ANN001
+def register_all(spark: SparkSession) -> None:
     """Publish the vectorised functions to SQL."""
     spark.udf.register("char_stats", char_stats)

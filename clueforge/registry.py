@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from clueforge.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -34,6 +31,9 @@ def oracle_sql() -> dict[str, str]:
     return _ORACLE
 
 
-@register("clean_summary", "SELECT source, count(*) AS n FROM documents GROUP BY source")
-def clean_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+def _load() -> None:
+    """Import the modules that register queries."""
+    from clueforge.plans import graph_queries, record_queries, relational_queries  # noqa: F401
+
+
+_load()
