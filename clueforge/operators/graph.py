@@ -29,11 +29,15 @@ def extract(records: DataFrame) -> DataFrame:
 
     Rows without any entity are dropped by one alternation before arrays are built.
     """
+
+    def typed(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("clean_text", F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("entity_value")))
+
     any_of = "|".join(f"(?:{p})" for p in PATTERNS.values())
     found = records.where(F.col("clean_text").rlike(any_of)).select(
         "trace_id",
         "source_name",
-        F.explode(F.flatten(F.array(*[F.transform(F.regexp_extract_all("clean_text", F.lit(p), F.lit(0)), lambda v, k=k: F.struct(F.lit(k).alias("entity_type"), v.alias("entity_value"))) for k, p in PATTERNS.items()]))).alias("e"),
+        F.explode(F.flatten(F.array(*[typed(k, p) for k, p in PATTERNS.items()]))).alias("e"),
     )
     rows = found.select("trace_id", "source_name", "e.*").withColumn("normalized", normalize_entity(F.col("entity_type"), F.col("entity_value")))
     rows = rows.groupBy("trace_id", "source_name", "entity_type", "normalized").agg(F.min("entity_value").alias("entity_value"), F.count("*").alias("n"))

@@ -113,7 +113,7 @@ def _(t):
     return t("events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
 
 
-@_q("agg_shared_contact_48h", "WITH w AS (SELECT user_id, (epoch(ts) // 172800)::BIGINT AS slot, count(*) AS n, count(DISTINCT event_type) AS types, max(epoch(ts)) - min(epoch(ts)) AS span FROM events GROUP BY 1, 2) SELECT user_id, slot, n, types FROM w WHERE n >= 2 AND types >= 2 AND span <= 172800")
+@_q("agg_shared_contact_48h", "WITH w AS (SELECT user_id, floor(epoch(ts) / 172800)::BIGINT AS slot, count(*) AS n, count(DISTINCT event_type) AS types, max(epoch(ts)) - min(epoch(ts)) AS span FROM events GROUP BY 1, 2) SELECT user_id, slot, n, types FROM w WHERE n >= 2 AND types >= 2 AND span <= 172800")
 def _(t):
     e = t("events").select("user_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("s"))
     w = e.groupBy("user_id", F.floor(F.col("s") / 172800).alias("slot")).agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("types"), (F.max("s") - F.min("s")).alias("span"))
