@@ -15,7 +15,8 @@ _BUCKET = "(floor(epoch(ts) / {size}) * {size})::BIGINT"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.event_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    # A pattern, since a stream takes a plain path for a folder of files.
+    return S.event_stream(spark, f"{sf_dir.rstrip('/')}/events.parque[t]")
 
 
 def _name() -> str:

@@ -15,7 +15,7 @@ def docs(spark, *rows):
 
 
 def test_drop_reasons(spark):
-    rows = docs(spark, (None, "a"), ("  ​ ", "a"), ("!!! ???", "a"), ("aaaaaaaaaa", "a"), ("MIT license text for you", None), ("plain words about nothing at all", ""), ("no", "a"))
+    rows = docs(spark, (None, "a"), ("  ​ ", "a"), ("!!! ???", "a"), ("aaaaaaaaaaaaaaaa", "a"), ("MIT license text for you", None), ("plain words about nothing at all", ""), ("no", "a"))
     got = {r.trace_id: r for r in R.clean(rows, FIXTURE).collect()}
     assert [got[i].drop_reason for i in range(7)] == ["empty_text", "empty_text", "blank_or_garbled", "low_information_entropy", "defensive_context_noise", None, "low_signal_short_text"]
     assert got[4].source_name == "unknown" and got[5].source_name == "unknown"
