@@ -80,7 +80,7 @@ def _(t):
     return P.parse_queries(q).select("conv_id", "turn", "hours", "cross_source", "confidence")
 
 
-@_q("dom_budget", "SELECT doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS spent, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) <= 40000 AS granted FROM documents")
+@_q("dom_budget", "SELECT doc_id, (sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS spent, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) <= 40000 AS granted FROM documents")
 def _(t):
     running = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     return t("documents").select("doc_id", running.alias("spent"), (running <= 40000).alias("granted"))

@@ -98,7 +98,7 @@ def _(t):
     return t("documents").groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count("*").alias("n"))
 
 
-@_q("agg_rollup", "SELECT lang, source, sum(n_chars) AS chars FROM documents GROUP BY ROLLUP (lang, source)")
+@_q("agg_rollup", "SELECT lang, source, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang, source)")
 def _(t):
     return t("documents").rollup("lang", "source").agg(F.sum("n_chars").alias("chars"))
 
@@ -207,7 +207,7 @@ def _(t):
     return e.select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("s").rangeBetween(-172800, 0)).alias("recent"))
 
 
-@_q("win_rank_ntile", "SELECT c_custkey, rank() OVER w AS place, dense_rank() OVER w AS dense, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS quarter FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC)")
+@_q("win_rank_ntile", "SELECT c_custkey, (rank() OVER w)::INT AS place, (dense_rank() OVER w)::INT AS dense, (ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey))::INT AS quarter FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC)")
 def _(t):
     w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"))
     return t("customer").select("c_custkey", F.rank().over(w).alias("place"), F.dense_rank().over(w).alias("dense"), F.ntile(4).over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")).alias("quarter"))
@@ -298,7 +298,7 @@ def _(t):
     return t("pages").select("page_id", T.domain_of(F.col("url")).alias("domain"))
 
 
-@_q("fn_json_props", "SELECT event_type, sum((props->>'$.k')::BIGINT) AS k FROM events GROUP BY 1")
+@_q("fn_json_props", "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY 1")
 def _(t):
     return t("events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
 
