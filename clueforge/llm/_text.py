@@ -132,11 +132,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, most
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + most, "right")))
         lo, hi = int(starts[a]), int(ends[b - 1])
         if hi - lo > 4 * most:  # one very long word
-            value = np.uint64(0)
+            value = 0
             for i in range(lo, hi, most):
                 part = _BYTE[data[i : min(hi, i + most)]]
-                value = value * np.uint64(pow(_BASE, len(part), 1 << 64)) + (part * _powers(_BASE, len(part))[::-1]).sum(dtype=np.uint64)
-            hashes[a] = value
+                value = value * pow(_BASE, len(part), 1 << 64) + int((part * _powers(_BASE, len(part))[::-1]).sum(dtype=np.uint64))
+            hashes[a] = np.uint64(value & (1 << 64) - 1)
         else:
             run = np.zeros(hi - lo + 1, np.uint64)
             np.cumsum(_BYTE[data[lo:hi]] * _powers(_BASE_INVERSE, hi - lo), out=run[1:])

@@ -256,3 +256,15 @@ def test_pipeline(spark):
     changed = [d for d, r in got.items() if codec.decode(r.ids).decode() != docs[d]]
     assert changed and all("[assign]" in codec.decode(got[d].ids).decode() or "[" in codec.decode(got[d].ids).decode() for d in changed)
     assert len(changed) < 40
+
+
+def test_word_hashes_do_not_depend_on_slices():
+    import pyarrow as pa
+
+    from clueforge.llm._text import utf8, word_hashes
+
+    data, offsets = utf8(pa.array(["hello world " + "x" * 50 + "Yz é foo", "", "a" * 33 + " b", "FOO"]))
+    whole, counts = word_hashes(data, offsets, jaccard_join.IS_WORD)
+    cut, same = word_hashes(data, offsets, jaccard_join.IS_WORD, most=8)
+    assert (whole == cut).all() and (counts == same).all()
+    assert whole[4] == whole[-1] or whole[3] == whole[-1]
