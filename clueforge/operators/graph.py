@@ -57,17 +57,21 @@ def assets(entities: DataFrame) -> DataFrame:
     return entities.groupBy("entity_id", "entity_type", "masked").agg(F.countDistinct("entity_value").alias("n_aliases"), F.min("trace_id").alias("first_trace"), F.max("trace_id").alias("last_trace"), F.countDistinct("trace_id").alias("n_traces"), F.countDistinct("source_name").alias("n_sources"))
 
 
-def cooccurrence(entities: DataFrame, most: int = 50) -> DataFrame:
+def cooccurrence(entities: DataFrame, block: int = 64) -> DataFrame:
     """Relations between entities of one record: (src, dst, n_traces, confidence), src < dst.
 
-    Pairs stay within a record's distinct entities. Of a record with more than
-    `most` entities each is related to the record's first one only, so pairs grow
-    with its length and not with its square.
+    All pairs of a record's distinct entities count. Its sorted entities are cut
+    in blocks, and each pair of blocks is a row of its own that is dealt out by
+    its key, so no row holds more than the pairs of two blocks and a record with
+    very many entities spreads over the tasks.
     """
-    per = entities.groupBy("trace_id").agg(F.array_sort(F.collect_set("entity_id")).alias("ids"))
-    pairs = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
-    star = F.transform(F.slice("ids", 2, F.size("ids")), lambda b: F.struct(F.element_at("ids", 1).alias("src"), b.alias("dst")))
-    rows = per.where(F.size("ids") > 1).select("trace_id", F.explode(F.when(F.size("ids") <= most, pairs).otherwise(star)).alias("p"))
+    per = entities.groupBy("trace_id").agg(F.array_sort(F.collect_set("entity_id")).alias("ids")).where(F.size("ids") > 1)
+    last = F.floor((F.size("ids") - 1) / block).cast("int")
+    cut = lambda i: F.slice("ids", i * block + 1, block)
+    firsts = per.select("trace_id", "ids", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    blocks = firsts.select("trace_id", "i", cut(F.col("i")).alias("left"), F.posexplode(F.transform(F.sequence(F.col("i"), last), cut)).alias("j", "right"))
+    pairs = F.flatten(F.transform("left", lambda a: F.transform(F.filter("right", lambda b: b > a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
+    rows = blocks.repartition("trace_id", "i", "j").select("trace_id", F.explode(pairs).alias("p"))
     return rows.groupBy("p.src", "p.dst").agg(F.countDistinct("trace_id").alias("n_traces"), F.lit(0.72).alias("confidence"))
 
 

@@ -65,6 +65,21 @@ def test_neighborhood(spark):
     assert {r.entity_id: r.hops for r in G.neighborhood(edges, start, 2).collect()} == {"a": 0, "b": 1, "c": 2}
 
 
+def test_cooccurrence_keeps_every_pair_of_large_records(spark):
+    rows = [(1, f"e{i:04d}") for i in range(201)] + [(2, f"e{i:04d}") for i in range(64)] + [(3, "e0000"), (3, "e0000"), (4, "e0001"), (4, "e0200")]
+    got = {(r.src, r.dst): r.n_traces for r in G.cooccurrence(spark.createDataFrame(rows, "trace_id long, entity_id string")).collect()}
+    held = {}
+    for trace, entity in rows:
+        held.setdefault(trace, set()).add(entity)
+    want = {}
+    for names in held.values():
+        for a in names:
+            for b in names:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert got == want and len(got) == 201 * 100
+
+
 def test_latest_and_quota(spark):
     rows = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, None)], "k long, o long, v string")
     assert sorted((r.k, r.v) for r in O.latest(rows, "k", ["o"]).collect()) == [(1, "y"), (2, None)]
