@@ -44,8 +44,8 @@ def st_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("st_dedup", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def st_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.drain(S.deduplicated(_events(spark, sf_dir)).select("event_id", "event_type"), _name(), "append")
-    return out.groupBy("event_type").agg(F.count("*").alias("n"))
+    out = S.drain(S.deduplicated(_events(spark, sf_dir), keys=("event_id", "event_type")).select("event_id", "event_type"), _name(), "append")
+    return out.groupBy("event_type").agg(F.count("event_id").alias("n"))
 
 
 @register("st_static_join", "SELECT c_mktsegment, count(*) AS n FROM events LEFT JOIN customer ON c_custkey = user_id GROUP BY 1")

@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """The event files under `path` as a stream, `files` a micro-batch; times become instants in UTC."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """The event files under `path` as a stream; times become instants in UTC.
+
+    All files there are make one micro-batch, so no row is late and results don't
+    depend on how a table is cut into files; `files` limits those of a batch.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, late: str = "2 days", size: str = "1 day") -> DataFrame:
@@ -28,8 +34,11 @@ def sessions(events: DataFrame, late: str = "2 days", gap: str = "6 hours") -> D
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def deduplicated(events: DataFrame, late: str = "2 days") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def deduplicated(events: DataFrame, late: str | None = None, keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """One row of each key. With `late` the state is bounded, and rows that come later than that are lost."""
+    if late is None:
+        return events.dropDuplicates(list(keys))
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def enriched(events: DataFrame, static: DataFrame, key: str) -> DataFrame:
@@ -44,15 +53,17 @@ STATE = "types array<string>, times array<double>"
 def corroborated(events: DataFrame, hours: int = 48) -> DataFrame:
     """For each user and batch how many events follow one of another type within `hours`.
 
-    The state of a user is the last time of each type, so it does not grow with the stream.
+    The state of a user is the last time of each type, so it does not grow with
+    the stream. Within a batch events may come in any order; one that comes in a
+    batch after a later event finds only what its state still holds.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last: dict[str, float] = dict(zip(*state.get, strict=True)) if state.exists else {}
         n = 0
         for row in pd.concat(list(batches)).sort_values(["s", "event_id"]).itertuples():
-            n += any(t != row.event_type and row.s - at <= hours * 3600 for t, at in last.items())
-            last[row.event_type] = row.s
+            n += any(t != row.event_type and 0 <= row.s - at <= hours * 3600 for t, at in last.items())
+            last[row.event_type] = max(row.s, last.get(row.event_type, row.s))
         state.update((list(last), list(last.values())))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
 

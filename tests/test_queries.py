@@ -1,6 +1,7 @@
 """Every registered query with SQL against DuckDB on the smallest tables, and the others for rows."""
 
 import decimal
+import os
 
 import duckdb
 import pytest
@@ -41,6 +42,23 @@ def test_query_runs(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() >= 0
 
 
+@pytest.mark.parametrize("name", ["st_dedup", "st_48h"])
+def test_stream_of_files_out_of_time_order(spark, sf, tmp_path, name):
+    events = tmp_path / "events.parquet"
+    events.mkdir()
+    connection = duckdb.connect()
+    connection.execute(f"CREATE TABLE late AS SELECT *, row_number() OVER (ORDER BY ts DESC) AS place FROM '{sf}/events.parquet'")
+    n = connection.execute("SELECT count(*) FROM late").fetchall()[0][0]
+    for i in range(5):
+        connection.execute(f"COPY (SELECT * EXCLUDE (place) FROM late WHERE place * 5 // {n + 1} = {i} ORDER BY place) TO '{events}/part-{i}.parquet'")
+        os.utime(events / f"part-{i}.parquet", (1_700_000_000 + 60 * i,) * 2)
+    found = registry.queries()[name](spark, str(tmp_path))
+    connection.execute(f"CREATE VIEW events AS SELECT * FROM '{events}/*.parquet'")
+    answer = connection.execute(registry.oracle_sql()[name])
+    cols = [d[0] for d in answer.description]
+    assert sorted(map(tuple, found.select(cols).collect())) == sorted(answer.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
