@@ -171,6 +171,15 @@ def test_lm_scoring(spark, odd, empty):
     assert lm_scoring.score(odd, blank, F.lit(True)).where("n_known > 0").count() == 0
 
 
+def test_lm_learns_from_all_training_rows(spark):
+    texts = ["aa bb cc dd"] * 700 + ["kk ll mm nn oo pp " * 2_000] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    model = lm_scoring.train(docs)
+    probe = spark.createDataFrame([(1, "kk ll mm nn oo pp " * 20)], "doc_id long, text string")
+    got = lm_scoring.score(probe, model, F.lit(True)).collect()[0]
+    assert got.score / got.n_tokens > -0.2
+
+
 def test_attention_gradients_and_causality():
     r = np.random.default_rng(0)
     model = lm_scoring.Attention(np.ones(lm_scoring.CLASSES))
