@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from clueforge.functions import text as T
 from clueforge.operators import graph as G
+from clueforge.operators import matching as M
 from clueforge.operators import records as R
 from clueforge.operators import relational as O
 from clueforge.rules import FIXTURE
@@ -80,6 +81,34 @@ def test_cooccurrence_keeps_every_pair_of_large_records(spark):
     assert got == want and len(got) == 201 * 100
 
 
+def test_similar_pairs_are_those_of_brute_force(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(5)
+    texts = []
+    for size in (4, 9, 30, 60, 100, 150, 260, 400):
+        for _ in range(4):
+            base = "".join(r.choice("abcdefghijklmnopqrst") for _ in range(size))
+            texts += [base, base[size // 5 :], "z" + base[: size * 7 // 10]]
+            for share in (0.02, 0.05, 0.09, 0.15):
+                texts.append("".join(r.choice("uvwxyz") if r.random() < share else c for c in base))
+    rows = list(enumerate(dict.fromkeys(texts)))
+    grams = {t: {t[i : i + 3] for i in range(len(t) - 2)} if len(t) > 3 else {t} for _, t in rows}
+    for least in (M.NEAR, M.TEMPLATE):
+        want = set()
+        for a, s in rows:
+            for b, t in rows[a + 1 :]:
+                if min(len(s), len(t)) / max(len(s), len(t)) >= 0.6:
+                    score = len(grams[s] & grams[t]) / min(len(grams[s]), len(grams[t]))
+                    if max(len(s), len(t)) <= 160:
+                        score = max(score, SequenceMatcher(None, t, s, autojunk=False).ratio())
+                    if round(score, 4) >= least:
+                        want.add((a, b))
+        got = M.similar_pairs(spark.createDataFrame(rows, "trace_id long, canonical string"), least).collect()
+        assert {(x.a, x.b) for x in got} == want and len(got) == len(want)
+
+
 def test_latest_and_quota(spark):
     rows = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, None)], "k long, o long, v string")
     assert sorted((r.k, r.v) for r in O.latest(rows, "k", ["o"]).collect()) == [(1, "y"), (2, None)]
