@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clueforge.llm._spans import digits, joined, luhn, redacted, spans
+from clueforge.llm._spans import SPAN, apart, bound, digits, joined, luhn, redacted, scan as walk, spans
 
 #: The base patterns. Possessive forms and look-behinds only keep long texts linear.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -34,7 +34,7 @@ GENERATORS = {
 }
 KINDS = ("email", "ip", "card", "phone", *GENERATORS)
 
-#: Characters of context, words that speak for each sort of personal data, and words that speak against.
+#: Characters of context (since the candidate of the same kind before), words that speak for each sort of personal data, and words that speak against.
 CONTEXT = 24
 CUES = (
     r"(?i)\b(e-?mail|mail|correo|courriel)\b",
@@ -48,10 +48,9 @@ CUES = (
 SAMPLE, TREES, RATE, PRECISION = 1_200, 24, 0.3, 0.95
 
 
-def features(text: Column, span: Column) -> Column:
+def features(span: Column) -> Column:
     """Numbers about a span's format and context, in a fixed order."""
-    value, number = span["value"], digits(span["value"])
-    before = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
+    value, number, before = span["value"], digits(span["value"]), span["part"]
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     count = lambda pattern: (F.length(value) - F.length(F.regexp_replace(value, pattern, ""))).cast("double")
     return F.array(
@@ -79,7 +78,7 @@ def base_spans(text: Column) -> list[Column]:
 
 def candidates(text: Column) -> Column:
     """The spans of all generators."""
-    return F.concat(*[spans(text, p, k, 4 + i) for i, (k, p) in enumerate(GENERATORS.items())])
+    return F.concat(*[spans(text, p, k, 4 + i, context=CONTEXT) for i, (k, p) in enumerate(GENERATORS.items())])
 
 
 def labelled_sample(n: int = SAMPLE, seed: int = 5) -> list[tuple[int, str, int, int]]:
@@ -194,17 +193,30 @@ def train(spark: SparkSession, sample: list[tuple[int, str, int, int]] | None =
     # A candidate is right if it shares over half of both spans.
     shared = F.greatest(F.least(F.col("c.stop"), F.col("stop")) - F.greatest(F.col("c.start"), F.col("start")), F.lit(0))
     right = (F.col("start") >= 0) & (shared * 2 > F.col("c.stop") - F.col("c.start")) & (shared * 2 > F.col("stop") - F.col("start"))
-    got = found.select("id", F.col("c.kind").alias("kind"), F.col("c.start").alias("at"), right.cast("int").alias("y"), features(F.col("text"), F.col("c")).alias("f")).collect()
+    got = found.select("id", F.col("c.kind").alias("kind"), F.col("c.start").alias("at"), right.cast("int").alias("y"), features(F.col("c")).alias("f")).collect()
     got.sort(key=lambda r: (r["id"], r["kind"], r["at"]))
     return Boosted().fit(np.array([r["f"] for r in got], float), np.array([r["y"] for r in got], float), [r["kind"] for r in got])
 
 
+def _best_of_overlaps(likely: Column) -> Column:
+    """From scored candidates, those that stay, from left to right: of two that overlap, the more probable, then the longer, then the earlier."""
+    kind = f"struct<start:int,span:{SPAN},p:double>"
+    end = F.struct(F.lit(2**31 - 1).alias("start"), F.expr(f"cast(null as {SPAN})").alias("span"), F.lit(0.0).alias("p"))
+    length = lambda x: x["span"]["stop"] - x["span"]["start"]
+    apart_from = lambda held, x: held.isNull() | (x["start"] >= held["span"]["stop"])
+    better = lambda held, x: (x["p"] > held["p"]) | ((x["p"] == held["p"]) & (length(x) > length(held)))
+    advance = lambda held, x: F.when(apart_from(held, x) | better(held, x), x).otherwise(held)
+    emit = lambda held, x: F.when(apart_from(held, x), held["span"])
+    stays = walk(F.concat(F.array_sort(likely), F.array(end)), F.expr(f"cast(null as {kind})"), advance, emit, SPAN)
+    return F.filter(stays, lambda s: s.isNotNull())
+
+
 def scan(docs: DataFrame, model: Boosted, doc_id: str = "doc_id", text: str = "text", with_redacted: bool = False) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_model, base_sha256, spans of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, n_model, n_spans, base_sha256, spans of every row.
 
     `spans` has the base spans and the model's: candidates over their kind's
-    threshold that overlap no base span and no candidate of higher probability
-    (ties: the earlier, then the longer stays). `redacted`, where asked for, has
+    threshold that overlap no base span; where those overlap each other, the more
+    probable stays, from left to right (ties: the longer, then the earlier). `redacted`, where asked for, has
     the text with its spans replaced by their kinds. Null texts count as empty:
     no spans, digest of the empty string. Repeated rows are scanned each; other
     columns are not read.
@@ -212,21 +224,16 @@ def scan(docs: DataFrame, model: Boosted, doc_id: str = "doc_id", text: str = "t
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), *[c.alias(k) for k, c in zip(KINDS, base_spans(body), strict=False)], candidates(body).alias("proposed"))
     limits = F.create_map(*[x for k, t in {**dict.fromkeys(GENERATORS, 2.0), **model.thresholds}.items() for x in (F.lit(k), F.lit(t))])
-    scored = F.transform("proposed", lambda c: F.struct(c.alias("span"), model.probability(features(F.col("text"), c)).alias("p")))
     known = F.concat(*KINDS[:4])
-    meets = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
-    before = lambda a, b: (
-        (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["span"]["start"] < b["span"]["start"]) | ((a["span"]["start"] == b["span"]["start"]) & ((a["span"]["stop"] > b["span"]["stop"]) | ((a["span"]["stop"] == b["span"]["stop"]) & (a["span"]["rank"] < b["span"]["rank"]))))))
-    )
-    found = base.withColumn("known", known).withColumn("scored", F.when(F.size("proposed") > 0, F.filter(scored, lambda x: (x["p"] >= F.element_at(limits, x["span"]["kind"])))))
-    free = F.filter("scored", lambda x: ~F.exists("known", lambda b: meets(b, x["span"])))
-    found = found.withColumn("free", free)
-    added = F.transform(F.filter("free", lambda x: ~F.exists("free", lambda o: meets(o["span"], x["span"]) & before(o, x))), lambda x: x["span"])
-    found = found.withColumn("added", F.coalesce(added, F.slice("known", 1, 0)))
+    found = base.withColumn("known", known).withColumn("free", apart(F.col("proposed"), F.col("known")))
+    scored = F.transform("free", lambda c: F.struct(c["start"].alias("start"), c.alias("span"), bound(features(c), model.probability).alias("p")))
+    likely = F.filter(scored, lambda x: x["p"] >= F.element_at(limits, x["span"]["kind"]))
+    found = found.withColumn("likely", F.when(F.size("free") > 0, likely)).withColumn("added", F.when(F.size("likely") > 0, _best_of_overlaps(F.col("likely"))).otherwise(F.slice("known", 1, 0)))
     return found.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]],
         F.size("added").cast("long").alias("n_model"),
+        (F.size("known") + F.size("added")).cast("long").alias("n_spans"),
         F.sha2(joined(F.col("known")), 256).alias("base_sha256"),
         joined(F.concat("known", "added")).alias("spans"),
         *([redacted(F.col("text"), F.concat("known", "added")).alias("redacted")] if with_redacted else []),

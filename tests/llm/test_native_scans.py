@@ -101,3 +101,42 @@ def test_queries_cover_all_documents(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert op4_secret_scan(spark, sf).count() == n
     assert op10_pii_scan(spark, sf).count() == n
+
+
+def test_many_matches_and_long_runs_take_linear_time(spark):
+    import time
+
+    many = "token: k9Qz7TtP0xLm, mail a.b@c.de or 10.0.0.1; call (555) 123-4567\n" * 4_000
+    docs = spark.createDataFrame([(1, many), (2, "x" * 1_000_000), (3, "+1 (" * 100_000)], "doc_id long, text string")
+    model = secret_scan.train(secret_scan.random_samples(docs).unionByName(secret_scan.ordinary_samples(docs)))
+    boosted = pii_scan.train(spark)
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan(docs, model).collect()}
+    hidden = {r.doc_id: r.text for r in secret_scan.redact(docs, model).collect()}
+    pii = {r.doc_id: r for r in pii_scan.scan(docs, boosted, with_redacted=True).collect()}
+    assert time.time() - began < 60
+    assert got[1].n_assign == 4_000 and hidden[1] == many.replace("token: k9Qz7TtP0xLm", "[assign]") and hidden[2] == "x" * 1_000_000
+    assert (pii[1].n_email, pii[1].n_ip) == (4_000, 4_000) and pii[1].base_sha256 == digest(personal(many))
+    assert pii[2].redacted == "x" * 1_000_000
+
+
+def test_overlaps_and_redaction_match_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    from clueforge.llm._spans import SPAN, apart, redacted
+
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        make = lambda rank: sorted((s, rank, s + r.randint(1, 6), f"k{rank}", "", "") for s in r.sample(range(60), r.randint(0, 12)))  # noqa: E731, B023
+        rows.append((i, "".join(r.choice("ab é😀") for _ in range(70)), make(1), make(0)))
+    docs = spark.createDataFrame(rows, f"i int, text string, found array<{SPAN}>, known array<{SPAN}>")
+    for row in docs.select("*", apart(F.col("found"), F.col("known")).alias("left"), redacted(F.col("text"), F.col("found")).alias("cut")).collect():
+        want = [x for x in row.found if not any(x.start < k.stop and k.start < x.stop for k in row.known)]
+        assert row.left == want
+        out, at = "", 0
+        for x in sorted(row.found):
+            if x.start >= at:
+                out += row.text[at : x.start] + f"[{x.kind}]"
+            at = max(at, x.stop)
+        assert row.cut == out + row.text[at:]
