@@ -109,45 +109,64 @@ def test_decontaminate(spark, odd, empty, short):
     assert decontaminate.decontaminate(docs, none).where("n_hit > 0").count() == 0
 
 
-def brute_components(rows):
-    sets = {}
-    for d, t in rows:
+def brute_components(rows, width=3, least=(9, 10)):
+    """(n_shingles, component) of each row; rows are linked whatever their ids."""
+    sets, part, whole = [], *least
+    for _, t in rows:
         w = spaced(t)
-        sets[d] = frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
-    parent = {d: d for d in sets}
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []))
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    order = sorted(sets)
-    for i, a in enumerate(order):
-        for b in order[i + 1 :]:
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
             common = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * common >= 90 * (len(sets[a]) + len(sets[b]) - common):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), find(d)) for d in sets}
+            if sets[a] and sets[b] and whole * common >= part * (len(sets[a]) + len(sets[b]) - common):
+                parent[find(b)] = find(a)
+    ids = collections.defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            ids[find(i)].append(d)
+    return collections.Counter((d, len(sets[i]), min(ids[find(i)], default=None) if sets[i] else d) for i, (d, _) in enumerate(rows))
+
+
+def families(seed, n, copies, changes):
+    r = np.random.default_rng(seed)
+    for family in range(n):
+        words = [f"v{x}" for x in r.integers(0, 400, int(r.integers(4, 120)))]
+        for copy in range(copies):
+            own = list(words)
+            for _ in range(int(r.integers(0, changes))):
+                own[int(r.integers(0, len(own)))] = f"n{int(r.integers(0, 50))}"
+            yield 1000 + 100 * family + copy, " ".join(own)
 
 
-@pytest.mark.parametrize(("block", "one_task"), [(96, 1_000_000), (4, 0)])
-def test_jaccard_components(spark, empty, block, one_task, monkeypatch):
+@pytest.mark.parametrize(("block", "one_task", "width", "least"), [(96, 1_000_000, 3, (9, 10)), (4, 0, 3, (9, 10)), (4, 1_000_000, 5, (4, 5))])
+def test_jaccard_components(spark, empty, block, one_task, width, least, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "ONE_TASK", one_task)
-    r = np.random.default_rng(3)
-    rows = list(enumerate(ODD))
-    for family in range(6):
-        words = [f"v{x}" for x in r.integers(0, 400, int(r.integers(4, 120)))]
-        for copy in range(14):
-            own = list(words)
-            for _ in range(int(r.integers(0, 5))):
-                own[int(r.integers(0, len(own)))] = f"n{int(r.integers(0, 50))}"
-            rows.append((1000 + 100 * family + copy, " ".join(own)))
+    rows = [*enumerate(ODD), *families(3, 6, 14, 5)]
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, component_id string, sid int")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, width=width, least=least).collect())
+    assert got == brute_components(rows, width, least)
+    if block == 96:
+        assert jaccard_join.jaccard_components(empty).count() == 0
+
+
+def test_jaccard_components_without_ids_and_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join([*words, "x", "y", "z", "q", "r"]), " ".join([*words[3:], "x", "y", "z", "q", "r"])
+    alone, last = " ".join(f"u{i}" for i in range(40)), " ".join(f"u{i}" for i in range(41))
+    rows = [(1, a), (None, b), (3, c), (None, alone), (None, last), (7, None), (None, None), (8, a), (8, alone + " t"), (8, alone + " t"), (9, "k l")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
-    assert got == brute_components(rows)
-    assert jaccard_join.jaccard_components(empty).count() == 0
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect())
+    want = brute_components(rows)
+    assert got == want
+    assert got[(3, len(c.split()) - 2, 1)] == 1
 
 
 def test_lm_scoring(spark, odd, empty):
