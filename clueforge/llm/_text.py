@@ -67,7 +67,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[marks[0] : marks[-1]], marks - marks[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with about `most` bytes of text each, one row at least."""
     n = batch.num_rows
     if not n:

@@ -2,8 +2,10 @@
 
 Training counts hashed 1- to 3-grams of labelled texts per language; the counts
 are summed as packed arrays in two levels. The log-probability matrix (languages
-x buckets, float32, its size checked) is broadcast, and each batch is scored in
-numpy by gathering each n-gram from the matrix and differences of running sums.
+x buckets, fixed-point int32, its size checked) is broadcast, and each batch is
+scored in numpy by gathering each n-gram from the matrix and differences of
+running sums. Sums of whole numbers are exact, so a score does not depend on
+what else is in a batch.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from clueforge.llm._text import slices, utf8
 
-#: Buckets of the hashed n-grams, orders of the n-grams, labelled rows to train on for each language, and the most bytes of the broadcast matrix.
-BUCKETS, ORDERS, ROWS_PER_LANGUAGE, MATRIX_BYTES = 1 << 16, (1, 2, 3), 20_000, 256_000_000
+#: Buckets of the hashed n-grams, orders of the n-grams, labelled rows to train on for each language, the most bytes of the broadcast matrix (976 languages), and the fixed-point unit of log probabilities.
+BUCKETS, ORDERS, ROWS_PER_LANGUAGE, MATRIX_BYTES, UNIT = 1 << 16, (1, 2, 3), 20_000, 256_000_000, 1 << 16
 
 UNDETERMINED = "und"
 
@@ -45,22 +47,31 @@ def ngram_buckets(codes: np.ndarray, order: int, buckets: int) -> np.ndarray:
     return (h ^ (h >> np.uint32(13))) & np.uint32(buckets - 1)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
+def _inside(marks: np.ndarray, order: int) -> np.ndarray:
+    """The places at which an n-gram of a row begins that ends in the same row."""
+    n = max(0, int(marks[-1]) - order + 1)
+    ends = np.repeat(marks[1:], np.diff(marks))[:n]
+    return np.flatnonzero(np.arange(n) + order <= ends)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], langs: list[str], buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
     """Packed bucket counts for each language of a partition."""
-    sums: dict[str, np.ndarray] = {}
+    from pyspark import TaskContext
+
+    sums = np.zeros(len(langs) * buckets, np.int64)
+    number = {x: i for i, x in enumerate(langs)}
     for batch in batches:
-        for part in slices(batch, "text"):
-            langs = part.column(0).to_pylist()
+        for part in slices(batch, 1):
             codes, marks = _codes(part.column(1))
-            for lang, a, b in zip(langs, marks[:-1].tolist(), marks[1:].tolist(), strict=True):
-                total = sums.setdefault(lang, np.zeros(buckets, np.int64))
-                for order in ORDERS:
-                    total += np.bincount(ngram_buckets(codes[a:b], order, buckets), minlength=buckets)
-    if sums:
-        from pyspark import TaskContext
-
-        group = TaskContext.get().partitionId() % groups
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([group] * len(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["lang", "part", "counts"])
+            of_row = np.array([number[x] for x in part.column(0).to_pylist()], np.int64)
+            owner = np.repeat(of_row, np.diff(marks))
+            for order in ORDERS:
+                at = _inside(marks, order)
+                places, n = np.unique(owner[at] * buckets + ngram_buckets(codes, order, buckets)[at], return_counts=True)
+                sums[places] += n
+    used = np.flatnonzero(sums.reshape(len(langs), buckets).any(1))
+    group = TaskContext.get().partitionId() % groups
+    yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in used], pa.string()), pa.array([group] * len(used), pa.int32()), pa.array([zlib.compress(sums[i * buckets : (i + 1) * buckets].tobytes(), 1) for i in used], pa.binary())], names=["lang", "part", "counts"])
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -72,20 +83,18 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE, buckets: int = BUCKETS) -> dict:
-    """Languages (sorted), their log priors and log probabilities, from rows with non-null text and language.
+    """Languages (sorted), their log priors and log probabilities in UNITs, from rows with non-null text and language.
 
-    Of a language with more than `rows_per_language` rows, rows are taken by a
+    More languages than fit the matrix raise an error. Of a language with more than `rows_per_language` rows, rows are taken by a
     hash of their key at that rate; priors are of all rows.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    while sizes and len(sizes) * buckets * 4 > MATRIX_BYTES and buckets > 1 << 10:
-        buckets //= 2
     if len(sizes) * buckets * 4 > MATRIX_BYTES:
-        raise ValueError(f"{len(sizes)} languages don't fit the matrix of {MATRIX_BYTES} bytes")
+        raise ValueError(f"{len(sizes)} languages don't fit the matrix of {MATRIX_BYTES} bytes; take fewer buckets")
     langs = sorted(sizes)
     if not langs:
-        return {"langs": [], "prior": np.zeros(0, np.float32), "matrix": np.zeros((0, buckets), np.float32), "buckets": buckets}
+        return {"langs": [], "prior": np.zeros(0, np.int64), "matrix": np.zeros((0, buckets), np.int32), "buckets": buckets}
     rate = F.lit(1.0)
     for name in langs:
         if sizes[name] > rows_per_language:
@@ -93,51 +102,57 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
     sample = rows.where(F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text")
     schema = "lang string, part int, counts binary"
     groups = 32
-    packed = sample.mapInArrow(lambda it: _counted(it, buckets, groups), schema).groupBy("lang", "part").applyInArrow(_summed, schema).groupBy("lang").applyInArrow(_summed, schema)
+    packed = sample.mapInArrow(lambda it: _counted(it, langs, buckets, groups), schema).groupBy("lang", "part").applyInArrow(_summed, schema).groupBy("lang").applyInArrow(_summed, schema)
     matrix = np.full((len(langs), buckets), 1.0)
     for row in packed.collect():
         matrix[langs.index(row["lang"])] += np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     matrix = np.log(matrix / matrix.sum(1, keepdims=True))
     prior = np.log(np.array([sizes[x] for x in langs], float) / sum(sizes.values()))
-    return {"langs": langs, "prior": prior.astype(np.float32), "matrix": matrix.astype(np.float32), "buckets": buckets}
+    fixed = lambda x: np.rint(x * UNIT)
+    return {"langs": langs, "prior": fixed(prior).astype(np.int64), "matrix": fixed(matrix).astype(np.int32), "buckets": buckets}
 
 
 def predict(docs: DataFrame, model: dict, keep: dict[str, Column], text: str = "text") -> DataFrame:
-    """The columns `keep`, lang_pred and score of every row.
-
-    The score is the posterior of the predicted language. A text that is null or
-    has no letter, or a model without languages, gives `und` with score 0. Ties go
-    to the first language by name. Repeated rows are scored each.
+    """The columns `keep` (of any names but the three below), lang_pred, score and fit of every row.
+
+    The score is the posterior of the predicted language; `fit` is by how much
+    (nats for each n-gram) that language explains the text better than equal
+    chances of all buckets do. A text that is null or has no letter, or a model
+    without languages, gives `und`, score 0 and fit null. Ties go to the first
+    language by name. Texts of any length are scored whole. Repeated rows are
+    scored each.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)) if model["langs"] else F.lit(False)
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.when(letters, F.col(text)).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema) + ", lang_pred string, score double"
+    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.when(letters, F.col(text)).alias("_body"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("_body").schema) + "lang_pred string, score double, fit double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prior, matrix, buckets = (shared.value[k] for k in ("langs", "prior", "matrix", "buckets"))
         names = np.array([*langs, UNDETERMINED], object)
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, batch.num_columns - 1, 1_000_000):
                 column = part.column(part.num_columns - 1)
-                codes, marks = _codes(column)
-                totals = np.tile(prior.astype(np.float64), (part.num_rows, 1)) if langs else np.zeros((part.num_rows, 0))
-                for order in ORDERS:
-                    which = ngram_buckets(codes, order, buckets)
-                    starts, ends = np.minimum(marks[:-1], len(which)), np.clip(marks[1:] - order + 1, 0, len(which))
-                    full = np.flatnonzero(ends > starts)
-                    for k in range(len(langs)):
-                        run = np.zeros(len(which) + 1)
-                        np.cumsum(matrix[k][which], out=run[1:], dtype=np.float64)
-                        totals[full, k] += run[ends[full]] - run[starts[full]]
                 valid = np.asarray(pc.is_valid(column))
-                best = np.where(valid & bool(langs), totals.argmax(1) if langs else 0, len(langs))
+                best, score, fit = np.full(part.num_rows, len(langs)), np.zeros(part.num_rows), np.zeros(part.num_rows)
                 if langs:
-                    share = np.exp(totals - totals.max(1, keepdims=True))
-                    score = np.where(valid, 1 / share.sum(1), 0.0)
-                else:
-                    score = np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*part.schema.names[:-1], "lang_pred", "score"])
+                    codes, marks = _codes(column)
+                    totals, grams = np.tile(prior, (part.num_rows, 1)), np.zeros(part.num_rows)
+                    for order in ORDERS:
+                        which = ngram_buckets(codes, order, buckets)
+                        starts, ends = np.minimum(marks[:-1], len(which)), np.clip(marks[1:] - order + 1, 0, len(which))
+                        full = np.flatnonzero(ends > starts)
+                        grams[full] += ends[full] - starts[full]
+                        for k in range(len(langs)):
+                            run = np.zeros(len(which) + 1, np.int64)
+                            np.cumsum(matrix[k][which], out=run[1:], dtype=np.int64)
+                            totals[full, k] += run[ends[full]] - run[starts[full]]
+                    top = totals.max(1)
+                    best = np.where(valid, totals.argmax(1), best)
+                    score = np.where(valid, 1 / np.exp((totals - top[:, None]) / UNIT).sum(1), 0.0)
+                    fit = (top - prior[totals.argmax(1)]) / UNIT / np.maximum(grams, 1) + np.log(buckets)
+                own = valid & bool(langs)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(fit, mask=~own)], names=[*part.schema.names[:-1], "lang_pred", "score", "fit"])
 
     return rows.mapInArrow(scored, schema)
