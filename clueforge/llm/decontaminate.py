@@ -1,7 +1,7 @@
 """Benchmark decontamination by a generalised suffix automaton of the test items (operator 6).
 
-The automaton over item words is built once on the driver (its size is checked)
-and broadcast. Each document's words stream through it; the longest match that
+The automaton over item words is built once on the driver (its size is checked),
+packed in sorted arrays and broadcast. Each document's words stream through it; the longest match that
 ends at each word tells which words are inside an occurrence of a window. Spans
 of words that cannot reach a window, because too few consecutive word pairs
 occur in the items, are skipped with one vectorised test.
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from clueforge.llm._text import mix, slices, utf8, word_hashes
 
-#: Consecutive words of a window, share of hit words (1 / 20) from which a document is contaminated, and the most item words that may be broadcast.
-WINDOW, ONE_IN, MOST_WORDS = 13, 20, 5_000_000
+#: Consecutive words of a window, share of hit words (1 / 20) from which a document is contaminated, and the most item words: building takes up to about 700 bytes of the driver for each, the broadcast up to 60.
+WINDOW, ONE_IN, MOST_WORDS = 13, 20, 1_000_000
 
 #: Words are runs of digits, letters and non-ASCII characters.
 IS_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -65,47 +65,82 @@ class SuffixAutomaton:
                 self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, word)
             last = new
 
-    def ends(self, words: list[int], most: int | None = None) -> Iterator[tuple[int, int]]:
+
+class Packed:
+    """A suffix automaton in arrays: 12 bytes for each edge, 8 for each state."""
+
+    def __init__(self, built: SuffixAutomaton, words: np.ndarray):
+        self.words = words
+        self.link = np.array(built.link, np.int32)
+        self.length = np.array(built.length, np.int32)
+        degree = np.array([len(edges) for edges in built.next], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(degree)])
+        names = np.searchsorted(words, np.fromiter((w for edges in built.next for w in edges), np.uint64, int(self.first[-1]))).astype(np.int32)
+        targets = np.fromiter((q for edges in built.next for q in edges.values()), np.int32, int(self.first[-1]))
+        order = np.lexsort((names, np.repeat(np.arange(len(degree)), degree)))
+        self.names, self.targets = names[order], targets[order]
+
+    def _step(self, state: int, word: int) -> int:
+        """The state after a word, or -1."""
+        a, b = int(self.first[state]), int(self.first[state + 1])
+        at = a + int(np.searchsorted(self.names[a:b], word)) if b - a > 1 else a
+        return int(self.targets[at]) if at < b and self.names[at] == word else -1
+
+    def ends(self, hashes: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
         """For each word, the state and length of the longest match that ends there, of at most `most` words."""
         state = length = 0
-        for word in words:
-            while state and word not in self.next[state]:
-                state = self.link[state]
-                length = self.length[state]
-            if word in self.next[state]:
-                state, length = self.next[state][word], length + 1
+        at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
+        known = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
+        for word, there in zip(at.tolist(), known.tolist(), strict=True):
+            if not there:
+                state = length = 0
             else:
-                length = 0
-            if most is not None:
-                while state and self.length[self.link[state]] >= most:
-                    state = self.link[state]
-                length = min(length, most) if length >= most else length
+                while (after := self._step(state, word)) < 0 and state:
+                    state = int(self.link[state])
+                    length = int(self.length[state])
+                state, length = (after, length + 1) if after >= 0 else (0, 0)
+                if most is not None:
+                    while state and self.length[self.link[state]] >= most:
+                        state = int(self.link[state])
+                    length = min(length, most)
             yield state, length
 
 
 class Items:
-    """The automaton of the items, with the items in which the windows of each state occur."""
+    """The automaton of the items, with the items in which the windows of each state occur.
+
+    Items are told apart by their number; those of one name count once in a document.
+    """
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[int]]], window: int = WINDOW):
         self.window = window
-        self.automaton = SuffixAutomaton()
-        for _, words in items:
-            self.automaton.add(words)
-        windows: dict[int, dict[int, set[str]]] = {}
+        #: Names by number: equal names share one, every item without a name has its own.
+        self.names: list[str | None] = []
+        numbers: list[int] = []
+        place: dict[str, int] = {}
+        built = SuffixAutomaton()
         for name, words in items:
+            built.add(words)
+            if name is None or name not in place:
+                self.names.append(name)
+                if name is not None:
+                    place[name] = len(self.names) - 1
+            numbers.append(len(self.names) - 1 if name is None else place[name])
+        self.words = np.array(sorted({w for _, words in items for w in words}), np.uint64)
+        self.automaton = Packed(built, self.words)
+        del built
+        windows: dict[int, dict[int, set[int]]] = {}
+        for number, (_, words) in zip(numbers, items, strict=True):
             most = min(window, len(words))
-            for i, (state, length) in enumerate(self.automaton.ends(words, most)):
+            for i, (state, length) in enumerate(self.automaton.ends(np.array(words, np.uint64), most)):
                 if most and i + 1 >= most and length >= most:
-                    windows.setdefault(state, {}).setdefault(most, set()).add(name)
-        #: Of each state, the (length, items) of all windows that are suffixes of its strings.
-        self.windows: dict[int, list[tuple[int, frozenset[str]]]] = {}
-        order = sorted(range(len(self.automaton.next)), key=self.automaton.length.__getitem__)
-        for state in order:
-            own = [(k, frozenset(v)) for k, v in windows.get(state, {}).items()]
-            above = self.windows.get(self.automaton.link[state], []) if state else []
-            if own or above:
-                self.windows[state] = own + above
-        self.words = np.array(sorted({w for _, words in items for w in words}), np.uint64)
+                    windows.setdefault(state, {}).setdefault(most, set()).add(number)
+        #: Of each state at which a window ends, the (length, items) of these windows.
+        self.own = {state: [(k, tuple(sorted(v))) for k, v in found.items()] for state, found in windows.items()}
+        #: Of each state, the nearest state on its suffix links (itself included) at which a window ends, or -1.
+        self.nearest = np.full(len(self.automaton.link), -1, np.int32)
+        for state in np.argsort(self.automaton.length, kind="stable").tolist():
+            self.nearest[state] = state if state in self.own else self.nearest[self.automaton.link[state]] if state else -1
         self.least = min((min(window, len(words)) for _, words in items if words), default=0)
         pairs = [np.array(words[:-1], np.uint64) * np.uint64(3) + np.array(words[1:], np.uint64) for _, words in items if len(words) > 1]
         pairs = mix(np.concatenate(pairs)) if pairs else np.empty(0, np.uint64)
@@ -113,6 +148,16 @@ class Items:
         self.pairs = np.zeros(1 << self.bits, bool)
         self.pairs[pairs >> np.uint64(64 - self.bits)] = True
 
+    def windows_at(self, state: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """The (length, items) of all windows that are suffixes of a state's strings."""
+        at = int(self.nearest[state])
+        while at >= 0:
+            yield from self.own[at]
+            at = int(self.nearest[self.automaton.link[at]]) if at else -1
+
+    def digest(self, found: set[int]) -> str:
+        return hashlib.sha256(",".join(sorted(self.names[i] for i in found if self.names[i] is not None)).encode()).hexdigest()
+
     def spans(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int]]:
         """Ranges of words, each in one row, that may hold a window."""
         if not self.least or not len(hashes):
@@ -139,14 +184,14 @@ class Items:
                 if hi > lo:
                     yield lo, hi
 
-    def hits(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
+    def hits(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, dict[int, set[int]]]:
         """Which words are inside a window, and the items that occur in each row."""
         depth = np.zeros(len(hashes) + 1, np.int64)
-        found: dict[int, set[str]] = {}
+        found: dict[int, set[int]] = {}
         for a, b in self.spans(hashes, counts):
             row = int(np.searchsorted(counts, a, "right")) - 1
-            for i, (state, length) in enumerate(self.automaton.ends(hashes[a:b].tolist())):
-                for size, items in self.windows.get(state, ()) if length >= self.least else ():
+            for i, (state, length) in enumerate(self.automaton.ends(hashes[a:b])):
+                for size, items in self.windows_at(state) if length >= self.least else ():
                     if size <= length:
                         depth[a + i + 1 - size] += 1
                         depth[a + i + 1] -= 1
@@ -155,11 +200,15 @@ class Items:
 
 
 def build_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> Items:
-    """The automaton of a benchmark table; it raises where the items have over MOST_WORDS words."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    size = rows.agg(F.sum(F.length("text"))).collect()[0][0] or 0
-    if size > 8 * MOST_WORDS:
-        raise ValueError(f"the benchmark has {size} characters; split it in parts of at most {8 * MOST_WORDS}")
+    """The automaton of a benchmark table; it raises where the items have over MOST_WORDS words.
+
+    An item without an id counts as an item of its own. Null and empty texts have no
+    windows. Items that share an id count as one.
+    """
+    rows = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    size = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).collect()[0][0] or 0
+    if size > MOST_WORDS:
+        raise ValueError(f"the benchmark has {size} words; split it in parts of at most {MOST_WORDS} and add their hits")
     items = []
     for row in rows.collect():
         hashes, _ = word_hashes(*utf8(pa.array([row["text"]])), IS_WORD)
@@ -174,7 +223,8 @@ def decontaminate(docs: DataFrame, items: Items, doc_id: str = "doc_id", text: s
 
     clean_text is the text without its hit words (joined by spaces where any was
     removed). A null or empty text has no words and is not contaminated; with no
-    items nothing is hit. Repeated rows are judged each; other columns are not read.
+    items nothing is hit. An item without an id counts in n_hit and n_items but has
+    no place in items_sha256. Repeated rows are judged each; other columns are not read.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(items)
@@ -190,13 +240,13 @@ def decontaminate(docs: DataFrame, items: Items, doc_id: str = "doc_id", text: s
         known = shared.value
         empty = hashlib.sha256(b"").hexdigest()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, 1):
                 data, offsets = utf8(part.column(1))
                 hashes, counts = word_hashes(data, offsets, IS_WORD)
                 hit, found = known.hits(hashes, counts)
                 run = np.concatenate([[0], np.cumsum(hit)])
                 n_words, n_hit = np.diff(counts), run[counts[1:]] - run[counts[:-1]]
-                digests = [hashlib.sha256(",".join(sorted(found[i])).encode()).hexdigest() if i in found else empty for i in range(part.num_rows)]
+                digests = [known.digest(found[i]) if i in found else empty for i in range(part.num_rows)]
                 arrays = [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(found.get(i, ())) for i in range(part.num_rows)], pa.int64()), pa.array(digests), pa.array((n_hit > 0) & (ONE_IN * n_hit >= n_words))]
                 names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
                 if with_clean:

@@ -1,6 +1,7 @@
 """The other operators against brute force, round trips, held-out accuracy and DuckDB."""
 
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -75,13 +76,14 @@ def test_language(spark, sf, odd, empty):
 
 
 def brute_hits(items, text):
+    """n_words, n_hit, n_items and items_sha256 of a text."""
     windows = collections.defaultdict(set)
     take = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
-    for name, body in items:
+    for i, (name, body) in enumerate(items):
         words = take(body)
         k = min(13, len(words))
         for j in range(len(words) - k + 1 if k else 0):
-            windows[tuple(words[j : j + k])].add(name)
+            windows[tuple(words[j : j + k])].add((name, None if name else i))
     words = take(text)
     hit, found = [False] * len(words), set()
     for k in {len(w) for w in windows}:
@@ -89,20 +91,27 @@ def brute_hits(items, text):
             if names := windows.get(tuple(words[j : j + k])):
                 found |= names
                 hit[j : j + k] = [True] * k
-    return len(words), sum(hit), len(found)
+    digest = hashlib.sha256(",".join(sorted(name for name, _ in found if name)).encode()).hexdigest()
+    return len(words), sum(hit), len(found), digest
 
 
 @pytest.mark.parametrize("short", [False, True])
 def test_decontaminate(spark, odd, empty, short):
-    benchmark = [("i1", " ".join(f"w{i}" for i in range(30))), ("i2", " ".join(f"w{i}" for i in range(10, 25))), ("i3", ""), ("i4", None)] + ([("i5", "w3 W4")] if short else [])
-    rows = [(100, " ".join(f"w{i}" for i in range(5, 40))), (101, "x " * 300 + " ".join(f"W{i}" for i in range(13))), (102, "w3 w4 x w3"), (103, " ".join(f"w{i}" for i in range(12)))]
+    r = np.random.default_rng(5)
+    say = lambda n, of: " ".join(f"w{i}" for i in r.integers(0, of, n))
+    benchmark = [("i1", " ".join(f"w{i}" for i in range(30))), ("i2", " ".join(f"w{i}" for i in range(10, 25))), ("i3", ""), ("i4", None), (None, "n1 n2 n3 " * 5), (None, "n1 n2 n3 " * 5), (None, None)]
+    benchmark += [("i2", "q " * 20)] + [(f"r{i}", say(30, 4)) for i in range(20)] + ([("i5", "w3 W4"), ("i6", "w1")] if short else [])
+    rows = [(100, " ".join(f"w{i}" for i in range(5, 40))), (101, "x " * 300 + " ".join(f"W{i}" for i in range(13))), (102, "w3 w4 x w3"), (103, " ".join(f"w{i}" for i in range(12))), (104, "so n1 n2 n3 n1 n2 n3 n1 n2 n3 n1 n2 n3 n1 n2 n3"), (105, "q-q " * 8)]
+    rows += [(200 + i, say(40, 4)) for i in range(200)] + [(400 + i, benchmark[-3][1][i : i + 60] + " and " + benchmark[9][1]) for i in range(20)]
     docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
-    items = decontaminate.build_items(spark.createDataFrame(benchmark, "item_id string, text string"))
-    for r in decontaminate.decontaminate(docs, items, with_clean=True).join(docs, "doc_id").collect():
-        n, hit, found = brute_hits(benchmark, r.text)
-        assert (r.n_words, r.n_hit, r.n_items) == (n, hit, found)
-        assert r.contaminated == (hit > 0 and 20 * hit >= n)
-        if not hit:
+    items = decontaminate.build_items(spark.createDataFrame([(*b, 1) for b in benchmark], "item_id string, text string, n_hit int"))
+    clashing = docs.withColumn("n_hit", F.lit(1)).withColumn("contaminated", F.lit("x"))
+    got = decontaminate.decontaminate(clashing, items, with_clean=True).join(docs, "doc_id").collect()
+    assert len(got) == len(rows) + len(ODD)
+    for r in got:
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (want := brute_hits(benchmark, r.text)), r.text
+        assert r.contaminated == (want[1] > 0 and 20 * want[1] >= want[0])
+        if not want[1]:
             assert r.clean_text == r.text
     assert decontaminate.decontaminate(empty, items).count() == 0
     none = decontaminate.build_items(spark.createDataFrame([], "item_id string, text string"))
