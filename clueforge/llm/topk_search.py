@@ -4,7 +4,8 @@ Vectors become integers, are rotated to the principal axes of the whole table
 (an SVD of its second moments) and range-partitioned by descending length, so
 each partition is a block of vectors of similar length. The longest block gives
 every query a first k-th score. A block of queries then meets only the blocks
-whose longest vector could still beat it. Within a pair of blocks, vectors are
+whose longest vector could still beat it; the query blocks that need one block
+are split into bounded groups, each of which gets that block once. Within a pair of blocks, vectors are
 processed by descending length: a sum over the leading rotated axes plus the
 Cauchy-Schwarz bound of the rest prunes most of them, and exact integer products
 of the others decide.
@@ -22,38 +23,35 @@ from pyspark.sql.window import Window
 
 from clueforge.session import materialise
 
-#: Vectors of a block, queries of a block, leading axes of the partial sums, and vectors that are processed between two updates of the k-th scores.
-BLOCK, QUERIES, AXES, STEP = 16_384, 512, 16, 2_048
+#: The most vectors and bytes of a block, queries and bytes of a query block, query blocks that meet a block in one task, leading axes of the partial sums, vectors that are processed between two updates of the k-th scores, and components that the SVD rotates (the others stay as they are).
+BLOCK, BLOCK_BYTES, QUERIES, QUERY_BYTES, TOGETHER, AXES, STEP, ROTATED = 16_384, 8 << 20, 256, 1 << 20, 16, 16, 2_048, 1_024
 
 
 def integers(embedding: Column, scale: int = 256) -> Column:
     """floor(scale * x) of each component, or null where a component is null or not finite."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     whole = F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return F.when(embedding.isNotNull() & (F.size(embedding) > 0) & ~F.exists(embedding, bad), whole)
+    return F.when(embedding.isNotNull() & ~F.exists(embedding, bad), whole)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a list column, shorter ones padded with zeros."""
-    lists = column.to_pylist() if column.null_count else None
-    flat, offsets = np.asarray(column.flatten()), np.asarray(column.offsets)
-    if lists is None and len(column) and (np.diff(offsets) == width).all():
-        return flat.reshape(len(column), width)
+    """Rows of a list column without nulls, shorter ones padded with zeros."""
+    flat, sizes = np.asarray(column.flatten()), np.diff(np.asarray(column.offsets))
     out = np.zeros((len(column), width), np.int64)
-    for i, row in enumerate(column.to_pylist()):
-        out[i, : len(row)] = row
+    out[np.arange(width)[None, :] < sizes[:, None]] = flat
     return out
 
 
-def _moments(vectors: DataFrame, width: int) -> np.ndarray:
-    """The sum of outer products of all vectors, added up in two levels."""
+def _rotation(vectors: DataFrame, width: int) -> np.ndarray:
+    """Orthogonal axes: the singular vectors of the sum of outer products over all vectors' first ROTATED components, and the other components."""
+    w = min(width, ROTATED)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros((width, width))
+        total = np.zeros((w, w))
         for batch in batches:
-            m = _matrix(batch.column(0), width).astype(float)
+            m = _matrix(batch.column(0), width)[:, :w].astype(float)
             total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
 
@@ -62,8 +60,11 @@ def _moments(vectors: DataFrame, width: int) -> np.ndarray:
         return pa.table({"part": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part int, sums binary"
-    rows = vectors.select("v").mapInArrow(part, schema).groupBy("part").applyInArrow(added, schema).collect()
-    return sum((np.frombuffer(r["sums"], float) for r in rows), np.zeros(width * width)).reshape(width, width)
+    two_levels = vectors.select("v").mapInArrow(part, schema).groupBy("part").applyInArrow(added, schema).groupBy().applyInArrow(added, schema)
+    axes = np.eye(width)
+    for row in two_levels.collect():
+        axes[:w, :w] = np.linalg.svd(np.frombuffer(row["sums"], float).reshape(w, w))[0]
+    return axes
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +117,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products, ties to the smaller vec_id.
 
     Every row but those with the query's own id is a candidate. Rows whose id or
-    vector is null, or whose vector is empty or holds a null or non-finite
-    component, take no part. Shorter vectors count as padded with zeros. Repeated
+    vector is null, or whose vector holds a null or non-finite component, take no
+    part. Shorter vectors, empty ones too, count as padded with zeros. Repeated
     candidates each keep a rank; repeated queries (id and vector) count once, and
     rows that share an id but not a vector are queries with one common list.
     Scores are longs: products that exceed them wrap around. Other columns are
@@ -129,40 +130,46 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     out_schema = "query_id long, rank int, vec_id long, score long"
     if not head["n"]:
         return spark.createDataFrame([], out_schema)
-    width = head["width"]
-    axes = np.linalg.svd(_moments(rows, width))[0]
-    n_blocks = max(1, -(-head["n"] // BLOCK))
+    width = max(1, head["width"])
+    block = max(64, min(BLOCK, BLOCK_BYTES // (8 * width)))
+    some_queries = max(16, min(QUERIES, QUERY_BYTES // (8 * width)))
+    axes = _rotation(rows, width)
+    n_blocks = max(1, -(-head["n"] // block))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId()
+        number = TaskContext.get().partitionId() << 20
         for batch in batches:
             m = _matrix(batch.column(1), width)
             norms = np.asarray(batch.column(2))
-            for a in range(0, len(m), BLOCK):
-                b = min(a + BLOCK, len(m))
+            for a in range(0, len(m), block):
+                b = min(a + block, len(m))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int32()), pa.array([float(norms[a])]), pa.array([np.asarray(batch.column(0))[a:b].tobytes()], pa.binary()), pa.array([m[a:b].astype(np.int64).tobytes()], pa.binary())],
+                    [pa.array([number], pa.int64()), pa.array([float(norms[a])]), pa.array([np.asarray(batch.column(0))[a:b].tobytes()], pa.binary()), pa.array([m[a:b].tobytes()], pa.binary())],
                     names=["block", "longest", "ids", "matrix"],
                 )
+                number += 1
 
     ordered = rows.select("id", "v", norm.alias("norm")).repartitionByRange(n_blocks, F.col("norm").desc(), "id").sortWithinPartitions(F.col("norm").desc())
-    blocks = materialise(ordered.mapInArrow(packed, "block int, longest double, ids binary, matrix binary"), "blocks")
-    tops = {r["block"]: r["longest"] for r in blocks.groupBy("block").agg(F.max("longest").alias("longest")).collect()}
-    order = sorted(tops)
-    first = blocks.where(F.col("block") == order[0]).orderBy(F.desc("longest")).limit(1).collect()[0]
-    opening = spark.sparkContext.broadcast((first["ids"], first["matrix"], axes, np.array([tops[b] for b in order]), np.array(order)))
+    blocks = materialise(ordered.mapInArrow(packed, "block long, longest double, ids binary, matrix binary"), "blocks")
+    tops = blocks.select("block", "longest").orderBy("block").toArrow()
+    names, longest = tops.column("block").to_numpy(), tops.column("longest").to_numpy()
+    first = blocks.where(F.col("block") == int(names[0])).select("ids", "matrix").collect()[0]
+    opening = spark.sparkContext.broadcast((first["ids"], first["matrix"], axes, longest, names))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Query blocks with the k-th scores of the opening block, one row for each block of vectors that they may need."""
+        from pyspark import TaskContext
+
         ids, matrix, turn, longest, names = opening.value
         ids, matrix = np.frombuffer(ids, np.int64), np.frombuffer(matrix, np.int64).reshape(-1, width)
+        number = TaskContext.get().partitionId() << 20
         for batch in batches:
             qid, q = np.asarray(batch.column(0)), _matrix(batch.column(1), width)
-            for a in range(0, len(qid), QUERIES):
-                some, own = q[a : a + QUERIES], qid[a : a + QUERIES]
+            for a in range(0, len(qid), some_queries):
+                some, own = q[a : a + some_queries], qid[a : a + some_queries]
                 floor = np.full(len(own), -np.inf)
                 got: dict[int, list[int]] = {}
                 for i, _, s in search_blocks(own, some, floor, ids, matrix, turn, k):
@@ -170,21 +177,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
                 for i, s in got.items():
                     if len(s) == k:
                         floor[i] = min(s)
-                need = names[(np.linalg.norm(some.astype(float), axis=1)[:, None] * longest[None, :] * (1 + 1e-9) + 1 >= floor[:, None]).any(0)]
-                n = len(need)
-                yield pa.RecordBatch.from_arrays([pa.array(need.astype(np.int32)), pa.array([own.tobytes()] * n, pa.binary()), pa.array([some.astype(np.int64).tobytes()] * n, pa.binary()), pa.array([floor.tobytes()] * n, pa.binary())], names=["block", "qids", "queries", "floor"])
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                lengths = np.linalg.norm(some.astype(float), axis=1)
+                for name, top in zip(names.tolist(), longest.tolist(), strict=True):
+                    near = lengths * top * (1 + 1e-9) + 1 >= floor
+                    if near.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([number], pa.int64()), pa.array([own[near].tobytes()], pa.binary()), pa.array([some[near].tobytes()], pa.binary()), pa.array([floor[near].tobytes()], pa.binary())], names=["block", "number", "qids", "queries", "floor"])
+                number += 1
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A bounded group of query blocks with their one block of vectors."""
         turn = opening.value[2]
-        for batch in batches:
-            for row in batch.to_pylist():
+        found: list[tuple[int, int, int]] = []
+        for body in right.to_pylist():
+            ids, matrix = np.frombuffer(body["ids"], np.int64), np.frombuffer(body["matrix"], np.int64).reshape(-1, width)
+            for row in left.to_pylist():
                 qids = np.frombuffer(row["qids"], np.int64)
-                found = search_blocks(qids, np.frombuffer(row["queries"], np.int64).reshape(-1, width), np.frombuffer(row["floor"], float), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["matrix"], np.int64).reshape(-1, width), turn, k)
-                yield pa.RecordBatch.from_arrays([pa.array([int(qids[i]) for i, _, _ in found], pa.int64()), pa.array([d for _, d, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.int64())], names=["query_id", "vec_id", "score"])
-
-    queries = rows.where("query").select("id", "v").distinct().mapInArrow(asked, "block int, qids binary, queries binary, floor binary")
-    pairs = queries.join(blocks, "block").select("qids", "queries", "floor", "ids", "matrix")
-    found = pairs.mapInArrow(met, "query_id long, vec_id long, score long")
+                found += [(int(qids[i]), d, s) for i, d, s in search_blocks(qids, np.frombuffer(row["queries"], np.int64).reshape(-1, width), np.frombuffer(row["floor"], float), ids, matrix, turn, k)]
+        return pa.table({n: pa.array([f[i] for f in found], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
+
+    queries = materialise(rows.where("query").select("id", "v").distinct().mapInArrow(asked, "block long, number long, qids binary, queries binary, floor binary"), "queries")
+    groups = queries.groupBy("block").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups"))
+    dealt = queries.join(F.broadcast(groups), "block").withColumn("part", F.pmod(F.xxhash64("number"), "groups").cast("int"))
+    copied = blocks.join(F.broadcast(groups), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    found = dealt.select("block", "part", "qids", "queries", "floor").groupBy("block", "part").cogroup(copied.select("block", "part", "ids", "matrix").groupBy("block", "part")).applyInArrow(met, "query_id long, vec_id long, score long")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -193,9 +208,9 @@ def oracle_sql(modulus: int = 50, k: int = 5) -> str:
     return f"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(CASE WHEN len(q.e) * len(c.e) = 0 THEN 0 ELSE list_inner_product(q.e, c.e) END AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % {modulus} = 0 AND q.vec_id <> c.vec_id
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score

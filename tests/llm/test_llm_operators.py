@@ -231,12 +231,16 @@ def test_attention_gradients_and_causality():
     assert model.fit(inputs, targets, steps=60).log_probs(inputs, targets).sum() > before
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_top_k(spark, small, monkeypatch):
+    if small:
+        for name, value in (("BLOCK", 64), ("QUERIES", 16), ("TOGETHER", 1), ("ROTATED", 3), ("AXES", 2), ("STEP", 16)):
+            monkeypatch.setattr(topk_search, name, value)
     r = np.random.default_rng(1)
     rows = [(i, [float(x) for x in r.normal(0, 0.5 + (i % 3), 8)]) for i in range(300)]
     rows += [(300, None), (301, []), (302, [float("nan")] * 8), (303, [None] * 8), (304, [float("inf")] * 8), (None, [1.0] * 8), (7, rows[7][1]), (305, rows[3][1]), (306, [1.0, 2.0])]
     vectors = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")
-    valid = [(i, np.floor(256 * np.array([*v, *[0] * (8 - len(v))], np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    valid = [(i, np.floor(256 * np.array([*v, *[0] * (8 - len(v))], np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     got = collections.defaultdict(list)
     for x in topk_search.top_k(vectors, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
         got[x.query_id].append((x.vec_id, x.score))
