@@ -251,23 +251,56 @@ def test_top_k(spark, small, monkeypatch):
     assert topk_search.top_k(vectors.where("vec_id < 3"), F.lit(True)).count() == 6
 
 
+def warc(http, record="1", more=b"", length=None):
+    size = len(http) if length is None else length
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:%b>\r\nWARC-Target-URI: http://a/\r\nWARC-Date: 2020-01-01T00:00:00Z\r\n%bContent-Length: %b\r\n\r\n%b\r\n\r\n" % (record.encode(), more, str(size).encode(), http)
+
+
 def test_warc(spark, tmp_path):
-    raw = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a/\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n"
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<title>T</title><p>one &amp; two</p><script>x</script><p>three"
-    (tmp_path / "a.warc").write_bytes(raw % (len(http), http))
-    responses = warc_derive.read_responses(spark, str(tmp_path / "a.warc"))
-    got = {r.record_type: r for r in warc_derive.derive(responses).collect()}
-    assert got["conversion"].block == "T\none & two\nthree" and got["conversion"].refers_to == "<urn:uuid:1>"
-    assert got["metadata"].block.startswith("title: T\r\n") and got["metadata"].payload_digest == got["conversion"].payload_digest
-    warc_derive.write_records(warc_derive.derive(responses), str(tmp_path / "out"))
     import gzip
 
-    data = b"".join(gzip.decompress(r.record) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    parsed = list(warc_derive._parsed(data))
-    assert [h["warc-type"] for h, _ in parsed] == ["metadata", "conversion"] and parsed[1][1].decode() == got["conversion"].block
-    nulls = spark.createDataFrame([(1, None, None), (2, "u", "")], "page_id long, url string, html string")
-    assert warc_derive.derive(warc_derive.responses_of_pages(nulls), ("page_id",)).where("block is null or record_id is null").count() == 0
-    assert warc_derive.derive(warc_derive.responses_of_pages(nulls.limit(0))).count() == 0
+    page = b"<title>T</title><p>one &amp; two</p><script>x</script><p>three"
+    plain = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page
+    latin = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\n\r\n<title>caf\xe9\r\nforged: 1</title>caf\xe9"
+    packed = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(page)
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\n<p>on\r\n6;x=y\r\ne</p>\n\r\n0\r\n\r\n"
+    broken = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nContent-Type: a; charset=none-such\r\n\r\nnot gzip"
+    bodies = {"1": plain, "2": latin, "3": packed, "4": chunked, "5": broken, "6": b""}
+    file = b"".join(warc(b, r) for r, b in bodies.items())
+    file = warc(plain, "bad", length="many") + warc(plain, "own", b"WARC-Payload-Digest: sha1:ABC\r\n") + file + b"noise" + warc(plain, "short", length=10**9)
+    (tmp_path / "a.warc").write_bytes(file)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc(b, "z" + r)) for r, b in bodies.items()) + b"\x1f\x8bdamaged")
+    responses = warc_derive.read_responses(spark, str(tmp_path / "*.warc*"))
+    got = {(r.refers_to[10:-1], r.record_type): r for r in warc_derive.derive(responses).collect()}
+    assert {k for k, _ in got} == {*bodies, *("z" + r for r in bodies), "own"}
+    for z in ("", "z"):
+        text = {r: got[z + r, "conversion"].block for r in bodies}
+        assert text == {"1": "T\none & two\nthree", "2": "café forged: 1\ncafé".replace(" forged", "\nforged"), "3": "T\none & two\nthree", "4": "one", "5": "not gzip", "6": ""}
+        for r, http in bodies.items():
+            raw = http.partition(b"\r\n\r\n")[2]
+            metadata = got[z + r, "metadata"]
+            assert metadata.payload_digest == "sha256:" + hashlib.sha256(raw).hexdigest() == got[z + r, "conversion"].payload_digest
+            assert f"source-bytes: {len(raw)}\r\n" in metadata.block and metadata.source_headers == http.partition(b"\r\n\r\n")[0].decode()
+            assert metadata.concurrent_to == got[z + r, "conversion"].record_id and got[z + r, "conversion"].concurrent_to == metadata.record_id
+    assert got["own", "metadata"].payload_digest == "sha1:ABC" and got["2", "metadata"].block.startswith("title: café forged: 1\r\n")
+    records = warc_derive.derive(responses.where("record_id = '<urn:uuid:2>'"))
+    warc_derive.write_records(records, str(tmp_path / "out"))
+    data = b"".join(r.record for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    warc_derive.write_warc(records, str(tmp_path / "files"))
+    stored = b"".join(f.read_bytes() for f in sorted((tmp_path / "files").glob("part-*")))
+    for raw in (data, stored):
+        parsed = {h["warc-type"]: (h, b) for h, b in warc_derive._parsed(raw)}
+        assert parsed["conversion"][1].decode() == got["2", "conversion"].block and parsed["metadata"][0]["warc-refers-to"] == "<urn:uuid:2>"
+
+
+def test_warc_odd_pages(spark):
+    deep = "<!-- " * 100_000 + "<script>" * 100_000 + "<head>" * 100_000 + "<title>" * 100_000 + "<p " * 100_000
+    rows = [(1, None, None), (2, "u", ""), (3, "u", deep), (4, "u", "a<head><title>x</title></head>b<head>c"), (5, "u", "a<script>b"), (6, "u", "<head>" * 100_000 + "<title>" * 100_000 + "<p " * 100_000), (2, "u", "")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, record_type string, block string")
+    found = warc_derive.derive(warc_derive.responses_of_pages(docs), ("page_id",))
+    assert found.where("block is null or record_id is null").count() == 0 and found.where("page_id = 2").count() == 4
+    assert {r.page_id: r.block for r in found.where("record_type = 'conversion' and page_id in (3, 4, 5)").collect()} == {3: "", 4: "abc", 5: "a"}
+    assert warc_derive.derive(warc_derive.responses_of_pages(docs.limit(0))).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
