@@ -208,6 +208,56 @@ def test_lm_learns_from_all_training_rows(spark):
     assert got.score / got.n_tokens > -0.2
 
 
+def brute_lm(text, vocabulary, attention):
+    """log10 probability of a text, one position at a time in double precision."""
+    import pyarrow as pa
+
+    from clueforge.llm._text import utf8, word_hashes
+
+    place = {int(k): int(u) for k, u in zip(vocabulary.words, vocabulary.word_unit, strict=True)}
+    parts = {int(k): int(u) for k, u in zip(vocabulary.parts, vocabulary.part_unit, strict=True)}
+    units, total = [], 0.0
+    for word in spaced(text):
+        raw = word.encode()
+        key = int(word_hashes(*utf8(pa.array([word])), lm_scoring.IS_WORD)[0][0])
+        cut = [(key, None)] if key in place else [(None, raw[i : i + 5]) for i in range(0, len(raw), 5)]
+        for i, (known, piece) in enumerate(cut):
+            value = None if known else sum(b << (8 * k) for k, b in enumerate(piece)) | len(piece) << 40 | (i == 0) << 44
+            unit = place[known] if known else parts.get(value, lm_scoring.UNKNOWN)
+            units.append(unit)
+            total += vocabulary.inside[unit] if unit != lm_scoring.UNKNOWN else -math.log10(10) + sum(vocabulary.byte[b] for b in piece)
+    units.append(lm_scoring.END)
+    cls = [int(vocabulary.cls[u]) for u in units]
+    w = {n: getattr(attention, n).astype(float) for n in attention.NAMES}
+    d, context = lm_scoring.WIDTH, lm_scoring.CONTEXT
+    for at, target in enumerate(cls):
+        first = at // (lm_scoring.WINDOW - context) * (lm_scoring.WINDOW - context) - context
+        seen = [cls[q - 1] if q > 0 else lm_scoring.BEGIN for q in range(first, at + 1)]
+        x = w["embed"][seen] + w["place"][: len(seen)]
+        q, k, v = x[-1] @ w["qkv"][:, :d] / math.sqrt(d), x @ w["qkv"][:, d : 2 * d], x @ w["qkv"][:, 2 * d :]
+        weight = np.exp(k @ q - (k @ q).max())
+        h = x[-1] + (weight / weight.sum()) @ v @ w["out"]
+        logits = h @ w["head"] + w["bias"]
+        total += (logits[target] - logits.max() - math.log(np.exp(logits - logits.max()).sum())) / math.log(10)
+    return total
+
+
+def test_lm_score_matches_brute_force_and_beats_the_base(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(lm_scoring, "TOGETHER", 7)
+    monkeypatch.setattr(lm_scoring, "WORDS", 3_000)
+    monkeypatch.setattr(lm_scoring, "PIECES", 2_000)
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
+    model = lm_scoring.train(docs.where(learn))
+    probes = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD[:9], "Ünknown wörds zzzqqqxxxyyy and more", "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3])], "doc_id long, text string")
+    some = probes.union(docs.where("doc_id < 20"))
+    for r in lm_scoring.score(some, model, F.lit(True)).collect():
+        if r.doc_id < len(ODD[:9]) + 2 or r.n_tokens < 400:
+            assert any(r.score == pytest.approx(brute_lm(t, model["vocabulary"], model["attention"]), rel=1e-4) for d, t in some.where(F.col("doc_id") == r.doc_id).collect())
+    held = lm_scoring.score(docs.where(~learn), model, F.lit(True)).agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).collect()[0]
+    assert held[0] > held[1]
+
+
 def test_attention_gradients_and_causality():
     r = np.random.default_rng(0)
     model = lm_scoring.Attention(np.ones(lm_scoring.CLASSES))
