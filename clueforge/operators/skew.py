@@ -18,14 +18,18 @@ def hot_keys(rows: DataFrame, key: str, total: int | None = None) -> DataFrame:
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", total: int | None = None) -> DataFrame:
     """left joined with right, unique by `key`, without sending all rows of a hot key to one task.
 
-    The right rows of hot keys (at most ONE_IN) are broadcast; the rest is an
-    ordinary join. Left rows with a null key stay where `how` is left, without a
-    shuffle. Both sides are read twice, so pass tables that are stored.
+    The hot keys (at most ONE_IN) are looked up first. Without any this is an
+    ordinary join; else their right rows are broadcast, and the rest is an ordinary
+    join. Left rows with a null key stay where `how` is left, without a shuffle.
+    Both sides are read several times, so pass tables that are stored.
     """
-    hot = hot_keys(left, key, total)
-    first = left.join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key)
-    rest = left.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(right, key, how)
-    # A hot key without a right row is in neither part.
-    lone = left.join(F.broadcast(hot.join(right, key, "left_anti")), key, "left_semi") if how == "left" else left.limit(0)
-    none = left.where(F.col(key).isNull()).unionByName(lone) if how == "left" else left.limit(0)
-    return first.unionByName(rest).unionByName(none, allowMissingColumns=True)
+    known = left.where(F.col(key).isNotNull())
+    blank = left.where(F.col(key).isNull())
+    found = hot_keys(left, key, total).collect()
+    if found:
+        hot = F.broadcast(left.sparkSession.createDataFrame(found, left.select(key).schema))
+        first = known.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
+        joined = first.unionByName(known.join(hot, key, "left_anti").join(right, key, how))
+    else:
+        joined = known.join(right, key, how)
+    return joined.unionByName(blank, allowMissingColumns=True) if how == "left" else joined
