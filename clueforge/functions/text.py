@@ -70,20 +70,35 @@ def overlap(a: Column, b: Column) -> Column:
 STATS = StructType([StructField(n, LongType()) for n in ("visible", "signal", "broken", "top")] + [StructField("entropy", DoubleType())])
 
 
+#: Characters of a batch that are worked through together.
+TOGETHER = 4_000_000
+_SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288], np.uint32)
+
+
 @F.pandas_udf(STATS)
 def char_stats(texts: pd.Series) -> pd.DataFrame:
     """Counts of visible, letter-or-digit, replacement and commonest characters, and the entropy of the visible ones."""
+    names = ["visible", "signal", "broken", "top", "entropy"]
+    values = [x or "" for x in texts]
+    sizes = np.array([len(x) for x in values], np.int64)
     out = []
-    for text in texts:
-        codes = np.frombuffer("".join((text or "").split()).encode("utf-32-le", "surrogatepass"), np.uint32)
-        if not len(codes):
-            out.append((0, 0, 0, 0, 0.0))
-            continue
-        found, n = np.unique(codes, return_counts=True)
-        signal = sum(int(k) for c, k in zip(found.tolist(), n.tolist(), strict=True) if chr(c).isalnum())
-        p = n / len(codes)
-        out.append((len(codes), signal, int(n[found == 0xFFFD].sum()), int(n.max()), float(-(p * np.log2(p)).sum())))
-    return pd.DataFrame(out, columns=["visible", "signal", "broken", "top", "entropy"])
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1).tolist(), len(values)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        codes = np.frombuffer("".join(values[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(b - a), sizes[a:b])
+        seen = ~np.isin(codes, _SPACES)
+        key, n = np.unique(row[seen] * 0x110000 + codes[seen], return_counts=True)
+        row, code = key // 0x110000, key % 0x110000
+        kinds, where = np.unique(code, return_inverse=True)
+        letters = np.array([chr(c).isalnum() for c in kinds.tolist()], bool)[where] if len(kinds) else np.zeros(0, bool)
+        visible = np.bincount(row, n, b - a)
+        top = np.zeros(b - a)
+        np.maximum.at(top, row, n)
+        p = n / np.maximum(visible, 1)[row]
+        entropy = np.bincount(row, -p * np.log2(p), b - a)
+        out.append(pd.DataFrame(dict(zip(names, (visible, np.bincount(row, n * letters, b - a), np.bincount(row, n * (code == 0xFFFD), b - a), top, entropy), strict=True))))
+    found = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)
+    return found.astype(dict.fromkeys(names[:4], "int64") | {"entropy": "float64"})
 
 
 def noise_score(stats: Column) -> Column:
@@ -127,15 +142,22 @@ def mask(value: Column) -> Column:
     return F.when(F.length(value) > 6, F.concat(F.substring(value, 1, 2), F.lit("***"), F.substring(value, -2, 2))).otherwise(F.lit("***"))
 
 
+#: An e-mail address; a match begins where the run of its first characters does, so long runs without an address are passed over once.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+#: The same for engines that are linear by themselves.
+EMAIL_SQL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 #: Fixed order: later patterns see what earlier ones left.
 PII = (
-    ("[email]", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("[email]", EMAIL),
     ("[ip]", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
     ("[phone]", r"\+[0-9][ ().0-9-]{7,18}[0-9]"),
     ("[card]", r"\b[0-9](?:[ -]?[0-9]){12,18}\b"),
 )
 
 
+SQL_PII = (("[email]", EMAIL_SQL), *PII[1:])
+
+
 def mask_pii(text: Column) -> Column:
     for label, pattern in PII:
         text = F.regexp_replace(text, pattern, label)
@@ -188,6 +210,41 @@ def phrase_hours(query: Column) -> Column:
     return F.when(F.lower(query).rlike(r"last [0-9]+ days?"), n * 24).when(F.lower(query).rlike(r"last [0-9]+ hours?"), n).when(F.lower(query).contains("today"), 24)
 
 
+#: Literal variants and their plain forms, in the order of replacement, then patterns and what they become.
+VARIANTS = (
+    ("➕", "加"), ("＋", "加"), ("✈️", "飞机"), ("✈", "飞机"), ("🛩️", "飞机"), ("🛩", "飞机"), ("🛰️", "飞机"), ("🛰", "飞机"),
+    ("🎵", "音符"), ("🐧", "QQ"), ("🍠", "小红书"), ("纸飞机", "飞机"), ("小飞机", "飞机"),
+)
+VARIANT_PATTERNS = (
+    (r"(加|联系|咨询|客服|对接)\s*[+＋➕]?\s*[vV薇微威围]\b", "$1v"), (r"\bv\s*[xX]\b", "vx"), (r"\bw\s*[xX]\b", "vx"), (r"\bd\s*y\b", "dy"),
+    (r"音\s*符", "音符"), (r"纸\s*飞\s*机", "纸飞机"), (r"小\s*飞\s*机", "小飞机"), (r"加\s*[vV薇微威围]", "加v"), (r"进\s*裙", "进群"), (r"拉\s*裙", "拉群"),
+)
+
+
+def normalize_intel(text: Column) -> Column:
+    """Variant spellings in their plain forms, for matching; the text is normalised first, also by `nfkc` where it matters."""
+    out = normalize_text(text)
+    for raw, plain in VARIANTS:
+        out = F.replace(out, F.lit(raw), F.lit(plain))
+    for pattern, plain in VARIANT_PATTERNS:
+        out = F.regexp_replace(out, f"(?iuU){pattern}", plain)
+    return F.trim(F.regexp_replace(out, r"[\s\u00A0\u0085]+", " "))
+
+
+def context_relevance(text: Column, start: Column, stop: Column, cues: tuple[str, ...], reach: int = 24) -> Column:
+    """0.5, and more for each cue within `reach` characters of a span (ends exclusive), 1 at most."""
+    around = F.lower(F.substring(text, F.greatest(start - reach, F.lit(0)) + 1, stop - F.greatest(start - reach, F.lit(0)) + reach))
+    hits = sum((around.contains(c).cast("int") for c in cues), F.lit(0))
+    return F.round(F.least(F.lit(1.0), 0.5 + hits * 0.15), 4)
+
+
 def register_all(spark: SparkSession) -> None:
-    """Publish the vectorised functions to SQL."""
+    """Publish the functions to SQL: the vectorised one, and the expressions as SQL functions of one text."""
     spark.udf.register("char_stats", char_stats)
+    for name, body in {
+        "normalize_text": rf"trim(regexp_replace(regexp_replace(coalesce(x, ''), '{ZERO_WIDTH}', ''), '[\\s\u00a0\u0085]+', ' '))",
+        "canonical_text": r"regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '')",
+        "domain_of": r"regexp_replace(regexp_replace(regexp_replace(replace(lower(trim(x)), '[.]', '.'), '^hxxp', 'http'), '^[a-z][a-z0-9+.-]*://', ''), '[/?#:].*$', '')",
+        "hash_pii": "sha2(concat_ws(':', 'clueforge', x), 256)",
+    }.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS STRING RETURN {body}")

@@ -11,12 +11,14 @@ from clueforge.rules import RulePack
 
 #: Entity types and their patterns, in the order of priority.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": T.EMAIL,
     "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
     "phone": r"\+[0-9][ ().0-9-]{7,18}[0-9]",
     "access_key": r"AKIA[A-Z0-9]{12,20}",
-    "domain": r"[a-z0-9-]+\.example\.com",
+    "domain": r"(?:\G|(?<![a-z0-9-]))[a-z0-9-]++\.example\.com",
 }
+#: The same for engines that are linear by themselves.
+SQL_PATTERNS = PATTERNS | {"email": T.EMAIL_SQL, "domain": r"[a-z0-9-]+\.example\.com"}
 
 
 def normalize_entity(kind: Column, value: Column) -> Column:

@@ -8,14 +8,15 @@ from pyspark.sql.window import Window
 
 from clueforge.functions import text as T
 from clueforge.rules import RulePack
+from clueforge.session import spread
 
-CONTACT = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]|\+[0-9][ ().0-9-]{7,}"
+CONTACT = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z]|\+[0-9][ ().0-9-]{7,}"
 URL = r"https?://"
 
 
 def records(docs: DataFrame) -> DataFrame:
     """trace_id, source_name, clean_text of a table of documents."""
-    return docs.select(F.col("doc_id").alias("trace_id"), F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("unknown")).alias("source_name"), T.normalize_text(F.col("text")).alias("clean_text"))
+    return spread(docs).select(F.col("doc_id").alias("trace_id"), F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("unknown")).alias("source_name"), T.normalize_text(F.col("text")).alias("clean_text"))
 
 
 def score_risk(df: DataFrame, pack: RulePack) -> DataFrame:

@@ -20,7 +20,7 @@ def _(t):
     return t("documents").select("doc_id", F.array_join(T.ordered_unique(F.array("lang", F.lit(" "), F.upper("lang"), "source", F.concat(F.lit(" "), F.upper("source")))), ",").alias("value"))
 
 
-@_q("fn_remove_entities", "SELECT doc_id, sha1(" + "regexp_replace(" * len(T.PII) + "text" + "".join(f", '{p}', '', 'g')" for _, p in T.PII) + ") AS value FROM documents")
+@_q("fn_remove_entities", "SELECT doc_id, sha1(" + "regexp_replace(" * len(T.PII) + "text" + "".join(f", '{p}', '', 'g')" for _, p in T.SQL_PII) + ") AS value FROM documents")
 def _(t):
     bare = F.col("text")
     for _, pattern in T.PII:

@@ -12,7 +12,7 @@ from clueforge.registry import register
 from clueforge.rules import FIXTURE
 from clueforge.session import table
 
-_found = " UNION ALL ".join(f"SELECT trace_id, source_name, '{k}' AS entity_type, unnest(regexp_extract_all(t, '{p}')) AS entity_value FROM base" for k, p in G.PATTERNS.items())
+_found = " UNION ALL ".join(f"SELECT trace_id, source_name, '{k}' AS entity_type, unnest(regexp_extract_all(t, '{p}')) AS entity_value FROM base" for k, p in G.SQL_PATTERNS.items())
 ENTITIES = f"""{CLASSIFIED}, found AS ({_found}), normal AS (
   SELECT *, CASE WHEN entity_type = 'phone' THEN '+' || regexp_replace(entity_value, '[^0-9]', '', 'g') WHEN entity_type = 'access_key' THEN upper(entity_value) ELSE lower(entity_value) END AS normalized FROM found
 ), entities AS (

@@ -93,7 +93,7 @@ _text("fn_canonicalize", lambda t: F.sha1(T.canonical(t)), r"sha1(regexp_replace
 _text("fn_dedup_id", T.dedup_id, r"'dedup:' || sha1(regexp_replace(lower(t), '[^\p{L}\p{N}]', '', 'g'))[1:16]")
 _text("fn_excerpt", T.excerpt, "CASE WHEN length(t) <= 160 THEN t ELSE t[1:157] || '...' END")
 _text("fn_excerpt_around", lambda t: T.excerpt_around(t, "password"), "CASE WHEN instr(t, 'password') > 0 THEN t[greatest(instr(t, 'password') - 60, 1):instr(t, 'password') + 67] END")
-_text("fn_mask_pii", lambda t: F.sha1(T.mask_pii(t)), "sha1(" + "regexp_replace(" * len(T.PII) + "t" + "".join(f", '{p}', '{label}', 'g')" for label, p in T.PII) + ")")
+_text("fn_mask_pii", lambda t: F.sha1(T.mask_pii(t)), "sha1(" + "regexp_replace(" * len(T.PII) + "t" + "".join(f", '{p}', '{label}', 'g')" for label, p in T.SQL_PII) + ")")
 _text("fn_hash_pii", T.hash_pii, "sha256('clueforge:' || t)")
 _text("fn_tokens", lambda t: F.size(T.tokens(t)).cast("long"), "len(regexp_extract_all(lower(t), '[a-z0-9]+'))::BIGINT")
 _text("fn_term_test", lambda t: T.contains_term(t, "password"), "regexp_matches(t, '(?i)(?:^|[^A-Za-z0-9_])password(?:$|[^A-Za-z0-9_])')")
@@ -172,11 +172,6 @@ def dom_secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.secondary_label(classified(spark, sf_dir), FIXTURE).select("trace_id", "secondary_label")
 
 
-@register("dom_polarity")
-def dom_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.polarity(cleaned(spark, sf_dir), FIXTURE).select("trace_id", "polarity")
-
-
 @register("dom_resolve", f"""WITH {CLASSIFIED}, both_answers AS (
   SELECT trace_id, risk_category AS rule, confidence AS rc, CASE WHEN trace_id % 3 = 0 THEN NULL WHEN toxic = 1 THEN 'insult' ELSE 'prose' END AS model, 0.85::DOUBLE AS mc FROM bucketed JOIN labels ON doc_id = trace_id
 ), decided AS (

@@ -33,7 +33,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from clueforge.plans import function_queries, graph_queries, matching_queries, policy_queries, record_queries, relational_queries, source_queries, stream_queries  # noqa: F401
+    from clueforge.plans import fine_queries, function_queries, graph_queries, matching_queries, policy_queries, record_queries, relational_queries, source_queries, stream_queries  # noqa: F401
 
 
 _load()

@@ -27,9 +27,11 @@ def build_session(master: str = "local[8]", app: str = "clueforge", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or a private one where it is unset (tests)."""
+    """The folder all executors and the driver share: spark.checkpoint.dir, or a private one where it is unset and all is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="clueforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,6 +53,17 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
+#: Tables with fewer bytes (as stored) for each core than this are spread over the cores; larger ones have row groups enough.
+SPREAD_BELOW = 16_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table for work that costs much more than a scan, spread over the cores if its files give them too few pieces."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BELOW * cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
