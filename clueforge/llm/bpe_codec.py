@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from clueforge.llm._text import pre_tokens
 
-#: Entries of a worker's cache of encoded pre-tokens; it bounds memory and never changes an id.
-CACHE_SIZE = 600_000
+#: Entries of a worker's cache of encoded pre-tokens, and characters of each (longer ones are encoded each time); they bound memory and never change an id.
+CACHE_SIZE, CACHE_LONGEST = 400_000, 64
 
 _workers: dict[str, "Codec"] = {}
 
@@ -115,7 +115,11 @@ class Codec:
         if missing := {w for words in split for w in words if w not in self.cache}:
             self.learn(list(missing))
         ids, raw = self.cache.__getitem__, self.raw.__getitem__
-        return [(",".join(map(ids, words)), b"".join(map(raw, words))) for words in split]
+        out = [(",".join(map(ids, words)), b"".join(map(raw, words))) for words in split]
+        for word in missing:
+            if len(word) > CACHE_LONGEST:
+                del self.cache[word], self.raw[word]
+        return out
 
     def encode(self, text: str) -> list[int]:
         joined = self.encode_batch([text])[0][0]
