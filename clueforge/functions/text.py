@@ -54,7 +54,8 @@ def dedup_id(text: Column) -> Column:
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
     """The distinct character n-grams; a text of at most n characters is its own only one."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, n))
+    places = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.concat(*[F.element_at(c, i + k) for k in range(n)]))
+    grams = F.transform(F.array(F.split(text, "")), places)[0]
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= n, F.array(text)).otherwise(F.array_distinct(grams))
 
 

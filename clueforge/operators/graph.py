@@ -162,17 +162,3 @@ def evidence(clues: DataFrame, entities: DataFrame, records: DataFrame) -> DataF
     """A row for each clue and record: clue_id, trace_id, source_name, excerpt."""
     keyed = entities.select(clue_id(F.concat(F.lit("shared_"), "entity_type"), F.col("normalized")).alias("clue_id"), "trace_id").distinct()
     return clues.select("clue_id").join(keyed, "clue_id").join(records.select("trace_id", "source_name", T.excerpt(F.col("clean_text")).alias("excerpt")), "trace_id")
-
-
-def corroborate(left: DataFrame, right: DataFrame, hours: int = 48) -> DataFrame:
-    """For each left row (id, source, ts) the nearest right row of another source within `hours`.
-
-    An equi-join on slots of that length and their two neighbours bounds the
-    candidates; the nearest is a partial aggregate.
-    """
-    slot = F.floor(F.unix_seconds("ts") / (hours * 3600))
-    a = left.select(F.col("id").alias("a_id"), F.col("source").alias("a_source"), F.col("ts").alias("a_ts"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
-    b = right.select(F.col("id").alias("b_id"), F.col("source").alias("b_source"), F.col("ts").alias("b_ts"), slot.alias("slot"))
-    apart = F.abs(F.unix_seconds("a_ts") - F.unix_seconds("b_ts"))
-    near = a.join(b, "slot").where((F.col("a_source") != F.col("b_source")) & (apart <= hours * 3600))
-    return near.groupBy("a_id").agg(F.min(F.struct(apart.alias("seconds"), F.col("b_id").alias("b_id"))).alias("m")).select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.seconds").alias("seconds"))

@@ -55,3 +55,15 @@ def top_k_sparse(docs: DataFrame, query: list[tuple[str, float]], k: int) -> Dat
     wanted = F.broadcast(spark.createDataFrame(query, "token string, w double"))
     dot = words.join(wanted, "token").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("w")).alias("dot"))
     return dot.join(norm, "doc_id").select("doc_id", F.round(F.col("dot") / (F.col("norm") * size), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def within(df: DataFrame, key: str, trace: str, source: str, seconds: str, most: int) -> DataFrame:
+    """Keys with two records and two sources or more whose times (seconds, null ones ignored) are at most `most` apart: key, n, sources, span."""
+    found = df.groupBy(key).agg(F.countDistinct(trace).alias("n"), F.countDistinct(source).alias("sources"), (F.max(seconds) - F.min(seconds)).alias("span"))
+    return found.where((F.col("n") >= 2) & (F.col("sources") >= 2) & (F.coalesce("span", F.lit(0)) <= most))
+
+
+def within_hours(times: list[str], as_of: Column, hours: int) -> Column:
+    """Whether the first time there is (seconds) is at most `hours` before `as_of`; a row without any stays."""
+    at = F.coalesce(*[F.col(t) for t in times])
+    return at.isNull() | (as_of - at <= hours * 3600)

@@ -20,8 +20,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.corroborated(rows, rows.where("value > 90"))
 
 
-@register("join_asof_order", f"WITH {_CORROBORATED} SELECT a_id, b_id, minutes FROM pairs")
-def join_asof_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("join_asof_corroborate", f"WITH {_CORROBORATED} SELECT a_id, b_id, minutes FROM pairs")
+def join_asof_corroborate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir)
 
 

@@ -135,11 +135,3 @@ def dom_evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("agg_template")
 def agg_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.template_clues(R.records(table(spark, sf_dir, "documents")))
-
-
-@register("join_asof_corroborate", """WITH a AS (SELECT event_id AS a_id, event_type AS s, ts FROM events WHERE event_id % 50 = 0), b AS (SELECT event_id AS b_id, event_type AS s, ts FROM events WHERE value > 90)
-SELECT a_id, b_id, abs(floor(epoch(a.ts))::BIGINT - floor(epoch(b.ts))::BIGINT) AS seconds FROM a JOIN b ON a.s <> b.s AND abs(floor(epoch(a.ts))::BIGINT - floor(epoch(b.ts))::BIGINT) <= 172800
-QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY abs(floor(epoch(a.ts))::BIGINT - floor(epoch(b.ts))::BIGINT), b_id) = 1""")
-def join_asof_corroborate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    return G.corroborate(events.where("id % 50 = 0"), events.where("value > 90"))

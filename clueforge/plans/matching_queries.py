@@ -33,9 +33,14 @@ def join_clue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.greedy_matches(pairs)
 
 
-@_q("dom_embed", "WITH w AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents WHERE doc_id < 100) GROUP BY 1, 2) SELECT doc_id, token, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 8) AS weight FROM w")
+_normal = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{200B}-\x{200F}\x{FEFF}]', '', 'g'), '[\s\x{A0}\x{85}]+', ' ', 'g'))"
+
+
+@_q("dom_embed", rf"""WITH c AS (SELECT doc_id, regexp_replace(lower({_normal}), '[^\p{{L}}\p{{N}}]', '', 'g') AS c, lower({_normal}) AS t FROM documents), w AS (
+  SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(length(c), 2)), lambda i: c[i:i + 1])) AS token FROM c WHERE c <> '' UNION ALL SELECT doc_id, unnest(list_filter(string_split(regexp_replace(t, '[/:]', ' ', 'g'), ' '), lambda x: x <> '')) FROM c WHERE c <> '') GROUP BY 1, 2
+) SELECT doc_id, token, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 8) AS weight FROM w""")
 def _(t):
-    return M.embed(t("documents").where("doc_id < 100")).select("doc_id", "token", F.round("weight", 8).alias("weight"))
+    return M.embed(t("documents")).select("doc_id", "token", F.round("weight", 8).alias("weight"))
 
 
 @_q("topk_dense", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS cosine FROM embeddings, q ORDER BY cosine DESC, vec_id LIMIT 10")

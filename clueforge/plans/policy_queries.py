@@ -64,12 +64,12 @@ def _(t):
     return t("labels").groupBy(P.review_state(said).alias("state")).agg(F.count("*").alias("n"))
 
 
-@_q("dom_slang_lifecycle", """WITH e AS (SELECT user_id AS term, event_id AS seq, CASE event_id % 5 WHEN 0 THEN 'seen' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'gray' WHEN 3 THEN 'active' ELSE 'rejected' END AS event FROM events WHERE event_id % 7 = 0),
+@_q("dom_slang_lifecycle", """WITH e AS (SELECT user_id AS term, event_id AS seq, CASE event_id % 5 WHEN 0 THEN 'seen' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'gray' WHEN 3 THEN 'active' ELSE 'rejected' END AS event FROM events),
 s AS (SELECT term, max(CASE event WHEN 'seen' THEN 1 WHEN 'reviewed' THEN 2 WHEN 'gray' THEN 3 WHEN 'active' THEN 4 ELSE 0 END) AS reached, arg_max(event, seq) AS last FROM e GROUP BY 1)
 SELECT term, CASE WHEN last = 'rejected' THEN 'REJECTED' WHEN reached >= 4 THEN 'ACTIVE' WHEN reached = 3 THEN 'GRAY' WHEN reached = 2 THEN 'REVIEWED' ELSE 'NEW' END AS stage FROM s""")
 def _(t):
     names = F.array(*map(F.lit, ("seen", "reviewed", "gray", "active", "rejected")))
-    return P.lifecycle(t("events").where("event_id % 7 = 0").select(F.col("user_id").alias("term"), F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("event")))
+    return P.lifecycle(t("events").select(F.col("user_id").alias("term"), F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("event")))
 
 
 @_q("dom_query_parse", """WITH q AS (SELECT conv_id, turn, lower(text || CASE WHEN turn % 2 = 0 THEN ' emails of the last 3 days' ELSE ' cross-source phone today' END) AS s FROM conversations)

@@ -97,14 +97,14 @@ _text("fn_mask_pii", lambda t: F.sha1(T.mask_pii(t)), "sha1(" + "regexp_replace(
 _text("fn_hash_pii", T.hash_pii, "sha256('clueforge:' || t)")
 _text("fn_tokens", lambda t: F.size(T.tokens(t)).cast("long"), "len(regexp_extract_all(lower(t), '[a-z0-9]+'))::BIGINT")
 _text("fn_term_test", lambda t: T.contains_term(t, "password"), "regexp_matches(t, '(?i)(?:^|[^A-Za-z0-9_])password(?:$|[^A-Za-z0-9_])')")
-_text("fn_mask_entity", lambda t: T.mask(F.substring(t, 1, 24)), "CASE WHEN length(t) > 6 THEN t[1:2] || '***' || t[1:24][-2:] ELSE '***' END")
+_text("fn_mask_entity", T.mask, "CASE WHEN length(t) > 6 THEN t[1:2] || '***' || t[-2:] ELSE '***' END")
 _text("fn_token_estimate", lambda t: F.floor(F.length(t) / 4).cast("long"), "(length(t) // 4)::BIGINT")
 _text("fn_credential_url", lambda t: t.rlike("https?://[^/\\s:@]+:[^/\\s@]+@"), r"regexp_matches(t, 'https?://[^/\s:@]+:[^/\s@]+@')")
 
 
-@register("fn_char_ngrams", "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, " + r"(SELECT CASE WHEN c = '' THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(length(c) - 1, 2)), lambda i: c[i:i + 2]))) END FROM (SELECT regexp_replace(lower(t), '[^\p{L}\p{N}]', '', 'g')[1:200] AS c))::BIGINT" + " AS value FROM d")
+@register("fn_char_ngrams", "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, " + r"(SELECT CASE WHEN c = '' THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(length(c) - 1, 2)), lambda i: c[i:i + 2]))) END FROM (SELECT regexp_replace(lower(t), '[^\p{L}\p{N}]', '', 'g') AS c))::BIGINT" + " AS value FROM d")
 def fn_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring(T.canonical(F.col("text")), 1, 200).alias("c"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.canonical(F.col("text")).alias("c"))
     return docs.select("doc_id", F.size(T.char_ngrams(F.col("c"))).cast("long").alias("value"))
 
 

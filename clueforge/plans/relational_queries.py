@@ -73,9 +73,9 @@ def _(t):
     return t("orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"), F.countDistinct("o_orderkey").alias("k")).where("k = 1").drop("k")
 
 
-@_q("join_graph_hop", "SELECT DISTINCT a.o_custkey AS customer, b.l_suppkey AS supplier FROM orders a JOIN lineitem b ON a.o_orderkey = b.l_orderkey WHERE a.o_custkey <= 20")
+@_q("join_graph_hop", "SELECT DISTINCT a.o_custkey AS customer, b.l_suppkey AS supplier FROM orders a JOIN lineitem b ON a.o_orderkey = b.l_orderkey ")
 def _(t):
-    return t("orders").where("o_custkey <= 20").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("supplier")).distinct()
+    return t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("supplier")).distinct()
 
 
 @_q("join_range_48h", "WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') SELECT a.user_id, count(*) AS pairs FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id AND abs(epoch(a.ts) - epoch(b.ts)) <= 172800 GROUP BY 1")
@@ -113,11 +113,11 @@ def _(t):
     return t("events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
 
 
-@_q("agg_shared_contact_48h", "WITH w AS (SELECT user_id, floor(epoch(ts) / 172800)::BIGINT AS slot, count(*) AS n, count(DISTINCT event_type) AS types, max(epoch(ts)) - min(epoch(ts)) AS span FROM events GROUP BY 1, 2) SELECT user_id, slot, n, types FROM w WHERE n >= 2 AND types >= 2 AND span <= 172800")
+@_q("agg_shared_contact_48h", "WITH k AS (SELECT user_id || ':' || json_extract_string(props, '$.k') AS key, event_id, event_type, CASE WHEN event_id % 11 > 0 THEN floor(epoch(ts))::BIGINT END AS s FROM events) SELECT key, count(DISTINCT event_id) AS n, count(DISTINCT event_type) AS sources, max(s) - min(s) AS span FROM k GROUP BY 1 HAVING count(DISTINCT event_id) >= 2 AND count(DISTINCT event_type) >= 2 AND coalesce(max(s) - min(s), 0) <= 172800")
 def _(t):
-    e = t("events").select("user_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("s"))
-    w = e.groupBy("user_id", F.floor(F.col("s") / 172800).alias("slot")).agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("types"), (F.max("s") - F.min("s")).alias("span"))
-    return w.where("n >= 2 AND types >= 2 AND span <= 172800").select("user_id", "slot", "n", "types")
+    s = F.when(F.col("event_id") % 11 > 0, F.unix_seconds(F.col("ts").cast("timestamp")))
+    k = t("events").select(F.concat_ws(":", "user_id", F.get_json_object("props", "$.k")).alias("key"), "event_id", "event_type", s.alias("s"))
+    return O.within(k, "key", "event_id", "event_type", "s", 172800).select("key", "n", "sources", "span")
 
 
 @_q("agg_shared_domain", "SELECT domain, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[/?#:].*$', '') AS domain FROM pages) GROUP BY 1 HAVING count(*) >= 2")
@@ -244,11 +244,11 @@ def _(t):
     return t("documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind")).unionByName(t("pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind")))
 
 
-@_q("set_merge_clues", "WITH u AS (SELECT source, doc_id AS trace, n_chars AS score FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source, doc_id, n_chars FROM documents WHERE doc_id % 3 = 0) SELECT source, array_to_string(list_sort(list_distinct(list(trace))), ',') AS traces, max(score) AS score FROM u GROUP BY 1")
+@_q("set_merge_clues", "WITH u AS (SELECT source, n_chars, doc_id AS trace, n_chars + doc_id % 7 AS score FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source, n_chars, doc_id, n_chars FROM documents WHERE doc_id % 3 = 0) SELECT source, n_chars, array_to_string(list_sort(list_distinct(list(trace))), ',') AS traces, max(score) AS score FROM u GROUP BY 1, 2")
 def _(t):
-    d = t("documents").select("source", F.array("doc_id").alias("traces"), F.col("n_chars").alias("score"), "doc_id")
-    m = O.merge(d.where("doc_id % 2 = 0").drop("doc_id"), d.where("doc_id % 3 = 0").drop("doc_id"), ["source"])
-    return m.select("source", F.array_join(F.col("traces").cast("array<string>"), ",").alias("traces"), "score")
+    d = t("documents").select("source", "n_chars", F.array("doc_id").alias("traces"), "doc_id")
+    m = O.merge(d.where("doc_id % 2 = 0").withColumn("score", F.col("n_chars") + F.col("doc_id") % 7).drop("doc_id"), d.where("doc_id % 3 = 0").withColumn("score", F.col("n_chars")).drop("doc_id"), ["source", "n_chars"])
+    return m.select("source", "n_chars", F.array_join(F.col("traces").cast("array<string>"), ",").alias("traces"), "score")
 
 
 @_q("set_anti_existing", "SELECT doc_id, 'a' AS origin FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
@@ -272,10 +272,11 @@ def _(t):
     return t("documents").select("source", "lang").distinct()
 
 
-@_q("flt_time_window", "SELECT event_id FROM events, (SELECT max(ts) AS m FROM events) WHERE floor(epoch(m))::BIGINT - floor(epoch(ts))::BIGINT <= 172800")
+@_q("flt_time_window", "SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ts WHEN event_id % 5 > 0 THEN ts - INTERVAL 1 HOUR END AS seen FROM events), (SELECT max(ts) AS m FROM events) WHERE seen IS NULL OR floor(epoch(m))::BIGINT - floor(epoch(seen))::BIGINT <= 172800")
 def _(t):
-    e = t("events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
-    return e.crossJoin(F.broadcast(e.agg(F.max("s").alias("m")))).where("m - s <= 172800").select("event_id")
+    ts, i = F.unix_seconds(F.col("ts").cast("timestamp")), F.col("event_id")
+    e = t("events").select("event_id", F.when(i % 3 == 0, ts).alias("last_seen"), F.when(i % 5 > 0, ts - 3600).alias("updated_at"), ts.alias("s"))
+    return e.crossJoin(F.broadcast(e.agg(F.max("s").alias("m")))).where(O.within_hours(["last_seen", "updated_at"], F.col("m"), 48)).select("event_id")
 
 
 @_q("flt_in_list", "SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'src3')")
