@@ -33,7 +33,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from clueforge.plans import clue_queries, fine_queries, function_queries, graph_queries, matching_queries, mention_queries, policy_queries, record_queries, relational_queries, source_queries, stream_queries  # noqa: F401
+    from clueforge.plans import clue_queries, delivery_queries, fine_queries, function_queries, graph_queries, matching_queries, mention_queries, policy_queries, record_queries, relational_queries, source_queries, stream_queries  # noqa: F401
 
 
 _load()
