@@ -64,13 +64,10 @@ def balanced_targets(counts: dict[str, int], share: float) -> dict[str, int]:
     def filled(total: int) -> int:
         return sum(min(n, int(share * total + 1e-9)) for n in counts.values())
 
-    low, high = 0, sum(counts.values())
-    while low < high:  # what fits a total fits every smaller one that the shares allow; the largest is found from above
-        middle = (low + high + 1) // 2
-        if filled(middle) >= middle:
-            low = middle
-        else:
-            high = middle - 1
+    # The largest total that its shares fill: what a total fills is a bound for the next, from all rows downward.
+    low = sum(counts.values())
+    while (bound := filled(low)) < low:
+        low = bound
     total, out = low, {}
     for name in sorted(counts):
         out[name] = min(counts[name], int(share * low + 1e-9), total)

@@ -53,13 +53,6 @@ def test_shared_clues_do_not_depend_on_order_or_partitions(spark):
     assert any("contact_cross_source" in x for x in clues(df))
 
 
-def test_corroboration_window(spark):
-    at = lambda h: f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00"
-    rows = spark.createDataFrame([(1, "a", at(0)), (2, "b", at(10)), (3, "b", at(72)), (4, "a", at(60))], "id long, source string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
-    got = {r.a_id: (r.b_id, r.seconds) for r in G.corroborate(rows, rows).collect()}
-    assert got == {1: (2, 36000), 2: (1, 36000), 3: (4, 43200), 4: (3, 43200)}
-
-
 def test_neighborhood(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
     start = spark.createDataFrame([("a",)], "entity_id string")
