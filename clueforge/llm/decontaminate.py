@@ -277,3 +277,21 @@ def _without(text: str, hit: np.ndarray) -> str:
         previous = gone
     out.append(text[at:])
     return "".join(out)
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """The query in DuckDB's SQL: windows as joined words."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS ws FROM documents),
+i AS (SELECT row_number() OVER () AS iid, CAST(item_id AS VARCHAR) AS id, {words} AS ws FROM benchmark),
+k AS (SELECT iid, id, ws, least({window}, len(ws)) AS k FROM i WHERE len(ws) > 0),
+w AS (SELECT DISTINCT iid, id, k, array_to_string(ws[p:p + k - 1], ' ') AS win FROM (SELECT iid, id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM k)),
+dw AS (SELECT rid, p, k, array_to_string(ws[p:p + k - 1], ' ') AS win FROM (SELECT rid, ws, k, unnest(range(1, greatest(len(ws) - k + 2, 1))) AS p FROM d, (SELECT DISTINCT k FROM w))),
+h AS (SELECT rid, p, k, iid, id FROM dw JOIN w USING (k, win)),
+n AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM h) GROUP BY 1),
+f AS (SELECT rid, count(DISTINCT coalesce(id, 'row ' || iid)) AS n_items, array_to_string(list_sort(list_distinct(list(id) FILTER (id IS NOT NULL))), ',') AS ids FROM h GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {ONE_IN} * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN f USING (rid)
+"""

@@ -89,4 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii_scan": op10_pii_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk_search.oracle_sql(), "op3_warc_derive": warc_derive.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": topk_search.oracle_sql(),
+    "op3_warc_derive": warc_derive.oracle_sql(),
+    "op6_decontaminate": decontaminate.oracle_sql(),
+    "op7_jaccard_join": jaccard_join.oracle_sql(),
+}
