@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clueforge.functions import text as T
 from clueforge.operators import graph as G
 from clueforge.operators import records as R
 from clueforge.plans.record_queries import CLASSIFIED, classified
@@ -132,6 +133,12 @@ def dom_evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.evidence(clues(spark, sf_dir), entities(spark, sf_dir), R.records(table(spark, sf_dir, "documents")))
 
 
-@register("agg_template")
+_masked = "t"
+for _label, _pattern in T.SQL_PII:
+    _masked = f"regexp_replace({_masked}, '{_pattern}', '{_label}', 'g')"
+
+
+@register("agg_template", rf"""WITH {CLASSIFIED}, k AS (SELECT trace_id, source_name, regexp_replace(lower({_masked}), '[^\p{{L}}\p{{N}}]', '', 'g')[1:80] AS key FROM base), per AS (SELECT key, count(DISTINCT trace_id) AS n_traces, count(DISTINCT source_name) AS n_sources FROM k WHERE length(key) >= 12 GROUP BY 1),
+u AS (SELECT *, 'shared_template' AS clue_type FROM per WHERE n_traces >= 2 AND n_sources >= 2 UNION ALL SELECT *, 'high_frequency_template' FROM per WHERE n_traces >= 3) SELECT *, round(least(0.98::DOUBLE, 0.62::DOUBLE + n_traces * 0.08::DOUBLE + n_sources * 0.04::DOUBLE), 4) AS confidence FROM u""")
 def agg_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.template_clues(R.records(table(spark, sf_dir, "documents")))
