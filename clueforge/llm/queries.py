@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clueforge.llm import decontaminate, jaccard_join, language_id, lm_scoring, pii_scan, secret_scan, topk_search, warc_derive
+from clueforge.llm import decontaminate, hard_negatives, jaccard_join, language_id, lm_scoring, merkle_manifest, pii_scan, secret_scan, topk_search, vector_packing, warc_derive
 from clueforge.llm.bpe_codec import encode_decode
 from clueforge.llm._text import training_row
 from clueforge.llm.token_counts import count_tokens
@@ -76,6 +76,19 @@ def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan.scan(table(spark, sf_dir, "documents"), pii_scan.train(spark))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op3_warc_derive": op3_warc_derive,
@@ -87,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_pii_scan": op10_pii_scan,
+    "op11_packing": op11_packing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -94,4 +110,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_warc_derive": warc_derive.oracle_sql(),
     "op6_decontaminate": decontaminate.oracle_sql(),
     "op7_jaccard_join": jaccard_join.oracle_sql(),
+    "op12_hard_negatives": hard_negatives.oracle_sql(),
+    "op13_merkle_manifest": merkle_manifest.oracle_sql(),
 }
