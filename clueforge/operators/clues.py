@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-SLOT = 48 * 3600
+from clueforge.operators.ordering import next_answers, numbered
+from clueforge.session import materialise
 
 
 def corroborated(left: DataFrame, right: DataFrame, hours: int = 48) -> DataFrame:
@@ -16,29 +16,39 @@ def corroborated(left: DataFrame, right: DataFrame, hours: int = 48) -> DataFram
     source after the left one within `hours`, else the earliest one within `hours`
     before it. Rows without a time or source take no part; ids of each side are
     distinct. Each left row asks twice, from its own time and from `hours` before
-    it, and the next right row answers. Questions and answers meet in slots of
-    `hours` sorted by time, so no pairs are made; a right row is in two slots.
+    it, and the next right row answers; questions and answers are sorted in ranges
+    of like size, so no pairs are made and no stretch of time is one task. Where
+    both sides have a `place`, a_place and b_place are returned too.
     """
     size = hours * 3600
-    timed = lambda df: df.where("id is not null and source is not null and ts is not null").select("id", "source", F.unix_seconds("ts").alias("s"))
-    slot = F.floor(F.col("s") / size)
-    answers = timed(right).select("id", "source", "s", F.explode(F.array(slot, slot - 1)).alias("slot"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("own"))
-    late = Window.partitionBy("slot").orderBy(F.desc("s"), F.desc("id"))
-    after = F.lag(F.struct("s", "id", "source")).over(late)
-    answers = answers.withColumn("after", after)
-    answers = answers.withColumn("other", F.last(F.when(F.col("after.source") != F.col("source"), F.col("after")), ignorenulls=True).over(late.rowsBetween(Window.unboundedPreceding, 0))).drop("after")
-    none = F.lit(None).cast(answers.schema["other"].dataType).alias("other")
+    more = ["place"] if "place" in left.columns and "place" in right.columns else []
+    timed = lambda df: df.where("id is not null and source is not null and ts is not null").select("id", "source", F.unix_seconds("ts").alias("s"), *more)
+    answers = timed(right).select("s", "id", "source", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("own"), *more, F.struct("s", "id", "source", *more).alias("answer"))
+    none = F.lit(None).cast(answers.schema["answer"].dataType).alias("answer")
     asks = timed(left)
-    ahead = asks.select("id", "source", "s", slot.alias("slot"), F.lit(0).alias("kind"), F.col("s").alias("own"), none)
-    behind = asks.select("id", "source", (F.col("s") - size).alias("s"), F.floor((F.col("s") - size) / size).alias("slot"), F.lit(2).alias("kind"), F.col("s").alias("own"), none)
-    # At one instant, an answer follows a question from behind; a question ahead comes before answers of higher id.
-    order = Window.partitionBy("slot").orderBy(F.desc("s"), F.when(F.col("kind") == 2, 1).otherwise(0), F.desc("id"), "kind")
-    nearest = F.last(F.when(F.col("kind") == 1, F.struct(F.struct("s", "id", "source").alias("row"), F.col("other"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    asked = answers.unionByName(ahead).unionByName(behind).withColumn("next", nearest).where("kind <> 1")
-    found = F.when(F.col("next.row.source") != F.col("source"), F.col("next.row")).otherwise(F.col("next.other"))
-    asked = asked.withColumn("found", found).where((F.abs(F.col("found.s") - F.col("own")) <= size) & (F.col("found.id") != F.col("id")))
-    best = asked.groupBy(F.col("id").alias("a_id")).agg(F.min(F.struct("kind", "found", "own")).alias("m"))
-    return best.select("a_id", F.col("m.found.id").alias("b_id"), F.floor(F.abs(F.col("m.found.s") - F.col("m.own")) / 60).alias("minutes"))
+    ahead = asks.select("s", "id", "source", F.lit(0).alias("kind"), F.col("s").alias("own"), *more, none)
+    behind = asks.select((F.col("s") - size).alias("s"), "id", "source", F.lit(2).alias("kind"), F.col("s").alias("own"), *more, none)
+    # At one instant, a question from behind comes before all answers; one ahead comes after answers of lower and its own id.
+    order = ["s", F.when(F.col("kind") == 2, 0).otherwise(1), "id", F.when(F.col("kind") == 1, 0).otherwise(1)]
+    asked = next_answers(answers.unionByName(ahead).unionByName(behind), order)
+    asked = asked.where((F.abs(F.col("found.s") - F.col("own")) <= size) & (F.col("found.id") != F.col("id")))
+    best = asked.groupBy(F.col("id").alias("a_id")).agg(F.min(F.struct("kind", "found", "own", *more)).alias("m"))
+    places = [F.col("m.place").alias("a_place"), F.col("m.found.place").alias("b_place")] if more else []
+    return best.select("a_id", F.col("m.found.id").alias("b_id"), F.floor(F.abs(F.col("m.found.s") - F.col("m.own")) / 60).alias("minutes"), *places)
+
+
+def order_distances(rows: DataFrame, hours: int = 48) -> DataFrame:
+    """id, other, distance, minutes: for each row (id, source, ts) the nearest one in the circular order of time and id.
+
+    The distance counts rows from a row forward to the other, past the end of the
+    order to its beginning. Only rows of another source within `hours` count; a
+    row without any is left out.
+    """
+    placed, n = numbered(rows.where("ts is not null"), [F.unix_seconds("ts"), "id"])
+    placed = materialise(placed, "placed")
+    pairs = corroborated(placed, placed, hours)
+    round_ = F.pmod(F.col("b_place") - F.col("a_place"), F.lit(max(n, 1)))
+    return pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"), F.when(round_ == 0, F.lit(n)).otherwise(round_).alias("distance"), "minutes")
 
 
 SPECIFIC = ("entity_graph_account_tool_overlap", "entity_graph_tool_trade_cluster")

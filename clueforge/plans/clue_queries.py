@@ -10,14 +10,14 @@ from clueforge.plans.graph_queries import ENTITIES, clues, entities
 from clueforge.registry import register
 from clueforge.session import table
 
-_CORROBORATED = """a AS (SELECT event_id AS id, event_type AS source, floor(epoch(ts))::BIGINT AS s FROM events), b AS (SELECT event_id AS id, event_type AS source, floor(epoch(ts))::BIGINT AS s FROM events WHERE value > 90),
+_CORROBORATED = """a AS (SELECT event_id AS id, event_type AS source, floor(epoch(ts))::BIGINT AS s FROM events), b AS (SELECT event_id AS id, event_type AS source, floor(epoch(ts))::BIGINT AS s FROM events),
 pairs AS (SELECT a.id AS a_id, b.id AS b_id, abs(a.s - b.s) // 60 AS minutes FROM a JOIN b ON b.s BETWEEN a.s - 172800 AND a.s + 172800 AND a.source <> b.source
   QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY ((b.s, b.id) < (a.s, a.id))::INT, b.s, b.id) = 1)"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    return C.corroborated(rows, rows.where("value > 90"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"))
+    return C.corroborated(rows, rows)
 
 
 @register("join_asof_corroborate", f"WITH {_CORROBORATED} SELECT a_id, b_id, minutes FROM pairs")
@@ -25,6 +25,13 @@ def join_asof_corroborate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir)
 
 
+@register("win_order_distance", """WITH o AS (SELECT event_id AS id, event_type AS source, floor(epoch(ts))::BIGINT AS s, row_number() OVER (ORDER BY floor(epoch(ts))::BIGINT, event_id) - 1 AS i, count(*) OVER () AS n FROM events WHERE ts IS NOT NULL)
+SELECT a.id, b.id AS other, CASE WHEN a.i = b.i THEN a.n ELSE (b.i - a.i + a.n) % a.n END AS distance, abs(a.s - b.s) // 60 AS minutes FROM o a JOIN o b ON b.s BETWEEN a.s - 172800 AND a.s + 172800 AND a.source <> b.source AND a.id <> b.id
+QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY (b.i - a.i + a.n) % a.n) = 1""")
+def win_order_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.order_distances(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts")))
+
+
 _TYPES = {"agg_ctx_contact": (("email", "phone"),), "agg_ctx_account_tool": (("email", "domain"), ("ip", "access_key", "domain")), "agg_ctx_tool_trade": (("ip", "access_key"), ("phone", "email"))}
 _lone = "lone AS (SELECT entity_type, normalized, min(trace_id) AS trace_id FROM entities GROUP BY 1, 2 HAVING count(DISTINCT trace_id) = 1)"
 

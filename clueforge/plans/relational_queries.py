@@ -194,13 +194,6 @@ def _(t):
     return t("labels").withColumn("k", F.row_number().over(Window.partitionBy("quality", "toxic").orderBy("doc_id"))).where("k <= 20").drop("k")
 
 
-@_q("win_order_distance", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS place, epoch(ts)::BIGINT - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS gap FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)")
-def _(t):
-    order = Window.partitionBy("user_id").orderBy("s", "event_id")
-    e = t("events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
-    return e.select("event_id", F.row_number().over(order).alias("place"), (F.col("s") - F.lag("s").over(order)).alias("gap"))
-
-
 @_q("win_rolling_48h", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 172800 PRECEDING AND CURRENT ROW) AS recent FROM (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS s FROM events)")
 def _(t):
     e = t("events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
