@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clueforge.functions import text as T
+from clueforge.functions.terms import matcher
 
 ALLOWED = ("public", "authorized", "partner", "synthetic")
 FORBIDDEN = ("login", "private", "paywall", "captcha")
@@ -32,13 +33,56 @@ def compliance(basis: Column, rate_limited: Column, terms_known: Column) -> Colu
     return F.when(basis.isNull(), "REJECTED").when(~terms_known, "NEEDS_LEGAL_REVIEW").when(~rate_limited, "NEEDS_RATE_LIMIT").otherwise("SCHEDULABLE")
 
 
-def relevance(text: Column, include: tuple[str, ...], exclude: tuple[str, ...], least: int = 1) -> tuple[Column, Column]:
-    """(hits, relevant): included terms that occur; an excluded term wins."""
-    hits = sum((T.contains_term(text, t).cast("int") for t in include), F.lit(0))
-    banned = F.lit(False)
-    for term in exclude:
-        banned = banned | T.contains_term(text, term)
-    return hits, (hits >= least) & ~banned
+def relevance(records: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), themes: dict[str, tuple[str, ...]] | None = None, banned: tuple[str, ...] = (), weak: tuple[str, tuple[str, ...]] | None = None, least: int = 1, text: str = "text") -> DataFrame:
+    """Adds matched, excluded, matched_themes, excluded_themes (arrays), hit_count and relevant.
+
+    `themes` are named lists of terms; those named in `banned` exclude, the others
+    include. `weak` names a theme and the terms of which one at least must occur
+    beside it, else the theme and its terms don't count. An exclusion always wins.
+    With terms or themes to include, `least` of them must occur; without any, every
+    text that is not blank is relevant. All terms are looked up in one pass.
+    """
+    themes = {name: tuple(dict.fromkeys(t.strip().lower() for t in terms)) for name, terms in (themes or {}).items()}
+    include, exclude = (tuple(dict.fromkeys(t.strip().lower() for t in x)) for x in (include, exclude))
+    wanted = {n: t for n, t in themes.items() if n not in banned}
+    support = tuple(t.strip().lower() for t in weak[1]) if weak else ()
+    every = [*include, *exclude, *(t for terms in themes.values() for t in terms), *support]
+    df = records.withColumn("_hits", matcher(records.sparkSession, every)(F.col(text)))
+    hit = lambda terms: F.array_intersect("_hits", F.array(*map(F.lit, terms)).cast("array<string>"))
+    named = lambda names: F.array_compact(F.array(*[F.when(F.size(hit(themes[n])) > 0, F.lit(n)) for n in names]).cast("array<string>"))
+    counted = {n: F.lit(True) if not weak or n != weak[0] else F.size(hit(support)) > 0 for n in wanted}
+    theme_terms = F.flatten(F.array(*[F.when(counted[n], hit(t)).otherwise(F.array().cast("array<string>")) for n, t in wanted.items()])) if wanted else F.array().cast("array<string>")
+    matched_themes = named(wanted)
+    if weak and weak[0] in wanted:
+        matched_themes = F.when(counted[weak[0]], matched_themes).otherwise(F.array_remove(matched_themes, weak[0]))
+    df = df.withColumns({"matched": F.array_distinct(F.concat(hit(include), theme_terms)), "excluded": F.array_distinct(F.concat(hit(exclude), *[hit(themes[n]) for n in themes if n in banned])), "matched_themes": matched_themes, "excluded_themes": named([n for n in themes if n in banned])})
+    enough = F.size("matched") >= max(1, least) if include or wanted else F.coalesce(F.trim(text) != "", F.lit(False))
+    return df.withColumns({"hit_count": F.size("matched"), "relevant": (F.size("excluded") == 0) & enough}).drop("_hits")
+
+
+def playbooks(clues: DataFrame, evidence: DataFrame, texts: DataFrame, elements: dict[str, tuple[str, ...]], least: int = 2) -> DataFrame:
+    """risk_category, clue_count, evidence_count, elements (map of element to sorted terms), confidence.
+
+    A category with two clues or more whose records' texts hold terms of `least`
+    elements or more. clues: clue_id, risk_category; evidence: clue_id, trace_id;
+    texts: trace_id, text. Terms are looked up in each text that is evidence, once,
+    in one pass for all terms; a category's hits are then united, never its texts.
+    """
+    members = evidence.join(clues.select("clue_id", "risk_category"), "clue_id").select("risk_category", "trace_id").distinct()
+    counts = clues.groupBy("risk_category").agg(F.countDistinct("clue_id").alias("clue_count")).where("clue_count >= 2")
+    owner = {}
+    for element, terms in elements.items():
+        for term in terms:
+            owner.setdefault(term.strip().lower(), []).append(element)
+    seen = texts.join(members.select("trace_id").distinct(), "trace_id", "left_semi")
+    hits = seen.select("trace_id", F.explode(matcher(texts.sparkSession, owner)(F.col("text"))).alias("term"))
+    pairs = texts.sparkSession.createDataFrame([(t, e) for t, es in owner.items() for e in es], "term string, element string")
+    found = members.join(hits, "trace_id").select("risk_category", "term").distinct().join(F.broadcast(pairs), "term")
+    listed = found.groupBy("risk_category", "element").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    listed = listed.groupBy("risk_category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("element", "terms")))).alias("elements"))
+    sized = members.groupBy("risk_category").agg(F.count("*").alias("evidence_count"))
+    kept = counts.join(listed, "risk_category").join(sized, "risk_category").where(F.size("elements") >= least)
+    return kept.withColumn("confidence", F.round(F.least(F.lit(0.96), 0.58 + 0.07 * F.col("clue_count") + 0.04 * F.size("elements")), 4))
 
 
 def canonical_themes(themes: Column, aliases: dict[str, str]) -> Column:

@@ -11,6 +11,7 @@ from clueforge.operators import evaluation as E
 from clueforge.operators import graph as G
 from clueforge.operators import records as R
 from clueforge.operators import selection as S
+from clueforge.operators.retrieval import nearest, word_index
 from clueforge.plans.clue_queries import FIXED, fixed_clues
 from clueforge.plans.graph_queries import ENTITIES, clues, entities, rated
 from clueforge.plans.mention_queries import ADVANCED, TERMS
@@ -18,7 +19,7 @@ from clueforge.plans.record_queries import CLASSIFIED, classified
 from clueforge.plans.relational_queries import _q
 from clueforge.operators import mentions as M
 from clueforge.registry import register
-from clueforge.session import table
+from clueforge.session import materialise, table
 from clueforge.sources import landing as L
 from clueforge.streaming import streams
 from clueforge.streaming.incremental import merged_state
@@ -218,9 +219,9 @@ def _(t):
 top AS (SELECT trace_id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY round(score, 6) DESC, trace_id LIMIT 10), near AS (SELECT DISTINCT b.trace_id FROM top JOIN entities a USING (trace_id) JOIN entities b ON a.entity_id = b.entity_id AND b.trace_id NOT IN (SELECT trace_id FROM top))
 SELECT trace_id, score, 'vector' AS origin FROM top UNION ALL SELECT trace_id, NULL, 'graph' FROM near""")
 def dom_semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = R.records(docs(spark, sf_dir)).select("trace_id", F.explode(T.tokens(F.col("clean_text"))).alias("token")).where(F.col("token").rlike("^[a-z0-9]+$")).groupBy("trace_id", "token").agg(F.count("*").alias("n"))
-    hit = F.when(F.col("token").isin("token", "password", "mail", "the"), F.col("n"))
-    top = words.groupBy("trace_id").agg(F.round(F.sum(hit) / F.sqrt(F.sum(F.col("n") * F.col("n"))), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "trace_id").limit(10)
+    words = F.filter(T.tokens(F.col("clean_text")), lambda w: w.rlike("^[a-z0-9]+$"))
+    index = word_index(R.records(docs(spark, sf_dir)).select(F.col("trace_id").alias("id"), "clean_text"), words)
+    top = materialise(nearest(index, dict.fromkeys(("token", "password", "mail", "the"), 1.0), 10).select(F.col("id").alias("trace_id"), "score"), "nearest")
     found = entities(spark, sf_dir).select("trace_id", "entity_id")
     held = found.join(F.broadcast(top.select("trace_id")), "trace_id", "left_semi").select("entity_id").distinct()
     near = found.join(held, "entity_id", "left_semi").select("trace_id").distinct().join(F.broadcast(top.select("trace_id")), "trace_id", "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clueforge.functions import text as T
 from clueforge.operators import graph as G
 from clueforge.operators import records as R
+from clueforge.operators.retrieval import clue_index, retrieve
 from clueforge.plans.record_queries import CLASSIFIED, classified
 from clueforge.registry import register
 from clueforge.rules import FIXTURE
@@ -142,3 +143,21 @@ for _label, _pattern in T.SQL_PII:
 u AS (SELECT *, 'shared_template' AS clue_type FROM per WHERE n_traces >= 2 AND n_sources >= 2 UNION ALL SELECT *, 'high_frequency_template' FROM per WHERE n_traces >= 3) SELECT *, round(least(0.98::DOUBLE, 0.62::DOUBLE + n_traces * 0.08::DOUBLE + n_sources * 0.04::DOUBLE), 4) AS confidence FROM u""")
 def agg_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.template_clues(R.records(table(spark, sf_dir, "documents")))
+
+
+#: A question, the risks and sources it asks for, and how far back clues count as fresh (records stand for hours).
+_ASKED, _RISKS, _PREFERRED = ("shared", "email", "mail2", "src0", "domain", "example", "phone"), ("credential", "prose"), ("src0", "src3")
+_clue_words = "list_distinct(regexp_extract_all(lower(clue_type || ' ' || key || ' ' || key || ' ' || array_to_string(sources, ' ')), '[a-z0-9]+'))"
+_any = lambda column, words: "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+@register("topk_clue_retrieve", f"""WITH {ENTITIES}, named AS (SELECT 'clue:' || sha256('shared_' || entity_type || ':' || normalized)[1:16] AS clue_id, list_sort(list(DISTINCT source_name)) AS sources FROM entities GROUP BY 1),
+matched AS (SELECT clue_id, clue_quality, confidence, len(list_intersect({_clue_words}, [{", ".join(f"'{w}'" for w in _ASKED)}])) AS overlap,
+  CASE WHEN {_any("lower(risk_category)", _RISKS)} THEN 0.35 ELSE 0 END + CASE WHEN {_any("lower(array_to_string(sources, ' '))", _PREFERRED)} THEN 0.15 ELSE 0 END + CASE WHEN len(sources) >= 2 THEN 0.2 ELSE 0 END AS extra FROM rated JOIN named USING (clue_id) WHERE clue_quality >= 0.3),
+ranked AS (SELECT clue_id, round(0.12::DOUBLE * least(overlap, 6) + extra + 0.1::DOUBLE * least(clue_quality, 1) + 0.08::DOUBLE * least(confidence, 1), 6) AS score, overlap, clue_quality, confidence FROM matched)
+SELECT clue_id, round(score, 4) AS score, overlap, row_number() OVER (ORDER BY score DESC, clue_quality DESC, confidence DESC, clue_id)::INT AS place FROM ranked WHERE score > 0 QUALIFY place <= 30""")
+def topk_clue_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = entities(spark, sf_dir).select(G.clue_id(F.concat(F.lit("shared_"), "entity_type"), F.col("normalized")).alias("id"), "source_name").groupBy("id").agg(F.array_sort(F.collect_set("source_name")).alias("sources"))
+    items = rated(spark, sf_dir).select(F.col("clue_id").alias("id"), "clue_type", "key", F.array("key").alias("entities"), "risk_category", F.col("clue_quality").alias("quality"), "confidence", F.col("last_trace").alias("seen")).join(named, "id")
+    found = retrieve(clue_index(items), _ASKED, 30, _RISKS, _PREFERRED, True, least_quality=0.3)
+    return found.select(F.col("id").alias("clue_id"), F.round("score", 4).alias("score"), "overlap", "place")

@@ -11,7 +11,7 @@ from clueforge.plans.graph_queries import ENTITIES, clues, entities
 from clueforge.plans.record_queries import CLASSIFIED, classified
 from clueforge.plans.relational_queries import _q
 from clueforge.registry import register
-from clueforge.session import table
+from clueforge.session import materialise, table
 
 
 @register("dom_dedup_near")
@@ -24,13 +24,39 @@ def dom_cluster_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.near_duplicates(R.records(table(spark, sf_dir, "documents")), M.TEMPLATE)
 
 
-@register("join_clue_match")
+#: Expected clues from the labels (toxic documents by source and language), actual ones from the rules that hit the texts; both for each source and language.
+_SIDES = f"""{CLASSIFIED}, gold AS (SELECT source || '/' || lang AS id, source AS key, lang AS risk, list(doc_id::VARCHAR) AS evidence FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL),
+hits AS (SELECT b.source_name || ':' || d.lang AS id, b.source_name AS key, d.lang AS risk, list(trace_id::VARCHAR) AS evidence FROM bucketed b JOIN documents d ON d.doc_id = b.trace_id WHERE hit_insult > 0 AND source_name IS NOT NULL AND d.lang IS NOT NULL GROUP BY ALL),
+paired AS (SELECT g.id AS expected, h.id AS actual, len(list_intersect(g.evidence, h.evidence)) AS shared,
+  2 + CASE WHEN contains(g.key, h.key) OR contains(h.key, g.key) THEN 4 ELSE 0 END + CASE WHEN g.risk = h.risk THEN 2 ELSE 0 END + CASE WHEN g.key = h.key THEN 3 ELSE 0 END + CASE WHEN len(list_intersect(g.evidence, h.evidence)) > 0 THEN 2 + len(list_intersect(g.evidence, h.evidence)) ELSE 0 END AS score
+  FROM gold g JOIN hits h ON contains(g.key, h.key) OR contains(h.key, g.key)),
+turns AS (SELECT expected, row_number() OVER (ORDER BY expected) AS turn FROM (SELECT DISTINCT expected FROM paired)),
+chosen AS (SELECT turn, expected, list({{'less': -score, 'actual': actual, 'shared': shared}} ORDER BY -score, actual) AS wants FROM paired JOIN turns USING (expected) GROUP BY ALL),
+walk AS (SELECT 0::BIGINT AS turn, []::VARCHAR[] AS used, NULL::VARCHAR AS expected, NULL::STRUCT(less INTEGER, actual VARCHAR, shared BIGINT) AS got
+  UNION ALL SELECT c.turn, CASE WHEN len(list_filter(wants, lambda w: NOT list_contains(used, w.actual))) > 0 THEN list_append(used, list_filter(wants, lambda w: NOT list_contains(used, w.actual))[1].actual) ELSE used END, c.expected, list_filter(wants, lambda w: NOT list_contains(used, w.actual))[1]
+  FROM walk JOIN chosen c ON c.turn = walk.turn + 1),
+matches AS (SELECT expected, got.actual AS actual, -got.less AS score, got.shared AS shared FROM walk WHERE got IS NOT NULL)"""
+
+
+def clue_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    named = lambda df, sign: df.where("source IS NOT NULL AND lang IS NOT NULL").groupBy(F.concat("source", F.lit(sign), "lang").alias("id"), F.col("source").alias("key"), F.col("lang").alias("risk_category")).agg(F.collect_set("doc_id").alias("evidence")).withColumns({"clue_type": F.lit("insults_of_source"), "entities": F.array("key")})
+    hit = classified(spark, sf_dir).where("hit_insult > 0").select(F.col("trace_id").alias("doc_id"))
+    gold = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return named(docs.join(gold, "doc_id", "left_semi"), "/"), named(docs.join(hit, "doc_id", "left_semi"), ":")
+
+
+def matched_clues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Expected clues, actual clues and the matches between them with their common records."""
+    expected, actual = (materialise(x, "clue-side") for x in clue_sides(spark, sf_dir))
+    scores = materialise(M.clue_scores(expected, actual), "clue-scores")
+    found = M.greedy_matches(scores).join(scores.select("left", "right", "shared"), ["left", "right"])
+    return expected, actual, found
+
+
+@register("join_clue_match", f"WITH RECURSIVE {_SIDES} SELECT expected, actual, score::BIGINT AS score, shared FROM matches")
 def join_clue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clues(spark, sf_dir)
-    left = found.select(F.col("risk_category").alias("grp"), F.col("clue_id").alias("left"), F.col("n_traces").alias("lt"))
-    right = found.select(F.col("risk_category").alias("grp"), F.col("clue_id").alias("right"), F.col("n_sources").alias("rs"), F.col("n_traces").alias("lt"))
-    pairs = left.join(right, ["grp", "lt"]).select("grp", "left", "right", (F.col("rs") / (1 + F.col("lt"))).cast("double").alias("score"))
-    return M.greedy_matches(pairs)
+    return matched_clues(spark, sf_dir)[2].select(F.col("left").alias("expected"), F.col("right").alias("actual"), "score", "shared")
 
 
 _normal = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{200B}-\x{200F}\x{FEFF}]', '', 'g'), '[\s\x{A0}\x{85}]+', ' ', 'g'))"
@@ -73,12 +99,15 @@ def agg_graph_clue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.join(kinds, "entity_id", "left").select("entity_id", "n_sources", F.when(F.col("phone"), "graph_contact").when(F.col("ip"), "graph_network").otherwise("graph_shared").alias("clue_type"))
 
 
-@register("agg_evidence_pr", f"WITH {CLASSIFIED}, g AS (SELECT source_name, count(*) FILTER (toxic = 1 AND hit_insult > 0) AS both_sides, count(*) FILTER (hit_insult > 0) AS predicted, count(*) FILTER (toxic = 1) AS expected FROM bucketed JOIN labels ON doc_id = trace_id GROUP BY 1) SELECT source_name, round(both_sides / nullif(predicted, 0), 4) AS precision, round(both_sides / nullif(expected, 0), 4) AS recall FROM g")
+@register("agg_evidence_pr", f"""WITH RECURSIVE {_SIDES}, n AS (SELECT count(*) AS tp, coalesce(sum(shared), 0) AS both_sides, coalesce(sum(len(g.evidence)), 0) AS e, coalesce(sum(len(h.evidence)), 0) AS a FROM matches m JOIN gold g ON g.id = m.expected JOIN hits h ON h.id = m.actual)
+SELECT tp, (SELECT count(*) FROM hits) - tp AS fp, (SELECT count(*) FROM gold) - tp AS fn, CASE WHEN a > 0 THEN round(both_sides / a, 4) ELSE 0 END AS evidence_precision, CASE WHEN e > 0 THEN round(both_sides / e, 4) ELSE 0 END AS evidence_recall FROM n""")
 def agg_evidence_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = classified(spark, sf_dir).join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "trace_id"), "trace_id")
-    hit, true = F.col("hit_insult") > 0, F.col("toxic") == 1
-    g = df.groupBy("source_name").agg(F.count_if(hit & true).alias("k"), F.count_if(hit).alias("p"), F.count_if(true).alias("e"))
-    return g.select("source_name", F.round(F.try_divide(F.col("k").cast("double"), F.col("p").cast("double")), 4).alias("precision"), F.round(F.try_divide(F.col("k").cast("double"), F.col("e").cast("double")), 4).alias("recall"))
+    expected, actual, found = matched_clues(spark, sf_dir)
+    size = lambda df, name, end: df.select(F.col("id").alias(name), F.size("evidence").alias(end))
+    sums = found.join(size(expected, "left", "e"), "left").join(size(actual, "right", "a"), "right").agg(F.count("*").alias("tp"), F.coalesce(F.sum("shared"), F.lit(0)).alias("k"), F.coalesce(F.sum("e"), F.lit(0)).alias("e"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"))
+    rate = lambda n: F.coalesce(F.round(F.try_divide(F.col("k").cast("double"), F.col(n).cast("double")), 4), F.lit(0.0))
+    n_e, n_a = expected.count(), actual.count()
+    return sums.select("tp", (F.lit(n_a) - F.col("tp")).cast("long").alias("fp"), (F.lit(n_e) - F.col("tp")).cast("long").alias("fn"), rate("a").alias("evidence_precision"), rate("e").alias("evidence_recall"))
 
 
 @register("agg_profile_dataset", f"WITH {CLASSIFIED} SELECT source_name, risk_category, review_bucket, count(*) AS n FROM bucketed GROUP BY GROUPING SETS ((source_name), (risk_category), (review_bucket), (source_name, risk_category))")

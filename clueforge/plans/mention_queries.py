@@ -9,9 +9,10 @@ from clueforge.functions import text as T
 from clueforge.operators import graph as G
 from clueforge.operators import mentions as M
 from clueforge.operators import records as R
-from clueforge.plans.record_queries import CLEANED
+from clueforge.operators.mining import mined_terms
+from clueforge.plans.record_queries import CLASSIFIED, CLEANED
 from clueforge.registry import register
-from clueforge.session import table
+from clueforge.session import materialise, table
 
 TERMS = {"token": "credential", "password": "credential", "license": "notice", "akia": "cloud_key"}
 VARIANTS = (M.Variant("spaced_mail", r"e\s*-\s*mail", "email"), M.Variant("call", r"call(?:ed|ing)?", "phone_call", ("+1", "phone"), 24), M.Variant("article", r" les? ", "the", ("est", "des"), 0))
@@ -120,3 +121,18 @@ def svc_prompt_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn_normalize_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = records(spark, sf_dir)
     return base.select("trace_id", F.sha1(T.normalize_intel(F.concat(F.lit("V x, w X "), F.col("clean_text"), F.lit(" ✈️ d y")))).alias("value"))
+
+
+#: Runs of letters stand for the CJK runs of the rule, as the tables hold none; known words and stop terms.
+_RUN, _KNOWN, _STOP = "[a-zß-öø-ÿ]{2,12}", ("the", "und"), ("en", "in", "de", "on")
+_gram_rows = " UNION ALL ".join(f"SELECT trace_id, unnest(list_transform(range(1, length(r) - {n} + 2), lambda i: r[i:i + {n} - 1])) AS term FROM runs WHERE length(r) >= {n}" for n in (2, 3, 4))
+
+
+@register("agg_slang_mine", rf"""WITH {CLASSIFIED}, runs AS (SELECT trace_id, unnest(regexp_extract_all(lower(t), '{_RUN}')) AS r FROM base), grams AS ({_gram_rows}),
+top AS (SELECT term, count(*) AS count, count(DISTINCT trace_id) AS document_count FROM grams WHERE term NOT IN ({", ".join(f"'{w}'" for w in _STOP)}) AND NOT contains(term, 'the') AND NOT contains(term, 'und') GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 80),
+s AS (SELECT term, trace_id FROM (SELECT DISTINCT term, trace_id FROM grams SEMI JOIN top USING (term)) QUALIFY row_number() OVER (PARTITION BY term ORDER BY trace_id) <= 10)
+SELECT term, any_value(count) AS count, any_value(document_count) AS document_count, string_agg(trace_id::VARCHAR, ',' ORDER BY trace_id) AS sample_ids FROM top JOIN s USING (term) GROUP BY 1""")
+def agg_slang_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = R.records(table(spark, sf_dir, "documents")).select(F.col("trace_id").alias("id"), F.lower("clean_text").alias("text"))
+    found = mined_terms(materialise(records, "mining"), _RUN, known=_KNOWN, stop=_STOP)
+    return found.select("term", "count", "document_count", F.array_join(F.col("sample_ids").cast("array<string>"), ",").alias("sample_ids"))

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clueforge.operators import graph as G
 from clueforge.operators import policy as P
+from clueforge.operators import records as R
 from clueforge.plans.graph_queries import ENTITIES, clues, entities, rated
 from clueforge.plans.relational_queries import _q
 from clueforge.registry import register
+from clueforge.session import materialise, table
 
 _BASIS = "CASE doc_id % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'Authorized' WHEN 2 THEN 'scraped' END"
 
@@ -33,13 +36,29 @@ def _(t):
     return t("pages").groupBy(P.compliance(F.when(i % 7 != 0, "public"), i % 2 != 0, i % 3 != 0).alias("decision")).agg(F.count("*").alias("n"))
 
 
-_edge = lambda w: f"regexp_matches(text, '(?i)(^|[^A-Za-z0-9_]){w}($|[^A-Za-z0-9_])')"
+#: Terms to look for; those of "greeting" count only beside a word of the last list.
+_INCLUDE, _EXCLUDE = ("token", "password", "account"), ("license",)
+_THEMES = {"greeting": ("the", "und", "que"), "contact": ("mail2.example.com", "+1 (", "example.com"), "legal": ("permission is hereby", "copyright")}
+_BANNED, _WEAK = ("legal",), ("greeting", ("les", "der", "and"))
 
 
-@_q("flt_relevance", f"SELECT doc_id, {' + '.join(_edge(w) + '::INT' for w in ('token', 'password', 'the'))} AS hits, ({' + '.join(_edge(w) + '::INT' for w in ('token', 'password', 'the'))}) >= 1 AND NOT {_edge('license')} AS relevant FROM documents")
+def _term_sql(term: str) -> str:
+    """Whether a term stands in low as a word of its own."""
+    escaped = "".join("\\" + c if c in "+.()" else c for c in term)
+    return f"regexp_matches(low, '(^|[^a-z0-9_]){escaped}($|[^a-z0-9_])')" if all(c.isascii() and (c.isalnum() or c in "_ +.@:/-") for c in term) else f"contains(low, '{term}')"
+
+
+_some = lambda terms: "list_filter([" + ", ".join(f"CASE WHEN {_term_sql(t)} THEN '{t}' END" for t in terms) + "], lambda x: x IS NOT NULL)"
+_weak = f"len({_some(_WEAK[1])}) > 0"
+
+
+@_q("flt_relevance", f"""WITH h AS (SELECT doc_id, {_some(_INCLUDE)} AS i, {_some(_EXCLUDE)} AS e, CASE WHEN {_weak} THEN {_some(_THEMES['greeting'])} ELSE [] END AS g, {_some(_THEMES['contact'])} AS c, {_some(_THEMES['legal'])} AS l FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)),
+m AS (SELECT *, list_distinct(i || g || c) AS matched FROM h)
+SELECT doc_id, array_to_string(list_sort(matched), ',') AS matched, array_to_string(list_sort(list_distinct(e || l)), ',') AS excluded, concat_ws(',', CASE WHEN len(g) > 0 THEN 'greeting' END, CASE WHEN len(c) > 0 THEN 'contact' END) AS themes, len(matched) AS hit_count, len(matched) >= 2 AND len(e || l) = 0 AS relevant FROM m""")
 def _(t):
-    hits, relevant = P.relevance(F.col("text"), ("token", "password", "the"), ("license",))
-    return t("documents").select("doc_id", hits.alias("hits"), relevant.alias("relevant"))
+    found = P.relevance(t("documents"), _INCLUDE, _EXCLUDE, _THEMES, _BANNED, _WEAK, 2)
+    text = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return found.select("doc_id", text("matched"), text("excluded"), F.array_join("matched_themes", ",").alias("themes"), F.col("hit_count").cast("long").alias("hit_count"), "relevant")
 
 
 @_q("flt_theme_norm", "SELECT doc_id, array_to_string(list_sort(list_distinct([CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' ELSE lower(lang) END, lower(source)])), ',') AS themes FROM documents")
@@ -107,9 +126,23 @@ def win_bulk_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("clue_type", "m.clue_id", "m.n_traces")
 
 
-@register("agg_playbook", f"WITH {ENTITIES} SELECT risk_category, count(*) AS clues, count(DISTINCT clue_type) AS kinds, sum(n_traces)::BIGINT AS evidence FROM clues GROUP BY 1 HAVING count(*) >= 2")
+#: Elements of a playbook and the terms that show them, in invented prose.
+_ELEMENTS = {"accounts": ("password", "account", "token"), "contact": ("mail2.example.com", "mail5.example.com", "+1 ("), "prose": ("the", "und", "que", "les"), "tools": ("akia", "server", "script")}
+_shown = " UNION ALL ".join(f"SELECT risk_category, '{e}' AS element, '{t}' AS term FROM held WHERE {_term_sql(t)}" for e, terms in _ELEMENTS.items() for t in terms)
+
+
+@register("agg_playbook", f"""WITH {ENTITIES}, members AS (SELECT DISTINCT c.risk_category, e.trace_id FROM clues c JOIN entities e ON e.normalized = c.key AND 'shared_' || e.entity_type = c.clue_type),
+held AS (SELECT risk_category, trace_id, lower(t) AS low FROM members JOIN base USING (trace_id)), shown AS (SELECT DISTINCT * FROM ({_shown})),
+k AS (SELECT risk_category, count(DISTINCT clue_id) AS clue_count FROM clues GROUP BY 1 HAVING count(DISTINCT clue_id) >= 2), n AS (SELECT risk_category, count(*) AS evidence_count FROM members GROUP BY 1),
+p AS (SELECT risk_category, element, string_agg(term, ',' ORDER BY term) AS terms FROM shown GROUP BY 1, 2), q AS (SELECT risk_category, count(*) AS m, string_agg(element || '=' || terms, ';' ORDER BY element) AS elements FROM p GROUP BY 1 HAVING count(*) >= 2)
+SELECT risk_category, clue_count, evidence_count, elements, round(least(0.96::DOUBLE, 0.58::DOUBLE + 0.07::DOUBLE * clue_count + 0.04::DOUBLE * m), 4) AS confidence FROM k JOIN q USING (risk_category) JOIN n USING (risk_category)""")
 def agg_playbook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clues(spark, sf_dir).groupBy("risk_category").agg(F.count("*").alias("clues"), F.countDistinct("clue_type").alias("kinds"), F.sum("n_traces").alias("evidence")).where("clues >= 2")
+    found = materialise(clues(spark, sf_dir).select("clue_id", "risk_category"), "playbook-clues")
+    named = entities(spark, sf_dir).select(G.clue_id(F.concat(F.lit("shared_"), "entity_type"), F.col("normalized")).alias("clue_id"), "trace_id")
+    evidence = materialise(named.join(found.select("clue_id"), "clue_id", "left_semi"), "playbook-evidence")
+    books = P.playbooks(found, evidence, R.records(table(spark, sf_dir, "documents")).select("trace_id", F.col("clean_text").alias("text")), _ELEMENTS)
+    shown = F.array_join(F.transform(F.map_entries("elements"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";")
+    return books.select("risk_category", "clue_count", "evidence_count", shown.alias("elements"), "confidence")
 
 
 @register("dom_reviewability", f"WITH {ENTITIES} SELECT clue_id, n_sources, n_traces, last_trace - first_trace AS span, CASE WHEN n_sources >= 2 AND n_traces >= 3 THEN 'review_now' WHEN n_traces >= 2 THEN 'sample_review' ELSE 'hold' END AS action FROM clues")

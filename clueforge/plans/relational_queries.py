@@ -162,13 +162,6 @@ def _(t):
     return t("lineitem").where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").alias("p50"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-@_q("agg_slang_mine", "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{12,}')) AS term FROM documents) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, term LIMIT 50")
-def _(t):
-    w = t("documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{12,}"), F.lit(0))).alias("term"))
-    per = w.groupBy("term", "doc_id").agg(F.count("*").alias("k")).groupBy("term").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
-    return per.where("n >= 3").orderBy(F.desc("n"), "term").limit(50)
-
-
 @_q("win_latest", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def _(t):
     return O.latest(t("orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
@@ -225,13 +218,6 @@ def _(t):
     return O.top_k_sparse(t("documents").select("doc_id", "text"), _QUERY, 20)
 
 
-@_q("topk_clue_retrieve", "SELECT doc_id, hits FROM (SELECT doc_id, len(list_intersect(regexp_extract_all(lower(text), '[a-z0-9]+'), ['password', 'token', 'the', 'mail'])) AS hits FROM documents) WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 30")
-def _(t):
-    wanted = F.array(*map(F.lit, ("password", "token", "the", "mail")))
-    hits = F.size(F.array_intersect(T.tokens(F.col("text")), wanted)).cast("long")
-    return t("documents").select("doc_id", hits.alias("hits")).where("hits > 0").orderBy(F.desc("hits"), "doc_id").limit(30)
-
-
 @_q("set_union_clues", "SELECT doc_id AS id, 'document' AS kind FROM documents UNION ALL SELECT page_id, 'page' FROM pages")
 def _(t):
     return t("documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind")).unionByName(t("pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind")))
