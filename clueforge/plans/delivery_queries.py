@@ -21,8 +21,9 @@ from clueforge.operators import mentions as M
 from clueforge.registry import register
 from clueforge.session import materialise, table
 from clueforge.sources import landing as L
-from clueforge.streaming import streams
+from clueforge.streaming import cursors, streams
 from clueforge.streaming.incremental import merged_state
+from clueforge.streaming.pending import Pending
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,10 +259,36 @@ def st_dedup_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_state(_stream(spark, sf_dir, "documents"), keyed, ["dedup_group"], {"first_trace": "min", "copies": "sum"})
 
 
-@register("st_pending_batch", "SELECT user_id, max({'at': floor(epoch(ts))::BIGINT, 'event_id': event_id}).event_id AS event_id, count(*) AS buffered FROM events GROUP BY 1")
+#: Rows of one build.
+_DRAIN = 60
+
+
+@register("st_pending_batch", f"""WITH e AS (SELECT user_id, event_id, value, row_number() OVER (ORDER BY floor(epoch(ts))::BIGINT, event_id) AS i FROM events WHERE user_id IS NOT NULL),
+k AS (SELECT user_id, min(i) AS first, arg_max(event_id, i) AS event_id, arg_max(value, i) AS value FROM e GROUP BY 1)
+SELECT user_id, event_id, value, (row_number() OVER (ORDER BY first) - 1) // {_DRAIN} AS build FROM k""")
 def st_pending_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lambda batch: batch.select("user_id", F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id").alias("last"), F.lit(1).cast("long").alias("buffered"))
-    return merged_state(_stream(spark, sf_dir, "events"), rows, ["user_id"], {"last": "max", "buffered": "sum"}).select("user_id", "last.event_id", "buffered")
+    buffer = Pending(spark, L.scratch(spark, "pending"), "user_id long, event_id long, value double, at long", "user_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    waiting = buffer.add(rows, ["at", "event_id"])
+    while waiting > 0:  # some runs, each of which takes what one build can
+        buffer.drain(_DRAIN)
+        waiting -= _DRAIN
+    first = buffer.drained().agg(F.min("run")).collect()[0][0] or 0
+    return buffer.drained().select("user_id", "event_id", "value", (F.col("run") - F.lit(first)).alias("build"))
+
+
+@register("src_chat_incremental", "SELECT conv_id::VARCHAR AS key, turn + 1 AS id, role, text FROM conversations WHERE turn >= 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn) = 1")
+def src_chat_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream, place = cursors.chat_messages(_stream(spark, sf_dir, "conversations")), L.scratch(spark, "chat")
+    cursors.collect_new(stream, place)
+    return cursors.collected(spark, stream.schema, place).select("key", "id", "role", "text")
+
+
+@register("src_recent_search", "SELECT sha256(event_type)[1:16] AS key, event_id AS id, user_id, value FROM events WHERE event_id > 0 AND event_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type, event_id) = 1")
+def src_recent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream, place = cursors.search_results(_stream(spark, sf_dir, "events").select("event_type", "event_id", "user_id", "value"), "event_type", "event_id"), L.scratch(spark, "search")
+    cursors.collect_new(stream, place)
+    return cursors.collected(spark, stream.schema, place).select("key", "id", "user_id", "value")
 
 
 @register("st_clue_batch", "SELECT user_id || ':' || json_extract_string(props, '$.k') AS key, count(*) AS n, min(event_type) AS least_type, max(event_type) AS most_type, min(event_type) <> max(event_type) AS cross_source FROM events GROUP BY 1")
