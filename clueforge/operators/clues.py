@@ -51,17 +51,56 @@ def order_distances(rows: DataFrame, hours: int = 48) -> DataFrame:
     return pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"), F.when(round_ == 0, F.lit(n)).otherwise(round_).alias("distance"), "minutes")
 
 
+def chain_of(trace: Column) -> Column:
+    """An aggregate: the identity of a set of distinct records, whatever their order, without holding them."""
+    other = F.pmod(F.xxhash64(trace, F.lit(1)), F.lit(1 << 40))
+    return F.concat_ws(":", F.count("*").cast("string"), F.bit_xor(F.xxhash64(trace)).cast("string"), F.sum(other).cast("string"))
+
+
+#: The clue type of each entity type, and the types that count as accounts and as tools.
+KINDS = {"email": "shared_contact_48h", "phone": "shared_contact_48h", "domain": "shared_domain_multi_source", "ip": "shared_tool_multi_source", "access_key": "shared_tool_multi_source"}
+ACCOUNTS, TOOLS = ("email", "phone"), ("ip", "access_key")
+
+
+def clue_objects(entities: DataFrame, templates: DataFrame, classes: DataFrame) -> DataFrame:
+    """All clues that the engine finds: clue_id, clue_type, key, n_traces, n_sources, chain, entities, risk_category, confidence, weak_reason.
+
+    entities: trace_id, source_name, entity_type, normalized; templates: trace_id,
+    source_name, key; classes: trace_id, risk_category. A clue of an entity type is
+    weak if one record has it. A tool in records with an account, and an account in
+    records with a tool, are clues of the graph. Templates have three records, or
+    two of two sources. The risk is that of most records, ties by the earliest one.
+    Records are counted and hashed, never collected.
+    """
+    kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("entity_type")]
+    own = entities.select(kind.alias("clue_type"), F.col("normalized").alias("key"), "trace_id", "source_name", "entity_type").where("clue_type is not null")
+    has = own.groupBy("trace_id").agg(F.bool_or(F.col("entity_type").isin(*ACCOUNTS)).alias("account"), F.bool_or(F.col("entity_type").isin(*TOOLS)).alias("tool")).where("account and tool").select("trace_id")
+    linked = own.join(has, "trace_id", "left_semi").where(F.col("entity_type").isin(*ACCOUNTS, *TOOLS)).withColumn("clue_type", F.when(F.col("entity_type").isin(*TOOLS), SPECIFIC[0]).otherwise(SPECIFIC[1]))
+    cut = templates.select(F.explode(F.array(F.lit("shared_template_multi_source"), F.lit("high_frequency_template"))).alias("clue_type"), "key", "trace_id", "source_name")
+    rows = own.unionByName(linked).drop("entity_type").unionByName(cut).distinct().join(classes.select("trace_id", "risk_category"), "trace_id")
+    per = rows.groupBy("clue_type", "key", "risk_category").agg(F.count("*").alias("n"), F.min("trace_id").alias("first"))
+    top = per.groupBy("clue_type", "key").agg(F.max_by("risk_category", F.struct("n", -F.col("first"))).alias("risk_category"))
+    sized = rows.groupBy("clue_type", "key").agg(F.count("*").alias("n_traces"), F.countDistinct("source_name").alias("n_sources"), chain_of(F.col("trace_id")).alias("chain"))
+    enough = F.when(F.col("clue_type") == "high_frequency_template", F.col("n_traces") >= 3).when(F.col("clue_type") == "shared_template_multi_source", (F.col("n_traces") >= 2) & (F.col("n_sources") >= 2)).otherwise(True)
+    return sized.where(enough).join(top, ["clue_type", "key"]).withColumns({
+        "clue_id": F.concat(F.lit("clue:"), F.substring(F.sha2(F.concat_ws(":", "clue_type", "key"), 256), 1, 16)),
+        "entities": F.array("key"),
+        "confidence": F.round(F.least(F.lit(0.98), 0.62 + F.col("n_traces") * 0.08 + F.col("n_sources") * 0.04), 4),
+        "weak_reason": F.when(F.col("clue_type").isin(*KINDS.values()) & (F.col("n_traces") == 1), BRIDGE),
+    })
+
+
 SPECIFIC = ("entity_graph_account_tool_overlap", "entity_graph_tool_trade_cluster")
 GENERIC = ("shared_contact_48h", "shared_tool_multi_source")
 BRIDGE = "single_identifier_with_authorized_cross_source_corroboration"
 
 
 def superseded(clues: DataFrame) -> DataFrame:
-    """Adds archive_reason to clues (clue_type, key, traces, weak_reason) that a more specific clue of the same records covers, else null.
+    """Adds archive_reason to clues (clue_type, key, chain, weak_reason) that a more specific clue of the same records covers, else null.
 
-    What covers is found by semi joins on the key and the sorted records.
+    What covers is found by joins on the key and the identity of the set of records.
     """
-    df = clues.withColumns({"_key": F.lower(F.trim("key")), "_chain": F.array_join(F.array_sort(F.array_distinct("traces")), "\n"), "_kind": F.lower(F.trim("clue_type"))})
+    df = clues.withColumns({"_key": F.lower(F.trim("key")), "_chain": F.col("chain"), "_kind": F.lower(F.trim("clue_type"))})
     named = lambda name, rows, on: rows.select(*on).distinct().withColumn(name, F.lit(True))
     df = df.join(named("_domain", df.where("_kind = 'shared_domain_multi_source'"), ["_chain"]), "_chain", "left")
     df = df.join(named("_cluster", df.where(F.col("_kind") == SPECIFIC[1]), ["_key", "_chain"]), ["_key", "_chain"], "left")
@@ -77,13 +116,16 @@ def superseded(clues: DataFrame) -> DataFrame:
 
 
 def bulk_represented(clues: DataFrame, bulk: int = 8) -> DataFrame:
-    """Adds archive_reason where a template of `bulk` records or more makes one clue of a type stand for the others of its risk category."""
-    df = clues.withColumns({"_kind": F.lower("clue_type"), "_n": F.size(F.array_distinct("traces"))})
+    """Adds archive_reason where a template of `bulk` records or more makes one clue of a type stand for the others of its risk category.
+
+    clues: clue_id, clue_type, n_traces, n_sources, risk_category, confidence, entities.
+    """
+    df = clues.withColumns({"_kind": F.lower("clue_type"), "_n": F.col("n_traces")})
     is_bulk = F.col("_kind").contains("template") & (F.col("_n") >= bulk)
     risks = df.where(is_bulk).select(F.lower("risk_category").alias("_risk")).distinct().withColumn("_bulk", F.lit(True))
     df = df.withColumn("_risk", F.lower("risk_category")).join(F.broadcast(risks), "_risk", "left")
     stands = F.col("_kind").isin("shared_contact_48h", "shared_domain_multi_source") & F.coalesce("_bulk", F.lit(False))
-    rank = F.struct(F.col("confidence"), F.col("_n"), F.size(F.array_distinct("sources")), (-F.monotonically_increasing_id()).alias("at")) if "clue_id" not in clues.columns else F.struct("confidence", "_n", F.size(F.array_distinct("sources")), "clue_id")
+    rank = F.struct("confidence", "_n", "n_sources", "clue_id")
     best = df.where(stands).groupBy("_kind").agg(F.max(rank).alias("_best"))
     df = df.withColumn("_rank", rank).join(best, "_kind", "left")
     any_bulk = F.broadcast(risks.limit(1).select(F.lit(True).alias("_any")))
@@ -140,12 +182,21 @@ BREACHES = (
 LOCAL_TARGETS, OUTBOUND, PERSONAL = ("review_repo", "review_queue", "human_review"), ("send", "upload", "post to", "export"), ("phone", "email", "account", "contact")
 
 
-def safety_breach(action: Column, target: Column) -> Column:
-    """The rule that a proposed action breaks, or null; only writes to local review targets may carry personal data."""
+def safety_breach(action: Column, target: Column, breaches: tuple = BREACHES, local_targets: tuple[str, ...] = LOCAL_TARGETS, outbound: tuple[str, ...] = OUTBOUND, personal: tuple[str, ...] = PERSONAL) -> Column:
+    """The rule that a proposed action breaks, or null; only writes to local review targets may carry personal data.
+
+    The first two of `breaches` come before personal data, the others after it.
+    """
     low, place = F.lower(F.coalesce(action, F.lit(""))), F.lower(F.coalesce(target, F.lit("")))
     hit = lambda col, words: col.rlike("|".join(rf"\b{w}\b" for w in words))
-    local = hit(place, LOCAL_TARGETS) | hit(low, LOCAL_TARGETS)
-    return F.when(hit(low, BREACHES[0][1]), BREACHES[0][0]).when(hit(low, BREACHES[1][1]), BREACHES[1][0]).when(~local & hit(low, OUTBOUND) & hit(low, PERSONAL), "pii_exfiltration").when(hit(low, BREACHES[2][1]), BREACHES[2][0])
+    local = hit(place, local_targets) | hit(low, local_targets)
+    found = F.lit(None).cast("string")
+    for name, words in reversed(breaches[2:]):
+        found = F.when(hit(low, words), name).otherwise(found)
+    found = F.when(~local & hit(low, outbound) & hit(low, personal), "pii_exfiltration").otherwise(found)
+    for name, words in reversed(breaches[:2]):
+        found = F.when(hit(low, words), name).otherwise(found)
+    return found
 
 
 def suggestions(clues: DataFrame) -> DataFrame:

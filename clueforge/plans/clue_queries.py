@@ -1,14 +1,17 @@
-"""Clue decisions: corroboration over `events` and `documents`, and fixture clues."""
+"""Clue decisions over `events`, and over clues, runs and texts of `documents`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clueforge.functions import text as T
 from clueforge.operators import clues as C
-from clueforge.plans.graph_queries import ENTITIES, clues, entities
+from clueforge.operators import records as R
+from clueforge.plans.graph_queries import ENTITIES, _masked, clues, entities
+from clueforge.plans.record_queries import classified
 from clueforge.registry import register
-from clueforge.session import table
+from clueforge.session import materialise, table
 
 _CORROBORATED = """a AS (SELECT event_id AS id, event_type AS source, floor(epoch(ts))::BIGINT AS s FROM events), b AS (SELECT event_id AS id, event_type AS source, floor(epoch(ts))::BIGINT AS s FROM events),
 pairs AS (SELECT a.id AS a_id, b.id AS b_id, abs(a.s - b.s) // 60 AS minutes FROM a JOIN b ON b.s BETWEEN a.s - 172800 AND a.s + 172800 AND a.source <> b.source
@@ -49,46 +52,54 @@ for _name, _need in _TYPES.items():
     _bridge(_name, _need)
 
 
-#: Clues that trigger each rule: clue_id, clue_type, key, traces, sources, entities, risk_category, confidence, weak_reason.
-ROWS = (
-    ("c01", "shared_contact_48h", "Zed@A.example", "1,2", "s1,s2", "zed@a.example", "contact", 0.7, C.BRIDGE),
-    ("c02", "shared_domain_multi_source", "a.example", "2,1", "s1,s2", "a.example", "contact", 0.8, None),
-    ("c03", "shared_contact_48h", "kit", "3,4", "s1,s3", "kit", "contact", 0.75, C.BRIDGE),
-    ("c04", "entity_graph_tool_trade_cluster", "KIT ", "4,3", "s1,s3", "kit", "contact", 0.6, None),
-    ("c05", "shared_tool_multi_source", "panel", "5,6", "s1", "panel", "credential", 0.9, None),
-    ("c06", "entity_graph_account_tool_overlap", "panel", "6,5", "s1", "panel", "credential", 0.9, None),
-    ("c07", "shared_tool_multi_source", "@panel", "5,6", "s1", "@panel", "credential", 0.5, None),
-    ("c08", "high_frequency_template", "hello", "1,2,3,4,5,6,7,8,9", "s1,s2", "hello", "contact", 0.9, None),
-    ("c09", "shared_template_multi_source", "hello you", "1,2", "s1,s2", "a.example", "contact", 0.9, None),
-    ("c10", "shared_contact_48h", "yan@b.example", "7,8,9", "s2,s4", "yan@b.example", "contact", 0.75, None),
-    ("c11", "shared_domain_multi_source", "b.example", "7,8", "s2", "b.example", "other", 0.75, None),
-)
-_COLUMNS = ("clue_id", "clue_type", "key", "traces", "sources", "entities", "risk_category", "confidence", "weak_reason")
-_value = lambda v: "NULL" if v is None else f"{v}::DOUBLE" if isinstance(v, float) else "'" + v + "'"
-FIXED = f"fixed AS (SELECT clue_id, clue_type, key, string_split(traces, ',') AS traces, string_split(sources, ',') AS sources, string_split(entities, ',') AS entities, risk_category, confidence, weak_reason FROM (VALUES {', '.join('(' + ', '.join(map(_value, r)) + ')' for r in ROWS)}) AS v({', '.join(_COLUMNS)}))"
+_kinds = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.KINDS.items()) + " END"
+_quoted = lambda names: ", ".join(f"'{n}'" for n in names)
 
 
-def fixed_clues(spark: SparkSession) -> DataFrame:
-    df = spark.createDataFrame([list(r) for r in ROWS], ", ".join(f"{c} {'double' if c == 'confidence' else 'string'}" for c in _COLUMNS))
-    return df.withColumns({c: F.split(c, ",") for c in ("traces", "sources", "entities")})
+def objects_sql(only: str = "true") -> str:
+    """clue_objects in SQL, over the documents for which `only` holds."""
+    return rf"""{ENTITIES}, own AS (SELECT {_kinds} AS clue_type, normalized AS key, trace_id, source_name, entity_type FROM entities WHERE {only}),
+has AS (SELECT trace_id FROM own GROUP BY 1 HAVING bool_or(entity_type IN ({_quoted(C.ACCOUNTS)})) AND bool_or(entity_type IN ({_quoted(C.TOOLS)}))),
+linked AS (SELECT CASE WHEN entity_type IN ({_quoted(C.TOOLS)}) THEN '{C.SPECIFIC[0]}' ELSE '{C.SPECIFIC[1]}' END AS clue_type, key, trace_id, source_name FROM own SEMI JOIN has USING (trace_id) WHERE entity_type IN ({_quoted(C.ACCOUNTS + C.TOOLS)})),
+keyed AS (SELECT trace_id, source_name, regexp_replace(lower({_masked}), '[^\p{{L}}\p{{N}}]', '', 'g')[1:80] AS key FROM base WHERE {only}),
+members AS (SELECT DISTINCT clue_type, key, trace_id, source_name FROM (SELECT clue_type, key, trace_id, source_name FROM own UNION ALL SELECT * FROM linked UNION ALL SELECT unnest(['shared_template_multi_source', 'high_frequency_template']), key, trace_id, source_name FROM keyed WHERE length(key) >= 12)),
+ranked_risks AS (SELECT clue_type, key, risk_category FROM (SELECT clue_type, key, risk_category, count(*) AS n, min(trace_id) AS first FROM members JOIN (SELECT trace_id, risk_category FROM bucketed) USING (trace_id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY clue_type, key ORDER BY n DESC, first) = 1),
+objects AS (SELECT *, 'clue:' || sha256(clue_type || ':' || key)[1:16] AS clue_id, round(least(0.98::DOUBLE, 0.62::DOUBLE + n_traces * 0.08::DOUBLE + n_sources * 0.04::DOUBLE), 4) AS confidence, CASE WHEN n_traces = 1 AND clue_type IN ({_quoted(sorted(set(C.KINDS.values())))}) THEN '{C.BRIDGE}' END AS weak_reason
+  FROM (SELECT clue_type, key, count(*) AS n_traces, count(DISTINCT source_name) AS n_sources, array_to_string(list_sort(list(trace_id)), ',') AS chain FROM members GROUP BY 1, 2) JOIN ranked_risks USING (clue_type, key)
+  WHERE CASE clue_type WHEN 'high_frequency_template' THEN n_traces >= 3 WHEN 'shared_template_multi_source' THEN n_traces >= 2 AND n_sources >= 2 ELSE true END)"""
 
 
-_chain = "array_to_string(list_sort(list_distinct(traces)), ',')"
+def objects(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """The clues that the engine finds in `documents`, or in those whose trace_id is in `only`."""
+    some = (lambda df: df) if only is None else (lambda df: df.join(only, "trace_id", "left_semi"))
+    found = some(entities(spark, sf_dir))
+    templates = some(R.records(table(spark, sf_dir, "documents"))).select("trace_id", "source_name", F.substring(T.canonical(T.mask_pii(F.col("clean_text"))), 1, 80).alias("key")).where(F.length("key") >= 12)
+    return materialise(C.clue_objects(materialise(found, "clue-entities"), templates, classified(spark, sf_dir)), "clue-objects")
 
 
-@register("dom_supersede", f"""WITH {FIXED}, k AS (SELECT *, lower(trim(key)) AS nk, {_chain} AS chain FROM fixed) SELECT clue_id, CASE
+@register("dom_supersede", f"""WITH {objects_sql()}, k AS (SELECT *, lower(trim(key)) AS nk FROM objects) SELECT clue_id, CASE
   WHEN clue_type = 'shared_contact_48h' AND weak_reason = '{C.BRIDGE}' AND chain IN (SELECT chain FROM k WHERE clue_type = 'shared_domain_multi_source') THEN 'superseded_by_same_chain_domain_clue'
   WHEN clue_type = 'shared_contact_48h' AND weak_reason = '{C.BRIDGE}' AND (nk, chain) IN (SELECT (nk, chain) FROM k WHERE clue_type = 'entity_graph_tool_trade_cluster') THEN 'superseded_by_same_chain_tool_cluster'
   WHEN clue_type IN ('shared_contact_48h', 'shared_tool_multi_source') AND NOT regexp_matches(nk, '^(telegram:|wechat:|qq:|tg:|wx:|@)') AND (nk, chain) IN (SELECT (nk, chain) FROM k WHERE clue_type IN ('entity_graph_account_tool_overlap', 'entity_graph_tool_trade_cluster')) THEN 'superseded_by_more_specific_graph_clue' END AS archive_reason FROM k""")
 def dom_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.superseded(fixed_clues(spark)).select("clue_id", "archive_reason")
+    return C.superseded(objects(spark, sf_dir)).select("clue_id", "archive_reason")
 
 
-@register("win_bulk_template", f"""WITH {FIXED}, n AS (SELECT *, len(list_distinct(traces)) AS k, len(list_distinct(sources)) AS ns FROM fixed), bulk AS (SELECT DISTINCT risk_category FROM n WHERE contains(clue_type, 'template') AND k >= 8),
-stands AS (SELECT clue_id, row_number() OVER (PARTITION BY clue_type ORDER BY confidence DESC, k DESC, ns DESC, clue_id DESC) AS place FROM n WHERE clue_type IN ('shared_contact_48h', 'shared_domain_multi_source') AND risk_category IN (SELECT risk_category FROM bulk))
-SELECT clue_id, CASE WHEN place > 1 THEN 'bulk_template_' || clue_type || '_represented_by_top_evidence' WHEN place IS NULL AND contains(clue_type, 'template') AND len(list_filter(entities, lambda e: regexp_matches(e, '[.:@]'))) = 0 AND EXISTS (SELECT 1 FROM bulk) THEN 'template_pattern_kept_in_candidate_pool_requires_key_entity_support' END AS archive_reason FROM n LEFT JOIN stands USING (clue_id)""")
+_BULK = f"""bulk AS (SELECT DISTINCT risk_category FROM objects WHERE contains(clue_type, 'template') AND n_traces >= 8),
+stands AS (SELECT clue_id, row_number() OVER (PARTITION BY clue_type ORDER BY confidence DESC, n_traces DESC, n_sources DESC, clue_id DESC) AS place FROM objects WHERE clue_type IN ('shared_contact_48h', 'shared_domain_multi_source') AND risk_category IN (SELECT risk_category FROM bulk)),
+judged AS (SELECT o.*, CASE WHEN place > 1 THEN 'bulk_template_' || clue_type || '_represented_by_top_evidence' WHEN place IS NULL AND contains(clue_type, 'template') AND NOT regexp_matches(key, '[.:@]') AND EXISTS (SELECT 1 FROM bulk) THEN 'template_pattern_kept_in_candidate_pool_requires_key_entity_support' END AS archive_reason FROM objects o LEFT JOIN stands USING (clue_id))"""
+
+
+@register("win_bulk_template", f"WITH {objects_sql()}, {_BULK} SELECT clue_id, archive_reason FROM judged")
 def win_bulk_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.bulk_represented(fixed_clues(spark)).select("clue_id", "archive_reason")
+    return C.bulk_represented(objects(spark, sf_dir)).select("clue_id", "archive_reason")
+
+
+@register("win_bulk_representative", f"WITH {objects_sql()}, {_BULK} SELECT clue_type, count(*) AS n, count(*) FILTER (archive_reason IS NULL) AS kept, arg_max(clue_id, (archive_reason IS NULL, confidence, n_traces, n_sources, clue_id)) AS representative FROM judged GROUP BY 1")
+def win_bulk_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = C.bulk_represented(objects(spark, sf_dir))
+    kept = F.col("archive_reason").isNull()
+    return judged.groupBy("clue_type").agg(F.count("*").alias("n"), F.count_if(kept).alias("kept"), F.max_by("clue_id", F.struct(kept, "confidence", "n_traces", "n_sources", "clue_id")).alias("representative"))
 
 
 @register("svc_refine_target", f"""WITH {ENTITIES}, q AS (SELECT clue_id, confidence, clue_quality AS q, n_traces, n_sources, avg_confidence < 0.6 AS review, CASE WHEN n_traces > 2 THEN 'seen often' ELSE '' END AS summary, n_traces > 4 AS refined, entity_type = 'ip' AND n_sources < 3 AS weak FROM rated)
@@ -103,31 +114,33 @@ def svc_refine_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated(spark, sf_dir).select("clue_id", reason.alias("reason"), wanted.alias("refine"))
 
 
-#: profile, has_metrics, explicit policy, enabled, three gains, tokens for each valid clue.
-RUNS = (
-    ("r1", " Fast", True, None, None, 0.5, 0.0, 0.0, 1.0), ("r2", "full", False, None, None, 0.5, 0.0, 0.0, 1.0), ("r3", "full", True, "Conflict_only ", None, 0.5, 0.0, 0.0, 1.0), ("r4", "full", True, "odd", False, 0.5, 0.0, 0.0, 1.0),
-    ("r5", "full", True, None, True, 0.001, 0.0, None, None), ("r6", "full", True, None, None, 0.001, 0.0, 0.0, 20000.0), ("r7", "full", True, None, None, 0.001, 0.0, 0.0, 500.0), ("r8", None, True, None, None, 0.0, 0.02, 0.0, None),
-)
-_bool = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else _value(v)
-
-
-@register("dom_value_gate", f"""SELECT run, CASE WHEN lower(trim(coalesce(profile, ''))) = 'fast' THEN 'disabled' WHEN NOT has_metrics THEN 'hard_cases_only' WHEN lower(trim(explicit)) IN ('enabled', 'hard_cases_only', 'conflict_only', 'disabled') THEN lower(trim(explicit))
-  WHEN NOT coalesce(enabled, true) THEN 'conflict_only' WHEN greatest(coalesce(g1, 0), coalesce(g2, 0), coalesce(g3, 0)) < 0.01 AND (tokens IS NULL OR tokens > 10000) THEN 'conflict_only' ELSE 'enabled' END AS policy
-FROM (VALUES {", ".join("(" + ", ".join(map(_bool, r)) + ")" for r in RUNS)}) AS v(run, profile, has_metrics, explicit, enabled, g1, g2, g3, tokens)""")
+#: A run for each source and language: what the labels say it gained, and what it cost.
+@register("dom_value_gate", """WITH r AS (SELECT source || '/' || lang AS run, CASE WHEN lang = 'fr' THEN ' Fast' ELSE 'full' END AS profile, count(l.doc_id) > 0 AS has_metrics, CASE WHEN lang = 'es' AND count(l.doc_id) > 2 THEN 'Conflict_only ' END AS explicit, CASE WHEN count(*) < 4 THEN false END AS enabled,
+  round(avg(quality) - 0.5, 6) AS g1, round(avg(toxic) - 0.1, 6) AS g2, sum(n_chars)::DOUBLE / nullif(sum(quality), 0) AS tokens FROM documents d LEFT JOIN labels l USING (doc_id) WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang)
+SELECT run, CASE WHEN lower(trim(profile)) = 'fast' THEN 'disabled' WHEN NOT has_metrics THEN 'hard_cases_only' WHEN lower(trim(explicit)) IN ('enabled', 'hard_cases_only', 'conflict_only', 'disabled') THEN lower(trim(explicit))
+  WHEN NOT coalesce(enabled, true) THEN 'conflict_only' WHEN greatest(coalesce(g1, 0), coalesce(g2, 0)) < 0.01 AND (tokens IS NULL OR tokens > 10000) THEN 'conflict_only' ELSE 'enabled' END AS policy FROM r""")
 def dom_value_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([list(r) for r in RUNS], "run string, profile string, has_metrics boolean, explicit string, enabled boolean, g1 double, g2 double, g3 double, tokens double")
-    return df.select("run", C.enrich_policy(F.col("profile"), F.col("has_metrics"), F.col("explicit"), F.col("enabled"), [F.col("g1"), F.col("g2"), F.col("g3")], F.col("tokens")).alias("policy"))
+    rows = table(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL").join(table(spark, sf_dir, "labels").withColumn("labelled", F.lit(1)), "doc_id", "left")
+    seen = F.count("labelled")
+    runs = rows.groupBy("source", "lang").agg(
+        (seen > 0).alias("has_metrics"), F.when((F.col("lang") == "es") & (seen > 2), "Conflict_only ").alias("explicit"), F.when(F.count("*") < 4, False).alias("enabled"),
+        F.round(F.avg("quality") - 0.5, 6).alias("g1"), F.round(F.avg("toxic") - 0.1, 6).alias("g2"), F.try_divide(F.sum("n_chars").cast("double"), F.sum("quality").cast("double")).alias("tokens"),
+    )
+    policy = C.enrich_policy(F.when(F.col("lang") == "fr", " Fast").otherwise("full"), F.col("has_metrics"), F.col("explicit"), F.col("enabled"), [F.col("g1"), F.col("g2")], F.col("tokens"))
+    return runs.select(F.concat("source", F.lit("/"), "lang").alias("run"), policy.alias("policy"))
 
 
-ACTIONS = (("a1", "Write label of the term", "label_repo"), ("a2", "please BLOCK this account", "gateway"), ("a3", "send the phone list", "partner"), ("a4", "send the phone list", "human_review"), ("a5", "bypass the login", None), ("a6", "summarise", "review_repo"), ("a7", None, None), ("a8", "blocked words are listed", "x"))
-_breach = lambda col, words: f"regexp_matches({col}, '" + "|".join(rf"\b{w}\b" for w in words) + "')"
+#: Words that stand for the breaches in invented prose; texts stand for actions and sources for targets.
+_BREACHES = (("formal_write", ("licensed", "copyright")), ("online_enforcement", ("idiot", "stupid")), ("unauthorized_collection", ("password", "token")))
+_LOCAL, _OUTBOUND, _PERSONAL = ("src0", "src1"), ("est", "der", "is"), ("que", "und", "that")
+_hit = lambda col, words: f"regexp_matches({col}, '" + "|".join(rf"\b{w}\b" for w in words) + "')"
 
 
-@register("dom_policy_guard", f"""SELECT action_id, CASE WHEN {_breach('a', C.BREACHES[0][1])} THEN 'formal_write' WHEN {_breach('a', C.BREACHES[1][1])} THEN 'online_enforcement' WHEN NOT ({_breach('t', C.LOCAL_TARGETS)} OR {_breach('a', C.LOCAL_TARGETS)}) AND {_breach('a', C.OUTBOUND)} AND {_breach('a', C.PERSONAL)} THEN 'pii_exfiltration'
-  WHEN {_breach('a', C.BREACHES[2][1])} THEN 'unauthorized_collection' END AS breach FROM (SELECT action_id, lower(coalesce(action, '')) AS a, lower(coalesce(target, '')) AS t FROM (VALUES {", ".join("(" + ", ".join(map(_value, r)) + ")" for r in ACTIONS)}) AS v(action_id, action, target))""")
+@register("dom_policy_guard", f"""SELECT doc_id, CASE WHEN {_hit('a', _BREACHES[0][1])} THEN 'formal_write' WHEN {_hit('a', _BREACHES[1][1])} THEN 'online_enforcement' WHEN NOT ({_hit('t', _LOCAL)} OR {_hit('a', _LOCAL)}) AND {_hit('a', _OUTBOUND)} AND {_hit('a', _PERSONAL)} THEN 'pii_exfiltration'
+  WHEN {_hit('a', _BREACHES[2][1])} THEN 'unauthorized_collection' END AS breach FROM (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', ' ', 'g')) AS a, lower(coalesce(source, '')) AS t FROM documents)""")
 def dom_policy_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([list(r) for r in ACTIONS], "action_id string, action string, target string")
-    return df.select("action_id", C.safety_breach(F.col("action"), F.col("target")).alias("breach"))
+    text = F.regexp_replace("text", r"[^\x00-\x7F]", " ")
+    return table(spark, sf_dir, "documents").select("doc_id", C.safety_breach(text, F.col("source"), _BREACHES, _LOCAL, _OUTBOUND, _PERSONAL).alias("breach"))
 
 
 @register("dom_countermeasure", f"""WITH {ENTITIES} SELECT 'strategy:' || sha256(clue_id || ':strategy')[1:12] AS strategy_id, clue_id AS target_id, 'review ' || clue_type || '=' || key AS recommendation, 'review_only_dashboard_then_low_impact_monitoring' AS scope, 'auto_ban,auto_block,auto_blacklist,production_strategy_write' AS forbidden, round(confidence, 4) AS confidence FROM clues""")

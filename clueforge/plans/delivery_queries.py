@@ -12,7 +12,7 @@ from clueforge.operators import graph as G
 from clueforge.operators import records as R
 from clueforge.operators import selection as S
 from clueforge.operators.retrieval import nearest, word_index
-from clueforge.plans.clue_queries import FIXED, fixed_clues
+from clueforge.plans.clue_queries import objects, objects_sql
 from clueforge.plans.graph_queries import ENTITIES, clues, entities, rated
 from clueforge.plans.mention_queries import ADVANCED, TERMS
 from clueforge.plans.record_queries import CLASSIFIED, classified
@@ -143,13 +143,20 @@ def agg_entity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumns(E.prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-@register("agg_clue_layer", f"""WITH {FIXED}, expected AS (SELECT * FROM (VALUES ('shared_contact_48h', 2), ('shared_domain_multi_source', 1), ('entity_graph_account_tool_overlap', 1), ('shared_settlement', 1)) v(clue_type, n)), w AS (SELECT clue_type, n, unnest(['overall', CASE WHEN starts_with(clue_type, 'entity_graph') THEN 'graph' ELSE 'standard' END]) AS layer FROM expected),
-g AS (SELECT clue_type, key, unnest(['overall', CASE WHEN starts_with(clue_type, 'entity_graph') THEN 'graph' ELSE 'standard' END]) AS layer FROM fixed), a AS (SELECT layer, list(DISTINCT clue_type) AS found, count(*) AS actual, count(DISTINCT (clue_type, key)) AS kinds FROM g GROUP BY 1), e AS (SELECT layer, list(DISTINCT clue_type) AS wanted, sum(n)::BIGINT AS expected FROM w GROUP BY 1),
-c AS (SELECT layer, len(list_intersect(wanted, found)) AS tp, len(found) - len(list_intersect(wanted, found)) + greatest(0, actual - greatest(expected, len(list_intersect(wanted, found)))) AS fp, len(wanted) - len(list_intersect(wanted, found)) + greatest(0, expected - actual) AS fn, actual, expected, kinds FROM e JOIN a USING (layer))
-SELECT layer, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END, 4) AS precision, round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END, 4) AS recall, round(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END, 4) AS f1, round(actual::DOUBLE / greatest(expected, 1), 4) AS overgeneration, round(actual * 100.0::DOUBLE / 40, 4) AS per_hundred, round(1 - kinds::DOUBLE / greatest(actual, 1), 4) AS duplicate_rate FROM c""")
+#: Expected are the clues of the documents that the labels call good, actual those of all documents.
+_layer = "unnest(['overall', CASE WHEN starts_with(clue_type, 'entity_graph') THEN 'graph' ELSE 'standard' END]) AS layer"
+_gold_only = "trace_id IN (SELECT doc_id FROM labels WHERE quality = 1)"
+
+
+@register("agg_clue_layer", f"""WITH gold AS (WITH {objects_sql(_gold_only)} SELECT clue_type, count(*) AS n FROM objects GROUP BY 1), {objects_sql()},
+w AS (SELECT clue_type, n, {_layer} FROM gold), g AS (SELECT clue_type, key, {_layer} FROM objects), a AS (SELECT layer, list(DISTINCT clue_type) AS found, count(*) AS actual, count(DISTINCT (clue_type, key)) AS kinds FROM g GROUP BY 1), e AS (SELECT layer, list(DISTINCT clue_type) AS wanted, sum(n)::BIGINT AS expected FROM w GROUP BY 1),
+c AS (SELECT layer, len(list_intersect(wanted, found)) AS tp, len(found) - len(list_intersect(wanted, found)) + greatest(0, actual - greatest(expected, len(list_intersect(wanted, found)))) AS fp, len(wanted) - len(list_intersect(wanted, found)) + greatest(0, expected - actual) AS fn, actual, expected, kinds
+  FROM (SELECT layer, coalesce(wanted, []) AS wanted, coalesce(found, []) AS found, coalesce(expected, 0) AS expected, coalesce(actual, 0) AS actual, coalesce(kinds, 0) AS kinds FROM e FULL JOIN a USING (layer)))
+SELECT layer, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END, 4) AS precision, round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END, 4) AS recall, round(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END, 4) AS f1, round(actual::DOUBLE / greatest(expected, 1), 4) AS overgeneration, round(actual * 100.0::DOUBLE / (SELECT greatest(count(*), 1) FROM documents), 4) AS per_hundred, round(1 - kinds::DOUBLE / greatest(actual, 1), 4) AS duplicate_rate FROM c""")
 def agg_clue_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = spark.createDataFrame([("shared_contact_48h", 2), ("shared_domain_multi_source", 1), ("entity_graph_account_tool_overlap", 1), ("shared_settlement", 1)], "clue_type string, n long")
-    return E.clue_layers(gold, fixed_clues(spark), 40)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("trace_id"))
+    gold = objects(spark, sf_dir, good).groupBy("clue_type").agg(F.count("*").alias("n"))
+    return E.clue_layers(gold, objects(spark, sf_dir), docs(spark, sf_dir).count())
 
 
 @register("rep_profile_curve", f"WITH {ENTITIES}, p AS (SELECT * FROM (VALUES ('balanced', 0.65::DOUBLE), ('high_precision', 0.78::DOUBLE), ('high_recall', 0.52::DOUBLE)) v(profile, least)) SELECT profile, count(*) AS n, count(*) FILTER (clue_quality >= least) AS passed, round(avg(CASE WHEN clue_quality >= least THEN clue_quality END), 4) AS mean_passed FROM rated, p GROUP BY 1")

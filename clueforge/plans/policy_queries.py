@@ -120,12 +120,6 @@ def topk_clue_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated(spark, sf_dir).orderBy(F.desc("clue_quality"), F.desc("n_traces"), "clue_id").select("clue_id", "clue_quality").limit(10)
 
 
-@register("win_bulk_representative", f"WITH {ENTITIES} SELECT clue_type, clue_id, n_traces FROM clues QUALIFY row_number() OVER (PARTITION BY clue_type ORDER BY n_traces DESC, clue_id) = 1")
-def win_bulk_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = clues(spark, sf_dir).groupBy("clue_type").agg(F.min(F.struct((-F.col("n_traces")).alias("k"), "clue_id", "n_traces")).alias("m"))
-    return best.select("clue_type", "m.clue_id", "m.n_traces")
-
-
 #: Elements of a playbook and the terms that show them, in invented prose.
 _ELEMENTS = {"accounts": ("password", "account", "token"), "contact": ("mail2.example.com", "mail5.example.com", "+1 ("), "prose": ("the", "und", "que", "les"), "tools": ("akia", "server", "script")}
 _shown = " UNION ALL ".join(f"SELECT risk_category, '{e}' AS element, '{t}' AS term FROM held WHERE {_term_sql(t)}" for e, terms in _ELEMENTS.items() for t in terms)
