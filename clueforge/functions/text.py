@@ -16,6 +16,9 @@ ZERO_WIDTH = "[​-‏﻿]"
 #: Characters that compatibility normalisation leaves as they are in composed texts.
 STABLE = r"^[\x00-\x7FÀ-ÿ]*$"
 
+#: Runs of white space that are not one space each.
+LOOSE = r"[\s \u0085&&[^ ]][\s \u0085]*+| [\s \u0085]++"
+
 
 def normalize_text(text: Column) -> Column:
     """Zero-width characters go, white space collapses, ends are trimmed; null is empty.
@@ -24,7 +27,7 @@ def normalize_text(text: Column) -> Column:
     `nfkc` treats the others.
     """
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), ZERO_WIDTH, "")
-    return F.trim(F.regexp_replace(bare, r"[\s \u0085]+", " "))
+    return F.trim(F.regexp_replace(bare, LOOSE, " "))
 
 
 def nfkc(df: DataFrame, column: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from clueforge.functions import text as T
 from clueforge.rules import RulePack
+from clueforge.session import materialise
 
 #: Entity types and their patterns, in the order of priority.
 PATTERNS = {
@@ -26,23 +27,27 @@ def normalize_entity(kind: Column, value: Column) -> Column:
     return F.when(kind == "phone", F.concat(F.lit("+"), F.regexp_replace(value, "[^0-9]", ""))).when(kind == "access_key", F.upper(value)).otherwise(F.lower(value))
 
 
-def extract(records: DataFrame) -> DataFrame:
-    """One row per record and distinct entity: trace_id, source_name, entity_type, entity_value, normalized, n, masked, canonical_hash, entity_id.
+#: What a text must hold for a pattern to be worth a try: a literal, or a shorter pattern.
+GUARDS = {"email": "@", "phone": "+", "access_key": "AKIA", "domain": ".example.com"}
+IP_GUARD = r"[0-9]\.[0-9]"
 
-    Rows without any entity are dropped by one alternation before arrays are built.
+
+def extract(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per record and distinct entity: trace_id, source_name, entity_type, entity_value, normalized, n, masked, canonical_hash, entity_id, and the columns to `keep`.
+
+    A pattern is tried only on texts that hold what it needs, and the text is
+    normalised once: nothing of it is asked for before it is computed.
     """
+    none = F.array().cast("array<struct<entity_type: string, entity_value: string>>")
 
     def typed(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("clean_text", F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("entity_value")))
+        worth = F.contains("clean_text", F.lit(GUARDS[kind])) if kind in GUARDS else F.col("clean_text").rlike(IP_GUARD)
+        values = F.regexp_extract_all("clean_text", F.lit(pattern), F.lit(0))
+        return F.when(worth, F.transform(values, lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("entity_value")))).otherwise(none)
 
-    any_of = "|".join(f"(?:{p})" for p in PATTERNS.values())
-    found = records.where(F.col("clean_text").rlike(any_of)).select(
-        "trace_id",
-        "source_name",
-        F.explode(F.flatten(F.array(*[typed(k, p) for k, p in PATTERNS.items()]))).alias("e"),
-    )
-    rows = found.select("trace_id", "source_name", "e.*").withColumn("normalized", normalize_entity(F.col("entity_type"), F.col("entity_value")))
-    rows = rows.groupBy("trace_id", "source_name", "entity_type", "normalized").agg(F.min("entity_value").alias("entity_value"), F.count("*").alias("n"))
+    found = records.select("trace_id", "source_name", *keep, F.explode(F.flatten(F.array(*[typed(k, p) for k, p in PATTERNS.items()]))).alias("e"))
+    rows = found.select("trace_id", "source_name", *keep, "e.*").withColumn("normalized", normalize_entity(F.col("entity_type"), F.col("entity_value")))
+    rows = rows.groupBy("trace_id", "source_name", "entity_type", "normalized").agg(F.min("entity_value").alias("entity_value"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in keep])
     return rows.withColumns({"masked": T.mask(F.col("normalized")), "canonical_hash": T.hash_pii(F.col("normalized")), "entity_id": entity_id(F.col("entity_type"), F.col("normalized"))})
 
 
@@ -99,17 +104,21 @@ def neighborhood(relations: DataFrame, start: DataFrame, depth: int = 2) -> Data
     return reached
 
 
-def shared_clues(entities: DataFrame, classes: DataFrame, min_traces: int = 2, min_sources: int = 2) -> DataFrame:
+def shared_clues(entities: DataFrame, classes: DataFrame | None = None, min_traces: int = 2, min_sources: int = 2) -> DataFrame:
     """A clue for each entity with enough records and sources.
 
-    classes: trace_id, risk_category, confidence. The dominant category has most
-    records, ties by the earliest record that has it.
+    classes: trace_id, risk_category, confidence; without it the entities have these
+    columns. The dominant category has most records, ties by the earliest record
+    that has it. The entities are read once: their sums by category and source,
+    which are few, are stored, and both the size and the category come from them.
     """
-    rows = entities.join(classes, "trace_id")
-    per = rows.groupBy("entity_type", "normalized", "risk_category").agg(F.count("*").alias("n"), F.min("trace_id").alias("first"))
+    rows = entities if classes is None else entities.join(classes, "trace_id")
+    sums = rows.groupBy("entity_type", "normalized", "risk_category", "source_name").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.min("trace_id").alias("first"), F.max("trace_id").alias("last"))
+    sums = materialise(sums, "entity-sums")
+    per = sums.groupBy("entity_type", "normalized", "risk_category").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     top = per.groupBy("entity_type", "normalized").agg(F.max_by("risk_category", F.struct("n", -F.col("first"))).alias("risk_category"))
-    sized = rows.groupBy("entity_type", "normalized").agg(
-        F.countDistinct("trace_id").alias("n_traces"), F.countDistinct("source_name").alias("n_sources"), F.round(F.avg("confidence"), 4).alias("avg_confidence"), F.min("trace_id").alias("first_trace"), F.max("trace_id").alias("last_trace")
+    sized = sums.groupBy("entity_type", "normalized").agg(
+        F.sum("n").alias("n_traces"), F.countDistinct("source_name").alias("n_sources"), F.round(F.sum("c") / F.sum("n"), 4).alias("avg_confidence"), F.min("first").alias("first_trace"), F.max("last").alias("last_trace")
     )
     kept = sized.where((F.col("n_traces") >= min_traces) & (F.col("n_sources") >= min_sources)).join(top, ["entity_type", "normalized"])
     return kept.withColumns({"clue_type": F.concat(F.lit("shared_"), "entity_type"), "key": F.col("normalized"), "clue_id": clue_id(F.concat(F.lit("shared_"), "entity_type"), F.col("normalized")), "confidence": F.round(F.least(F.lit(0.98), 0.62 + F.col("n_traces") * 0.08 + F.col("n_sources") * 0.04), 4)}).drop("normalized")

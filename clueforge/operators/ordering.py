@@ -11,9 +11,14 @@ from pyspark.sql.window import Window
 from clueforge.session import materialise
 
 
+def ranges(rows: DataFrame) -> int:
+    """How many ranges rows are cut in: as many as a shuffle has partitions, so that small rows keep all cores busy too."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ranged(rows: DataFrame, order: list[Column | str], name: str = "ranged") -> DataFrame:
     """`rows` sorted over all partitions and stored, with _part and _at: the range, and a number that grows along the order."""
-    kept = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    kept = rows.repartitionByRange(ranges(rows), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     return materialise(kept, name).withColumn("_part", F.shiftright("_at", 33))
 
 
@@ -39,7 +44,7 @@ def next_answers(rows: DataFrame, order: list[Column | str]) -> DataFrame:
     after it begin with (a first answer, and the first one after it of another
     source) is handed to it.
     """
-    kept = ranged(rows, order, "answers")
+    kept = ranged(rows, order, "answers").repartition(ranges(rows), "_part")
     back = Window.partitionBy("_part").orderBy(F.desc("_at"))
     earlier, here = back.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, 0)
     is_answer = F.col("kind") == 1
@@ -48,9 +53,11 @@ def next_answers(rows: DataFrame, order: list[Column | str]) -> DataFrame:
     kept = kept.withColumn("_turn", F.last(F.when(is_answer & (F.col("_next.source") != F.col("answer.source")), F.col("_next")), ignorenulls=True).over(here))
     kept = kept.withColumn("_after", F.last(F.when(is_answer, F.struct(F.col("answer").alias("first"), F.col("_turn").alias("other"))), ignorenulls=True).over(earlier))
     kept = materialise(kept, "answers-near")
-    first = F.min_by(F.struct(F.col("answer").alias("first"), F.col("_turn").alias("other")), "_at")
-    borders = {r["_part"]: (r["b"]["first"], r["b"]["other"]) for r in kept.where(is_answer).groupBy("_part").agg(first.alias("b")).collect()}
-    parts = sorted(r[0] for r in kept.select("_part").distinct().collect())
+    # Of each range: its first answer, and the first one after it of another source.
+    first = F.min_by(F.struct(F.col("answer").alias("first"), F.col("_turn").alias("other")), F.when(is_answer, F.col("_at")))
+    summary = {r["_part"]: r["b"] for r in kept.groupBy("_part").agg(first.alias("b")).collect()}
+    parts = sorted(summary)
+    borders = {part: (b["first"], b["other"]) for part, b in summary.items() if b is not None}
     handed, ahead = [], None  # ahead: the first answer beyond a range and the one after it of another source
     for part in reversed(parts):
         handed.append((part, *(ahead or (None, None))))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clueforge.session import spread
+
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key, by a partial aggregate instead of a sort."""
@@ -47,14 +49,24 @@ def shares(df: DataFrame, key: str) -> DataFrame:
 
 
 def top_k_sparse(docs: DataFrame, query: list[tuple[str, float]], k: int) -> DataFrame:
-    """Cosine of a query and texts over word counts. docs: doc_id, text; query: (token, weight)."""
-    spark = docs.sparkSession
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    norm = words.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    """Cosine of a query and texts over word counts. docs: doc_id (distinct), text; query: (token, weight).
+
+    Dot product and norm of a text are one walk over its sorted words, in its own
+    row: a scan, and the k best of each task.
+    """
+    start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("square"))
+
+    def step(at, word):
+        again = at["word"] == word
+        return F.struct(word.alias("word"), F.when(again, at["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"), (at["square"] + F.when(again, 2 * at["run"] + 1).otherwise(F.lit(1).cast("long"))).alias("square"))
+
+    words = spread(docs).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words"))
+    some = words.where(F.arrays_overlap("words", F.array(*[F.lit(t) for t, _ in query])))
+    times = lambda token: F.size(F.filter("words", lambda w: w == token))
+    dot = sum((times(t) * weight for t, weight in query), F.lit(0.0))
     size = sum(w * w for _, w in query) ** 0.5
-    wanted = F.broadcast(spark.createDataFrame(query, "token string, w double"))
-    dot = words.join(wanted, "token").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("w")).alias("dot"))
-    return dot.join(norm, "doc_id").select("doc_id", F.round(F.col("dot") / (F.col("norm") * size), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    scored = some.select("doc_id", dot.alias("dot"), F.sqrt(F.aggregate(F.array_sort("words"), start, step)["square"]).alias("norm"))
+    return scored.select("doc_id", F.round(F.col("dot") / (F.col("norm") * size), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
 def within(df: DataFrame, key: str, trace: str, source: str, seconds: str, most: int) -> DataFrame:

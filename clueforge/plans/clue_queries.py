@@ -85,19 +85,19 @@ def dom_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.superseded(objects(spark, sf_dir)).select("clue_id", "archive_reason")
 
 
-_BULK = f"""bulk AS (SELECT DISTINCT risk_category FROM objects WHERE contains(clue_type, 'template') AND n_traces >= 8),
+_BULK = f"""bulk AS (SELECT DISTINCT risk_category FROM objects WHERE contains(clue_type, 'template') AND n_traces >= 3),
 stands AS (SELECT clue_id, row_number() OVER (PARTITION BY clue_type ORDER BY confidence DESC, n_traces DESC, n_sources DESC, clue_id DESC) AS place FROM objects WHERE clue_type IN ('shared_contact_48h', 'shared_domain_multi_source') AND risk_category IN (SELECT risk_category FROM bulk)),
 judged AS (SELECT o.*, CASE WHEN place > 1 THEN 'bulk_template_' || clue_type || '_represented_by_top_evidence' WHEN place IS NULL AND contains(clue_type, 'template') AND NOT regexp_matches(key, '[.:@]') AND EXISTS (SELECT 1 FROM bulk) THEN 'template_pattern_kept_in_candidate_pool_requires_key_entity_support' END AS archive_reason FROM objects o LEFT JOIN stands USING (clue_id))"""
 
 
 @register("win_bulk_template", f"WITH {objects_sql()}, {_BULK} SELECT clue_id, archive_reason FROM judged")
 def win_bulk_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.bulk_represented(objects(spark, sf_dir)).select("clue_id", "archive_reason")
+    return C.bulk_represented(objects(spark, sf_dir), 3).select("clue_id", "archive_reason")
 
 
 @register("win_bulk_representative", f"WITH {objects_sql()}, {_BULK} SELECT clue_type, count(*) AS n, count(*) FILTER (archive_reason IS NULL) AS kept, arg_max(clue_id, (archive_reason IS NULL, confidence, n_traces, n_sources, clue_id)) AS representative FROM judged GROUP BY 1")
 def win_bulk_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = C.bulk_represented(objects(spark, sf_dir))
+    judged = C.bulk_represented(objects(spark, sf_dir), 3)
     kept = F.col("archive_reason").isNull()
     return judged.groupBy("clue_type").agg(F.count("*").alias("n"), F.count_if(kept).alias("kept"), F.max_by("clue_id", F.struct(kept, "confidence", "n_traces", "n_sources", "clue_id")).alias("representative"))
 

@@ -45,8 +45,13 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.extract(R.records(table(spark, sf_dir, "documents")))
 
 
+def classed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with the risk category and confidence of their records, in one pass over the texts."""
+    return G.extract(classified(spark, sf_dir).select("trace_id", "source_name", "clean_text", "risk_category", "confidence"), ("risk_category", "confidence"))
+
+
 def clues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.shared_clues(entities(spark, sf_dir), classified(spark, sf_dir).select("trace_id", "risk_category", "confidence"))
+    return G.shared_clues(classed_entities(spark, sf_dir))
 
 
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
