@@ -129,12 +129,6 @@ def _(t):
     return t("customer").select("c_custkey", F.levenshtein("c_mktsegment", F.lit("BUILDINGS")).cast("long").alias("distance"))
 
 
-@_q("src_multimodal", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS content, count(*) AS parts FROM conversations GROUP BY 1")
-def _(t):
-    parts = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("p"))
-    return parts.select("conv_id", F.array_join(F.transform("p", lambda x: F.concat_ws(": ", x["role"], x["text"])), "\n").alias("content"), F.size("p").cast("long").alias("parts"))
-
-
 @_q("src_ocr_conf", "SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN value / 100 WHEN event_id % 3 = 1 THEN value / 100 END, 4) AS confidence FROM events")
 def _(t):
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.col("value").cast("string"), F.lit("%"))).when(F.col("event_id") % 3 == 1, (F.col("value") / 100).cast("string")).otherwise("n/a")

@@ -8,11 +8,12 @@ from pyspark.sql.window import Window
 
 from clueforge.functions import text as T
 from clueforge.operators import relational as O
+from clueforge.operators.quantiles import exact_quantiles
 from clueforge.registry import register
 from clueforge.session import table
 
 
-def _q(name: str, sql: str):  # noqa: ANN202
+def _q(name: str, sql: str | None):  # noqa: ANN202
     """Register a query written as a function of a table reader."""
 
     def wrap(build):  # noqa: ANN001, ANN202
@@ -120,14 +121,11 @@ def _(t):
     return O.within(k, "key", "event_id", "event_type", "s", 172800).select("key", "n", "sources", "span")
 
 
-@_q("agg_shared_domain", "SELECT domain, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[/?#:].*$', '') AS domain FROM pages) GROUP BY 1 HAVING count(*) >= 2")
+@_q("agg_query_level", "SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS worst FROM events GROUP BY 1")
 def _(t):
-    return t("pages").groupBy(T.domain_of(F.col("url")).alias("domain")).agg(F.count("*").alias("n")).where("n >= 2")
-
-
-@_q("agg_query_level", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS worst FROM events GROUP BY 1")
-def _(t):
-    return t("events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("worst"))
+    e = t("events").select("event_type", "value")
+    found = exact_quantiles(e, "event_type", "value", (0.5, 0.95)).groupBy("event_type").agg(*[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for s, n in ((0.5, "p50"), (0.95, "p95"))])
+    return found.join(e.groupBy("event_type").agg(F.count("value").alias("n"), F.max("value").alias("worst")), "event_type")
 
 
 @_q("agg_holdout", "SELECT source, CASE WHEN doc_id >= m - 100 THEN 'recent' WHEN doc_id >= m - 500 THEN 'middle' ELSE 'old' END AS bucket, count(*) AS n FROM documents, (SELECT max(doc_id) AS m FROM documents) GROUP BY 1, 2")
