@@ -26,11 +26,6 @@ def _field(name: str, kind: str = "string") -> Column:
     return F.try_variant_get("node", f"$.{name}", kind)
 
 
-def _text(name: str) -> Column:
-    """A field's normalised text; null where it is blank."""
-    return F.nullif(T.normalize_text(_field(name)), F.lit(""))
-
-
 def score_of(raw: Column) -> Column:
     """A score between 0 and 1, from a number or a percentage; null where it is neither."""
     bare = F.trim(F.regexp_replace(F.trim(raw), "%+$", ""))
@@ -69,11 +64,15 @@ def folded(records: DataFrame) -> DataFrame:
     parts = None
     for depth in range(DEPTH + 2):
         level = materialise(level, "nodes")
+        if depth and not level.limit(1).count():
+            break
         fields = (TEXT if depth == 0 else ATTACHED) if depth <= DEPTH else []
         children = _children(level) if depth <= DEPTH else None
-        texts = F.array_compact(F.array(*[F.when(_text(f).isNotNull(), F.struct(F.lit(i).alias("i"), F.lit(f).alias("field"), _text(f).alias("value"))) for i, f in enumerate(fields)])) if fields else F.array().cast("array<struct<i: int, field: string, value: string>>")
-        media = F.array_compact(F.array(*[F.when(F.nullif(_field(f), F.lit("")).isNotNull(), F.lit(f)) for f in MEDIA])) if depth <= DEPTH else F.array().cast("array<string>")
-        scores = F.array_compact(F.array(*[score_of(_field(f)) for f in SCORES]))
+        raw = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("field"), _field(f).alias("value")) for i, f in enumerate(fields)]).cast("array<struct<i: int, field: string, value: string>>")
+        texts = F.filter(F.transform(raw, lambda t: F.struct(t["i"].alias("i"), t["field"].alias("field"), T.normalize_text(t["value"]).alias("value"))), lambda t: t["value"] != "")
+        refers_to = F.array(*[F.struct(F.lit(f).alias("field"), _field(f).alias("value")) for f in (MEDIA if depth <= DEPTH else [])]).cast("array<struct<field: string, value: string>>")
+        media = F.transform(F.filter(refers_to, lambda m: m["value"] != ""), lambda m: m["field"])
+        scores = F.filter(F.transform(F.array(*[_field(f) for f in SCORES]), score_of), lambda v: v.isNotNull())
         named = F.transform("texts", lambda t: t["field"])
         counts = (score_of(_field("ocr_confidence")).isNotNull() | F.arrays_overlap(named, F.array(*map(F.lit, RECOGNISED)))) & (F.size("texts") > 0)
         nodes = level.withColumn("texts", texts).withColumns({"media": media, "scores": F.when(counts, scores).otherwise(F.array().cast("array<double>"))})
