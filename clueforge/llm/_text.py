@@ -49,8 +49,8 @@ def pre_tokens(text: str) -> list[str]:
 
 
 def training_row(column: str, modulus: int, held_out: int) -> Column:
-    """True unless crc32 of the id as text leaves `held_out` modulo `modulus`."""
-    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus)) != held_out
+    """True unless crc32 of the id as text leaves `held_out` modulo `modulus`; so a row without an id is one to learn from."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus)) != held_out, F.lit(True))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

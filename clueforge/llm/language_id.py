@@ -86,7 +86,8 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
     """Languages (sorted), their log priors and log probabilities in UNITs, from rows with non-null text and language.
 
     More languages than fit the matrix raise an error. Of a language with more than `rows_per_language` rows, rows are taken by a
-    hash of their key at that rate; priors are of all rows.
+    hash of key and text at that rate, so rows that share a key are not taken or
+    left together; priors are of all rows.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -99,7 +100,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
     for name in langs:
         if sizes[name] > rows_per_language:
             rate = F.when(F.col("lang") == name, F.lit(rows_per_language / sizes[name])).otherwise(rate)
-    sample = rows.where(F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text")
+    sample = rows.where(F.pmod(F.xxhash64(F.col("key").cast("string"), F.col("text")), F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text")
     schema = "lang string, part int, counts binary"
     groups = 32
     packed = sample.mapInArrow(lambda it: _counted(it, langs, buckets, groups), schema).groupBy("lang", "part").applyInArrow(_summed, schema).groupBy("lang").applyInArrow(_summed, schema)

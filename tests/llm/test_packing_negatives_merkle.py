@@ -267,3 +267,25 @@ def test_traversal_emits_each_path(n):
 def test_manifest_sql(spark, sf):
     cols, want = same_as_sql(spark, "op13_merkle_manifest", "documents", f"{sf}/documents.parquet")
     assert sorted(map(repr, map(tuple, QUERIES["op13_merkle_manifest"](spark, sf).select(cols).collect()))) == want
+
+
+# --- rows to learn from
+
+
+def test_rows_without_an_id_are_learnt_from(spark):
+    from clueforge.llm._text import training_row
+
+    rows = spark.createDataFrame([(i,) for i in [None, *range(40)]], "doc_id long").select("doc_id", training_row("doc_id", 4, 2).alias("learn")).collect()
+    assert {r.doc_id: r.learn for r in rows} == {i: i is None or zlib.crc32(str(i).encode()) % 4 != 2 for i in [None, *range(40)]}
+
+
+def test_rows_that_share_an_id_are_sampled_one_by_one(spark):
+    from clueforge.llm import language_id
+
+    words = {"en": "the and with they", "es": "que los con para"}
+    for shared in range(5):
+        rows = [(shared, f"{words['en']} {i}", "en") for i in range(60)] + [(i, f"{words['es']} {i}", "es") for i in range(60)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = language_id.train(docs, rows_per_language=20)
+        found = language_id.predict(spark.createDataFrame([(1, "the and they"), (2, "los con que")], "doc_id long, text string"), model, {"doc_id": F.col("doc_id")}).collect()
+        assert {r.doc_id: r.lang_pred for r in found} == {1: "en", 2: "es"}
