@@ -40,14 +40,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_model(docs), keep)
 
 
-def secret_model(docs: DataFrame) -> list[float]:
-    """The log-likelihood ratios from generated random strings and tokens of a bounded sample of texts."""
-    return secret_scan.train(secret_scan.random_samples(docs).unionByName(secret_scan.ordinary_samples(docs)))
+def secret_model(docs: DataFrame) -> secret_scan.Scanner:
+    """Models of generated random strings, and of identifiers and tokens of a bounded sample of texts."""
+    return secret_scan.fit(docs)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secret_scan.scan(docs, secret_model(docs))
+    model = secret_model(docs)
+    return secret_scan.scan(docs, model.table, least_each=model.least_each)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Secret and personal-data scans against brute force with Python's re."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -90,8 +91,62 @@ def test_models_add_spans_and_leave_prose(spark):
     assert pii[4].spans == ""
 
 
+#: Words of identifiers that the model has not learnt its own identifiers from.
+UNSEEN = (
+    "apple river mountain quick fox bridge orange winter summer forest garden planet rocket dragon silver bottle kitchen teacher student doctor lawyer music guitar piano hockey tennis airport "
+    "luggage passport weather thunder rainfall quantum physics chemistry fireplace blanket pillow mattress wallet jacket trousers compass lantern"
+).split()
+
+
+def test_random_strings_are_found_and_identifiers_are_not(spark):
+    assert not {*UNSEEN} & {*secret_scan.NAME_WORDS}
+    r = random.Random(9)
+    shapes = {
+        "camel": lambda w: "".join(x.title() for x in w), "lower_camel": lambda w: w[0] + "".join(x.title() for x in w[1:]), "snake": "_".join, "upper": lambda w: "_".join(w).upper(),
+        "kebab": "-".join, "path": "/".join, "numbered": lambda w: "_".join(w) + f"_{r.randrange(1000)}", "dated": lambda w: "-".join(w) + f"-20{r.randrange(10, 30)}-{r.randrange(10, 13)}-{r.randrange(10, 29)}",
+    }
+    lower, upper, number = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"mixed": (lower + upper + number, 20), "base64": (lower + upper + number + "+/", 40), "lower": (lower + number, 32), "upper_digits": (upper + number, 24), "short_hex": ("abcdef" + number, 24)}
+    rows = [(k, shape([r.choice(UNSEEN) for _ in range(4)])) for k, shape in shapes.items() for _ in range(400)]
+    rows += [(k, "".join(r.choice(chars) for _ in range(n))) for k, (chars, n) in kinds.items() for _ in range(400)]
+    docs = spark.createDataFrame([(i, f"x = {v} ;", k) for i, (k, v) in enumerate(rows)], "doc_id long, text string, kind string")
+    prose = spark.createDataFrame([(7, "an ordinary sentence of words about the weather in the garden and the river")] * 40 + [(None, None), (7, "")], "doc_id long, text string")
+    model = secret_scan.fit(prose)
+    found = {x.kind: x.share for x in secret_scan.scan(docs, model.table, least_each=model.least_each).join(docs, "doc_id").selectExpr("kind", "least(n_random, 1) AS hit").groupBy("kind").agg({"hit": "avg"}).toDF("kind", "share").collect()}
+    assert max(found[k] for k in shapes) < 0.01, found
+    assert min(found[k] for k in kinds) >= 0.9, found
+
+
+def test_ratio_matches_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    samples = [("abcab", 1), ("aaab", 0), ("ba", 0), ("ba", 0), ("", 1), (None, 0), ("aéb", 0), ("b", 1)]
+    table = secret_scan.train(spark.createDataFrame(samples, "value string, label int"))
+    counted = secret_scan.train(spark.createDataFrame([("abcab", 1, 1), ("aaab", 0, 1), ("ba", 0, 2), ("aéb", 0, 1)], "value string, label int, n long"))
+    assert table == counted
+    seen = {0: ["aa", "aa", "ab", "ba", "ba", "ab"], 1: ["ab", "bc", "ca", "ab"]}
+
+    def log(label, a, b):
+        alone = (sum(p[1] == b for p in seen[label]) + 0.5) / (len(seen[label]) + 33)
+        return math.log((seen[label].count(a + b) + 33 * alone) / (sum(p[0] == a for p in seen[label]) + 33))
+
+    tokens = ["abcabba", "a", "zz/9", "aaaa", ""]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.ratio(F.col("t"), F.array(*map(F.lit, table))).alias("r")).collect()
+    for row in rows:
+        want = sum(log(1, a, b) - log(0, a, b) for a, b in zip(row.t, row.t[1:], strict=False))
+        assert abs(row.r - want) < 1e-4, row
+
+
+def test_copies_under_other_ids_are_sampled_one_by_one(spark):
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "'common words of one text' AS text")
+    taken = secret_scan.ordinary_samples(docs, rows=300).count() / 4
+    assert 200 < taken < 400
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
+    learnt = secret_scan.fit(docs)
+    assert secret_scan.scan(docs, learnt.table, least_each=learnt.least_each).count() == 0
     model = secret_scan.train(secret_scan.random_samples(docs).unionByName(secret_scan.ordinary_samples(docs)))
     assert secret_scan.scan(docs, model).count() == 0
     assert pii_scan.scan(docs, pii_scan.train(spark)).count() == 0
