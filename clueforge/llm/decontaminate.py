@@ -1,7 +1,8 @@
 """Benchmark decontamination by a generalised suffix automaton of the test items (operator 6).
 
-The automaton over item words is built once on the driver (its size is checked),
-packed in sorted arrays and broadcast. Each document's words stream through it; the longest match that
+The automaton over item words is built on the driver (its size is checked),
+packed in sorted arrays and broadcast; a larger benchmark is cut in parts, with
+an automaton and a pass over the documents for each. Each document's words stream through it; the longest match that
 ends at each word tells which words are inside an occurrence of a window. Spans
 of words that cannot reach a window, because too few consecutive word pairs
 occur in the items, are skipped with one vectorised test.
@@ -11,16 +12,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from clueforge.llm._text import mix, slices, utf8, word_hashes
+from clueforge.session import materialise
 
-#: Consecutive words of a window, share of hit words (1 / 20) from which a document is contaminated, and the most item words: building takes up to about 700 bytes of the driver for each, the broadcast up to 60.
+#: Consecutive words of a window, share of hit words (1 / 20) from which a document is contaminated, and the most item words of one automaton: building takes up to about 700 bytes of the driver for each, the broadcast up to 60.
 WINDOW, ONE_IN, MOST_WORDS = 13, 20, 1_000_000
 
 #: Words are runs of digits, letters and non-ASCII characters.
@@ -110,14 +113,15 @@ class Items:
     """The automaton of the items, with the items in which the windows of each state occur.
 
     Items are told apart by their number; those of one name count once in a document.
+    A number as a name is that of an item without a name, of which other parts may hold more.
     """
 
-    def __init__(self, items: list[tuple[str | None, list[int]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | int | None, list[int]]], window: int = WINDOW):
         self.window = window
         #: Names by number: equal names share one, every item without a name has its own.
-        self.names: list[str | None] = []
+        self.names: list[str | int | None] = []
         numbers: list[int] = []
-        place: dict[str, int] = {}
+        place: dict[str | int, int] = {}
         built = SuffixAutomaton()
         for name, words in items:
             built.add(words)
@@ -155,8 +159,9 @@ class Items:
             yield from self.own[at]
             at = int(self.nearest[self.automaton.link[at]]) if at else -1
 
-    def digest(self, found: set[int]) -> str:
-        return hashlib.sha256(",".join(sorted(self.names[i] for i in found if self.names[i] is not None)).encode()).hexdigest()
+    def keys(self, found: Iterable[int]) -> set[str]:
+        """The items by keys that hold in every part: names after an `i`, numbers of items without one after an `n`."""
+        return {f"i{name}" if isinstance(name, str) else f"n{i if name is None else name}" for i, name in ((i, self.names[i]) for i in found)}
 
     def spans(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int]]:
         """Ranges of words, each in one row, that may hold a window."""
@@ -199,55 +204,128 @@ class Items:
         return np.cumsum(depth)[:-1] > 0, found
 
 
+def _item_rows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    return benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+
+
+def _hashed(text: str) -> list[int]:
+    return word_hashes(*utf8(pa.array([text])), IS_WORD)[0].tolist()
+
+
 def build_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> Items:
-    """The automaton of a benchmark table; it raises where the items have over MOST_WORDS words.
+    """The automaton of a benchmark table; it raises where the items have over MOST_WORDS words (`item_parts` has no such limit).
 
     An item without an id counts as an item of its own. Null and empty texts have no
     windows. Items that share an id count as one.
     """
-    rows = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = _item_rows(benchmark, item_id, text)
     size = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).collect()[0][0] or 0
     if size > MOST_WORDS:
-        raise ValueError(f"the benchmark has {size} words; split it in parts of at most {MOST_WORDS} and add their hits")
-    items = []
-    for row in rows.collect():
-        hashes, _ = word_hashes(*utf8(pa.array([row["text"]])), IS_WORD)
-        items.append((row["id"], hashes.tolist()))
-    return Items(items, window)
+        raise ValueError(f"the benchmark has {size} words, over {MOST_WORDS}; use item_parts")
+    return Items([(row["id"], _hashed(row["text"])) for row in rows.collect()], window)
 
 
-def decontaminate(docs: DataFrame, items: Items, doc_id: str = "doc_id", text: str = "text", with_clean: bool = False, keep: tuple[str, ...] | list[str] = (), with_text: bool = False) -> DataFrame:
+def item_parts(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, most: int = MOST_WORDS) -> Iterator[Items]:
+    """Automata of at most `most` words each (at least `window`), which together hold all windows of a benchmark of any size.
+
+    Rows come to the driver partition by partition, and one part is built at a
+    time. An item that does not fit into a part goes on in the next one, from
+    window - 1 words before the cut, so that no window is lost and each piece has
+    a whole one. Ids, nulls and empty texts as in `build_items`; the parts know an
+    item that is cut, or an id that several items share, as one.
+    """
+    if most < window:
+        raise ValueError(f"a part of {most} words holds no window of {window}")
+    held: list[tuple[str | int, list[int]]] = []
+    room = most
+    for number, row in enumerate(_item_rows(benchmark, item_id, text).toLocalIterator()):
+        words, name = _hashed(row["text"]), number if row["id"] is None else row["id"]
+        while len(words) > room:
+            if room >= window:
+                held.append((name, words[:room]))
+                words = words[room - window + 1 :]
+            yield Items(held, window)
+            held, room = [], most
+        held.append((name, words))
+        room -= len(words)
+    yield Items(held, window)
+
+
+def decontaminate(docs: DataFrame, items: Items | Iterable[Items], doc_id: str = "doc_id", text: str = "text", with_clean: bool = False, keep: tuple[str, ...] | list[str] = (), with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row, and clean_text where `with_clean`.
 
     Columns `keep` and, where `with_text`, the text itself follow unchanged.
 
+    Of several parts (`item_parts`) each but the last is a pass that writes the
+    rows to the shared folder with the words that it hits (a bit for each word)
+    and the items that it finds; the last adds all of them up. So a word that
+    several parts hit, and an item that several find, count once. Columns of
+    `keep` must not begin with `_hit`.
+
     clean_text is the text without its hit words (joined by spaces where any was
     removed). A null or empty text has no words and is not contaminated; with no
     items nothing is hit. An item without an id counts in n_hit and n_items but has
     no place in items_sha256. Repeated rows are judged each; other columns are not read.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
-    dtype = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {dtype}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    parts = iter([items] if isinstance(items, Items) else items)
+    part, after = next(parts, None) or Items([]), next(parts, None)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep)
+    while after is not None:
+        rows = materialise(_marked(rows, part), "benchmark_hits")
+        part, after = after, next(parts, None)
+    return _judged(rows, part, with_clean, tuple(keep), with_text)
+
+
+def _hits(known: Items, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """Hit words, words before each row and items of each row of (doc_id, text, ...), with what earlier parts hit."""
+    hashes, counts = word_hashes(*utf8(part.column(1)), IS_WORD)
+    hit, found = known.hits(hashes, counts)
+    keys = [known.keys(found.get(i, ())) for i in range(part.num_rows)]
+    if "_hit_words" in part.schema.names:
+        for i, (bits, before) in enumerate(zip(part.column("_hit_words").to_pylist(), part.column("_hit_items").to_pylist(), strict=True)):
+            if bits is not None:
+                hit[counts[i] : counts[i + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=counts[i + 1] - counts[i]).view(bool)
+                keys[i].update(before)
+    return hit, counts, keys
+
+
+def _marked(rows: DataFrame, items: Items) -> DataFrame:
+    """The rows with _hit_words (a bit for each word, null where none is hit) and _hit_items (keys)."""
+    shared = rows.sparkSession.sparkContext.broadcast(items)
+    plain = [c for c in rows.columns if not c.startswith("_hit")]
+    schema = rows.select(plain).schema.add("_hit_words", "binary").add("_hit_items", ArrayType(StringType()))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                hit, counts, keys = _hits(shared.value, part)
+                bits = [np.packbits(hit[a:b]).tobytes() if k else None for a, b, k in zip(counts, counts[1:], keys, strict=False)]
+                arrays = [part.column(c) for c in plain] + [pa.array(bits, pa.binary()), pa.array([sorted(k) for k in keys], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*plain, "_hit_words", "_hit_items"])
+
+    return rows.mapInArrow(marked, schema)
+
+
+def _judged(rows: DataFrame, items: Items, with_clean: bool, keep: tuple[str, ...], with_text: bool) -> DataFrame:
+    """The verdict on each row by the last part and what the earlier ones marked."""
+    shared = rows.sparkSession.sparkContext.broadcast(items)
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    schema = f"doc_id {kind('doc_id')}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     if with_clean:
         schema += ", clean_text string"
     if with_text:
         schema += ", text string"
-    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema += "".join(f", `{c}` {kind(c)}" for c in keep)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         empty = hashlib.sha256(b"").hexdigest()
         for batch in batches:
             for part in slices(batch, 1):
-                data, offsets = utf8(part.column(1))
-                hashes, counts = word_hashes(data, offsets, IS_WORD)
-                hit, found = known.hits(hashes, counts)
+                hit, counts, keys = _hits(shared.value, part)
                 run = np.concatenate([[0], np.cumsum(hit)])
                 n_words, n_hit = np.diff(counts), run[counts[1:]] - run[counts[:-1]]
-                digests = [known.digest(found[i]) if i in found else empty for i in range(part.num_rows)]
-                arrays = [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(found.get(i, ())) for i in range(part.num_rows)], pa.int64()), pa.array(digests), pa.array((n_hit > 0) & (ONE_IN * n_hit >= n_words))]
+                digests = [hashlib.sha256(",".join(sorted(k[1:] for k in found if k[0] == "i")).encode()).hexdigest() if found else empty for found in keys]
+                arrays = [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(k) for k in keys], pa.int64()), pa.array(digests), pa.array((n_hit > 0) & (ONE_IN * n_hit >= n_words))]
                 names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
                 if with_clean:
                     texts = part.column(1).to_pylist()
@@ -258,11 +336,9 @@ def decontaminate(docs: DataFrame, items: Items, doc_id: str = "doc_id", text: s
                 if with_text:
                     arrays.append(part.column(1))
                     names.append("text")
-                arrays += part.columns[2:]
-                names += keep
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                arrays += [part.column(2 + i) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *keep])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep)
     return rows.mapInArrow(judged, schema)
 
 

@@ -52,7 +52,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), decontaminate.build_items(table(spark, sf_dir, "benchmark")))
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), decontaminate.item_parts(table(spark, sf_dir, "benchmark")))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,20 @@ def test_language_matches_brute_force(spark):
         language_id.train(spark.createDataFrame([(i, f"l{i}", "a") for i in range(1000)], "doc_id long, lang string, text string"))
 
 
+def brute_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
+
+
+def test_benchmarks_over_a_bound(spark):
+    with pytest.raises(ValueError):
+        list(decontaminate.item_parts(spark.createDataFrame([("a", "b")], "item_id string, text string"), most=12))
+    one = spark.createDataFrame([(None, " ".join(f"w{i}" for i in range(100)))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100)), "k"), (1, " ".join(f"w{i}" for i in range(20, 33)), None), (None, None, "k")], "doc_id long, text string, source string")
+    got = decontaminate.decontaminate(docs, decontaminate.item_parts(one, most=20), keep=("source",), with_text=True, with_clean=True).collect()
+    assert sorted((r.n_words, r.n_hit, r.n_items, r.contaminated, r.source or "") for r in got) == [(0, 0, 0, False, "k"), (13, 13, 1, True, ""), (100, 100, 1, True, "k")]
+    assert {r.text for r in got} == {r.text for r in docs.collect()} and not any(r.clean_text for r in got)
+
+
 def brute_hits(items, text):
     """n_words, n_hit, n_items and items_sha256 of a text."""
     windows = collections.defaultdict(set)
@@ -141,8 +155,8 @@ def brute_hits(items, text):
     return len(words), sum(hit), len(found), digest
 
 
-@pytest.mark.parametrize("short", [False, True])
-def test_decontaminate(spark, odd, empty, short):
+@pytest.mark.parametrize(("short", "most"), [(False, None), (True, None), (False, 200), (True, 100)])
+def test_decontaminate(spark, odd, empty, short, most):
     r = np.random.default_rng(5)
     say = lambda n, of: " ".join(f"w{i}" for i in r.integers(0, of, n))
     benchmark = [("i1", " ".join(f"w{i}" for i in range(30))), ("i2", " ".join(f"w{i}" for i in range(10, 25))), ("i3", ""), ("i4", None), (None, "n1 n2 n3 " * 5), (None, "n1 n2 n3 " * 5), (None, None)]
@@ -150,7 +164,12 @@ def test_decontaminate(spark, odd, empty, short):
     rows = [(100, " ".join(f"w{i}" for i in range(5, 40))), (101, "x " * 300 + " ".join(f"W{i}" for i in range(13))), (102, "w3 w4 x w3"), (103, " ".join(f"w{i}" for i in range(12))), (104, "so n1 n2 n3 n1 n2 n3 n1 n2 n3 n1 n2 n3 n1 n2 n3"), (105, "q-q " * 8)]
     rows += [(200 + i, say(40, 4)) for i in range(200)] + [(400 + i, benchmark[-3][1][i : i + 60] + " and " + benchmark[9][1]) for i in range(20)]
     docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
-    items = decontaminate.build_items(spark.createDataFrame([(*b, 1) for b in benchmark], "item_id string, text string, n_hit int"))
+    table = spark.createDataFrame([(*b, 1) for b in benchmark], "item_id string, text string, n_hit int")
+    items = decontaminate.build_items(table) if most is None else list(decontaminate.item_parts(table, most=most))
+    if most is not None:
+        words = sum(len(brute_words(b[1] or "")) for b in benchmark)
+        assert len(items) >= -(-words // most) and all(len(p.words) <= most for p in items)
+        docs = docs.repartition(2)
     clashing = docs.withColumn("n_hit", F.lit(1)).withColumn("contaminated", F.lit("x"))
     got = decontaminate.decontaminate(clashing, items, with_clean=True).join(docs, "doc_id").collect()
     assert len(got) == len(rows) + len(ODD)
