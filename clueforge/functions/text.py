@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 ZERO_WIDTH = "[​-‏﻿]"
 #: Characters that compatibility normalisation leaves as they are in composed texts.
-STABLE = r"^[\x00-\x7FÀ-ÿ]*$"
+STABLE = r"\A[\x00-\x7FÀ-ÿ]*+\z"
 
 #: Runs of white space that are not one space each.
 LOOSE = r"[\s \u0085&&[^ ]][\s \u0085]*+| [\s \u0085]++"
@@ -24,26 +22,26 @@ def normalize_text(text: Column) -> Column:
     """Zero-width characters go, white space collapses, ends are trimmed; null is empty.
 
     For texts of stable characters this is all of NFKC normalisation;
-    `nfkc` treats the others.
+    `compatible` treats the others, before this.
     """
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), ZERO_WIDTH, "")
     return F.trim(F.regexp_replace(bare, LOOSE, " "))
 
 
-def nfkc(df: DataFrame, column: str) -> DataFrame:
-    """Compatibility-normalise a column; only rows with unstable characters leave the JVM."""
-    names, schema = df.columns, df.schema
+@F.pandas_udf(StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    """Compatibility normalisation (NFKC); nulls stay."""
+    return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
 
-    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index(column)
-        for batch in batches:
-            values = [None if x is None else unicodedata.normalize("NFKC", x) for x in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
-            columns[at] = pa.array(values, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+def compatible(text: Column) -> Column:
+    """A text after compatibility normalisation; of texts of stable characters only a null leaves the JVM."""
+    return F.coalesce(composed(F.when(~text.rlike(STABLE), text)), text)
 
-    stable = F.coalesce(F.col(column).rlike(STABLE), F.lit(True))
-    return df.where(stable).unionByName(df.where(~stable).mapInArrow(composed, schema))
+
+def nfkc(df: DataFrame, column: str) -> DataFrame:
+    """Compatibility-normalise a column, in the same scan."""
+    return df.withColumn(column, compatible(F.col(column)))
 
 
 def canonical(text: Column) -> Column:
@@ -226,7 +224,7 @@ VARIANT_PATTERNS = (
 
 
 def normalize_intel(text: Column) -> Column:
-    """Variant spellings in their plain forms, for matching; the text is normalised first, also by `nfkc` where it matters."""
+    """Variant spellings in their plain forms, for matching; the text is normalised first (records are already `compatible`)."""
     out = normalize_text(text)
     for raw, plain in VARIANTS:
         out = F.replace(out, F.lit(raw), F.lit(plain))
@@ -245,6 +243,7 @@ def context_relevance(text: Column, start: Column, stop: Column, cues: tuple[str
 def register_all(spark: SparkSession) -> None:
     """Publish the functions to SQL: the vectorised one, and the expressions as SQL functions of one text."""
     spark.udf.register("char_stats", char_stats)
+    spark.udf.register("nfkc_text", composed)
     for name, body in {
         "normalize_text": rf"trim(regexp_replace(regexp_replace(coalesce(x, ''), '{ZERO_WIDTH}', ''), '[\\s\u00a0\u0085]+', ' '))",
         "canonical_text": r"regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '')",

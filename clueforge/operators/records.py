@@ -16,7 +16,7 @@ URL = r"https?://"
 
 def records(docs: DataFrame) -> DataFrame:
     """trace_id, source_name, clean_text of a table of documents."""
-    return spread(docs).select(F.col("doc_id").alias("trace_id"), F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("unknown")).alias("source_name"), T.normalize_text(F.col("text")).alias("clean_text"))
+    return spread(docs).select(F.col("doc_id").alias("trace_id"), F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("unknown")).alias("source_name"), T.normalize_text(T.compatible(F.col("text"))).alias("clean_text"))
 
 
 def score_risk(df: DataFrame, pack: RulePack) -> DataFrame:

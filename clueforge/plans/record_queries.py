@@ -84,7 +84,7 @@ def _text(name: str, column, sql: str) -> None:  # noqa: ANN001
 
     @register(name, rf"WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{{200B}}-\x{{200F}}\x{{FEFF}}]', '', 'g'), '[\s\x{{A0}}\x{{85}}]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, {sql} AS value FROM d")
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("t"))
+        docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(T.compatible(F.col("text"))).alias("t"))
         return docs.select("doc_id", column(F.col("t")).alias("value"))
 
 

@@ -40,6 +40,18 @@ def test_normalisers_are_idempotent(spark):
     assert {r.doc_id: r.t for r in once.collect()}[2] == "fi 1"
 
 
+def test_records_are_compatibility_normalised(spark):
+    import unicodedata
+
+    texts = ["ｐａｓｓｗｏｒｄ： ａ＠ｍａｉｌ．ｘ", "ﬁle №①", "e\u0301te\u0301", "Ünï côdé", "plain", "", None, "\u200bａ\u3000 ｂ\u00a0c", "½ ™ ℃ …", "한", "a\n½"]
+    got = {r.trace_id: r.clean_text for r in R.records(docs(spark, *[(t, "a") for t in texts])).collect()}
+    for i, text in enumerate(texts):
+        plain = unicodedata.normalize("NFKC", text or "").replace("\u200b", "")
+        assert got[i] == " ".join(plain.split()), text
+    hits = R.clean(docs(spark, ("ｐａｓｓｗｏｒｄ", "a"), ("password", "a")), FIXTURE).collect()
+    assert hits[0].hit_credential == hits[1].hit_credential > 0 and hits[0].dedup_group == hits[1].dedup_group
+
+
 def test_shared_clues_do_not_depend_on_order_or_partitions(spark):
     rows = [(f"write to a{i % 3}@mail.example.com now", f"s{i % 4}") for i in range(24)]
 
