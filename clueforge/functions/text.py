@@ -170,6 +170,33 @@ def hash_pii(value: Column, salt: str = "clueforge") -> Column:
     return F.sha2(F.concat_ws(":", F.lit(salt), value), 256)
 
 
+#: Marks of accounts and contacts, a mobile number, and the shape of an account's name.
+ACCOUNT_MARKS, MOBILE, HANDLE = r"tg:|telegram|wechat|wx:|qq:|uid:|@", r"(?:^|[^0-9])1[3-9][0-9]{9}(?:[^0-9]|$)", r"^[A-Za-z][-_A-Za-z0-9]{4,31}$"
+
+
+def short_hash(json: Column, length: int = 12) -> Column:
+    """The first digits of the SHA-256 of a JSON text without spaces, its keys in order."""
+    return F.substring(F.sha2(json, 256), 1, length)
+
+
+def mask_or_hash(value: Column) -> Column:
+    """A value fit for prompts and cards: hash:... of what holds personal data or looks like an account or contact, else the value.
+
+    White space around it goes; null and blank values are empty.
+    """
+    text = F.trim(F.coalesce(value, F.lit("")))
+    listed = F.to_json(F.array(text))
+    private = (mask_pii(text) != text) | F.lower(text).rlike(ACCOUNT_MARKS) | text.rlike(MOBILE) | text.rlike(HANDLE)
+    return F.when(private, F.concat(F.lit("hash:"), short_hash(F.substring(listed, F.lit(2), F.length(listed) - 2)))).otherwise(text)
+
+
+def card_id(clue_type: Column, key: Column, risk_category: Column, traces: Column, sources: Column, values: Column) -> Column:
+    """card_... of a clue: the same for the same evidence, sources and values in any order; values go in masked or hashed. A null array is an empty one, other nulls stay."""
+    whole = lambda xs: F.array_sort(F.filter(F.coalesce(xs.cast("array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull()))
+    fields = {"clue_type": clue_type, "entity_values": F.array_sort(F.transform(whole(values), mask_or_hash)), "evidence_trace_ids": whole(traces), "key": key, "risk_category": risk_category, "source_names": whole(sources)}
+    return F.concat(F.lit("card_"), short_hash(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})))
+
+
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits, and CJK characters one by one, in lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+|[一-鿿]"), F.lit(0))

@@ -63,6 +63,28 @@ def dom_extract_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).drop("source_name")
 
 
+def _hashed(value: str) -> str:
+    masked = "regexp_replace(" * len(T.PII) + f"trim({value})" + "".join(f", '{p}', '{label}', 'g')" for label, p in T.SQL_PII)
+    return f"""CASE WHEN {masked} <> trim({value}) OR regexp_matches(lower(trim({value})), '{T.ACCOUNT_MARKS}') OR regexp_matches(trim({value}), '{T.MOBILE}') OR regexp_matches(trim({value}), '{T.HANDLE}')
+         THEN 'hash:' || sha256(to_json(trim({value}))::VARCHAR)[1:12] ELSE trim({value}) END"""
+
+
+@register("fn_mask_or_hash", f"WITH {ENTITIES} SELECT trace_id, entity_id, {_hashed('entity_value')} AS value, {_hashed('source_name')} AS source FROM entities")
+def fn_mask_or_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(spark, sf_dir).select("trace_id", "entity_id", T.mask_or_hash(F.col("entity_value")).alias("value"), T.mask_or_hash(F.col("source_name")).alias("source"))
+
+
+#: A card for the entities of one type in one record; no group is larger than a text.
+@register("fn_card_id", f"""WITH {ENTITIES}, cards AS (
+  SELECT trace_id, source_name, entity_type, min(normalized) AS key, list_sort(list({_hashed('normalized')})) AS vals FROM entities GROUP BY ALL
+) SELECT trace_id, entity_type, 'card_' || sha256(to_json({{'clue_type': 'record_' || entity_type, 'entity_values': vals, 'evidence_trace_ids': [trace_id::VARCHAR], 'key': key, 'risk_category': risk_category, 'source_names': [cards.source_name]}})::VARCHAR)[1:12] AS card
+FROM cards JOIN (SELECT trace_id, risk_category FROM bucketed) USING (trace_id)""")
+def fn_card_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = classed_entities(spark, sf_dir).groupBy("trace_id", "source_name", "entity_type", "risk_category").agg(F.min("normalized").alias("key"), F.collect_list("normalized").alias("values"))
+    card = T.card_id(F.concat(F.lit("record_"), "entity_type"), F.col("key"), F.col("risk_category"), F.array("trace_id"), F.array("source_name"), F.col("values"))
+    return cards.select("trace_id", "entity_type", card.alias("card"))
+
+
 @register("agg_counter_entity_type", f"WITH {ENTITIES} SELECT entity_type, count(*) AS n, count(DISTINCT normalized) AS distinct_values FROM entities GROUP BY 1")
 def agg_counter_entity_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("normalized").alias("distinct_values"))

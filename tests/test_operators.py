@@ -52,6 +52,23 @@ def test_records_are_compatibility_normalised(spark):
     assert hits[0].hit_credential == hits[1].hit_credential > 0 and hits[0].dedup_group == hits[1].dedup_group
 
 
+def test_masked_or_hashed_values_and_cards(spark):
+    import hashlib
+    import json
+
+    short = lambda x: hashlib.sha256(json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
+    private = ["a.b@mail.example.com", "10.0.0.1", "QQ: 1", "uid:7 \"x\"", "13812345678", "call 13812345678!", "some_handle", "Telegram é\\"]
+    plain = ["two words", "1abc", "abcd", "x" * 33, "213812345678", "é", "", "   ", None]
+    values = spark.createDataFrame([(i, v) for i, v in enumerate(private + plain)], "i int, v string")
+    for row in values.select("i", "v", T.mask_or_hash(F.col("v")).alias("out")).collect():
+        assert row.out == ("hash:" + short(row.v) if row.i < len(private) else (row.v or "").strip()), row
+    rows = spark.createDataFrame([("t", None, "c", ["2", "1"], ["s"], ["two words", "some_handle"]), ("t", None, "c", ["1", "2", None], ["s"], ["some_handle", "two words"]), ("t", "k", "c", None, [], [])], "a string, b string, c string, d array<string>, e array<string>, f array<string>")
+    cards = [r[0] for r in rows.select(T.card_id(*[F.col(x) for x in "abcdef"])).collect()]
+    want = {"clue_type": "t", "key": None, "risk_category": "c", "evidence_trace_ids": ["1", "2"], "source_names": ["s"], "entity_values": sorted(["hash:" + short("some_handle"), "two words"])}
+    assert cards[0] == cards[1] == "card_" + short(want)
+    assert cards[2] == "card_" + short(want | {"key": "k", "evidence_trace_ids": [], "source_names": [], "entity_values": []})
+
+
 def test_shared_clues_do_not_depend_on_order_or_partitions(spark):
     rows = [(f"write to a{i % 3}@mail.example.com now", f"s{i % 4}") for i in range(24)]
 
