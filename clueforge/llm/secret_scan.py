@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and random strings found by two character Markov models (operator 4).
 
-DataFrame functions only. Two models of character pairs are counted from
-labelled samples, one of random strings and one of ordinary identifiers. Their
+DataFrame functions only. Two models of character pairs are counted, one of
+random strings and one of all ordinary tokens of the corpus and of identifiers. Their
 log-likelihood ratio, a table of 128 x 128 numbers, becomes a literal of the
 scan, and long tokens with a large ratio are reported besides the base spans.
 The ratio that a token needs is set on identifiers held out of the counts.
@@ -25,12 +25,12 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 LEAST_ASSIGNED = 8
 
-#: Tokens that the models judge, the least log-likelihood ratio (nats) in all and for each character, by how much both rise for tokens without a digit, and the rows of documents and random strings to learn from.
+#: Tokens that the models judge, the least log-likelihood ratio (nats) in all and for each character, by how much both rise for tokens without a digit, and the random strings to learn from.
 TOKEN = r"[A-Za-z0-9+/_-]{16,}"
-LEAST_RATIO, LEAST_PER_CHARACTER, NO_DIGIT, SAMPLE_ROWS, RANDOM_STRINGS = 12.0, 0.6, 1.5, 1_000, 3_000
+LEAST_RATIO, LEAST_PER_CHARACTER, NO_DIGIT, RANDOM_STRINGS = 12.0, 0.6, 1.5, 3_000
 
-#: Labelled identifiers to learn from, the share of the held-out ones that may be reported, and one in how many is held out.
-IDENTIFIERS, MOST_REPORTED, HELD_OUT = 12_000, 0.002, 4
+#: Labelled identifiers to learn from, the rows of a corpus beside which each counts once (in a larger one it counts more often, so that its share stays), the share of the held-out ones that may be reported, one in how many is held out, and steps of a threshold in a nat.
+IDENTIFIERS, ROWS_EACH, MOST_REPORTED, HELD_OUT, STEPS = 12_000, 1_000, 0.002, 4, 1_000
 
 #: Words of which names in programs, files and addresses are made, besides the words of the corpus.
 NAME_WORDS = (
@@ -62,15 +62,17 @@ def random_samples(docs: DataFrame, n: int = RANDOM_STRINGS) -> DataFrame:
     return docs.sparkSession.range(n).select(value.alias("value"), F.lit(1).alias("label"))
 
 
-def ordinary_samples(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, doc_id: str = "doc_id") -> DataFrame:
-    """Labelled ordinary strings (label 0): the tokens, without base matches, of about `rows` whole texts.
+def ordinary_samples(docs: DataFrame, text: str = "text", rows: int | None = None, doc_id: str = "doc_id") -> DataFrame:
+    """Labelled ordinary strings (label 0): the tokens, without base matches, of all texts, or of about `rows` whole ones.
 
-    A text is taken by the hash of its id and itself, at a rate that makes `rows`
-    of all rows, so that copies under other ids are taken one by one; a table
-    with fewer rows is taken whole.
+    With `rows` a text is taken by the hash of its id and itself, at a rate that
+    makes so many of all rows, so that copies under other ids are taken one by
+    one; a table with fewer rows is taken whole. `fit` takes all texts.
     """
-    rate = min(1.0, rows / max(1, docs.count()))
-    some = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("key")).where(F.pmod(F.col("key"), F.lit(1 << 30)) < rate * (1 << 30))
+    some = docs.select(F.col(text).alias("text"))
+    if rows is not None:
+        rate = min(1.0, rows / max(1, docs.count()))
+        some = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("key")).where(F.pmod(F.col("key"), F.lit(1 << 30)) < rate * (1 << 30))
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), ACCESS, " "), HEX, " ")
     return some.select(F.explode(F.regexp_extract_all(bare, F.lit("[A-Za-z_/+-][A-Za-z0-9_/+-]{3,}"), F.lit(0))).alias("value"), F.lit(0).alias("label"))
 
@@ -98,39 +100,56 @@ def frequent_words(tokens: DataFrame, most: int = 2_000) -> list[str]:
     return [r["word"] for r in words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
-def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS) -> Scanner:
-    """The models of random strings and of ordinary tokens and identifiers, with a threshold set on held-out identifiers.
+def fit(docs: DataFrame, text: str = "text") -> Scanner:
+    """The models of random strings and of all ordinary tokens and identifiers, with a threshold set on held-out identifiers.
 
-    Identifiers are made of the corpus's frequent words and of NAME_WORDS; one in
-    HELD_OUT, and the sample's tokens by the same rule, are left out of the
-    counts. The ratio for each character is the least at which at most
+    Tokens are counted over all rows. Identifiers are made of the corpus's
+    frequent words and of NAME_WORDS, and count once for every ROWS_EACH rows; one
+    in HELD_OUT, and the corpus's tokens by the same rule, are left out of the
+    counts. The ratio for each character is the least (in STEPS) at which at most
     MOST_REPORTED of those that are long enough are reported, and at least
     LEAST_PER_CHARACTER. Empty tables leave the identifiers alone to learn from.
     """
     # Written once, so that the table is read once.
-    tokens = materialise(ordinary_samples(docs, text, rows, doc_id).groupBy("value", "label").agg(F.count("*").alias("n")), "secret_samples")
-    ordinary = ordinary_identifiers(docs, sorted({*frequent_words(tokens), *NAME_WORDS})).withColumn("n", F.lit(1).cast("long")).unionByName(tokens)
+    tokens = materialise(ordinary_samples(docs, text).groupBy("value", "label").agg(F.count("*").alias("n")), "secret_tokens")
+    times = max(1, round(docs.count() / ROWS_EACH))
+    ordinary = ordinary_identifiers(docs, sorted({*frequent_words(tokens), *NAME_WORDS})).withColumn("n", F.lit(times).cast("long")).unionByName(tokens)
     out = F.pmod(F.xxhash64(F.lit("held out"), "value"), F.lit(HELD_OUT)) == 0
-    table = train(random_samples(docs).withColumn("n", F.lit(1).cast("long")).unionByName(ordinary.where(~out)))
+    table = train(random_samples(docs).withColumn("n", F.lit(1).cast("long")).unionByName(ordinary.where(~out)), times=times)
     # Both bounds of a report, as one number: a token is reported where its ratio reaches the need times this.
     judged = ordinary.where(out & F.col("value").rlike(f"^{TOKEN}$") & F.col("value").rlike("[A-Za-z]") & ~F.col("value").rlike(f"{ACCESS}|{HEX}"))
-    each = judged.select("n", (ratio(F.col("value"), _literal(table)) / F.length("value") / _strict(F.col("value"))).alias("each"))
-    bound = each.agg(F.percentile("each", 1.0 - MOST_REPORTED, F.col("n"))).collect()[0][0]
-    return Scanner(table, max(LEAST_PER_CHARACTER, round((bound or 0.0) + 1e-6, 6)))
+    each = judged.select("n", F.ceil(ratio(F.col("value"), _literal(table)) / F.length("value") / _strict(F.col("value")) * STEPS).alias("step"))
+    return Scanner(table, max(LEAST_PER_CHARACTER, bound(each)))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def bound(each: DataFrame) -> float:
+    """The least number of nats, in STEPS, that at most MOST_REPORTED of the counted rows (step, n) exceed; 0 without rows.
+
+    Only a count for each step reaches the driver: as many as a pair's ratios have steps.
+    """
+    counts = sorted(((r["step"], r["n"]) for r in each.groupBy("step").agg(F.sum("n").alias("n")).collect()), reverse=True)
+    room = MOST_REPORTED * sum(n for _, n in counts)
+    for step, n in counts:
+        room -= n
+        if room < 0:
+            # What has just this step is not reported either.
+            return round(step / STEPS + 1e-6, 6)
+    return 0.0
+
+
+def train(samples: DataFrame, smoothing: float = 0.5, times: int = 1) -> list[float]:
     """The log-likelihood ratio of each pair of ASCII characters, from rows of (value, label), or of (value, label, n) for n equal ones.
 
     A pair's place is 128 * first + second. Null and empty values add nothing. A
     pair that a model has hardly seen has about the probability of its second
-    character alone, and that is smoothed.
+    character alone, and that is smoothed. Ordinary strings are smoothed `times`
+    as much, so that a corpus of so many copies gives the same model.
     """
-    times = F.col("n") if "n" in samples.columns else F.lit(1)
-    chars = samples.select(F.col("label").cast("int").alias("label"), times.cast("long").alias("n"), F.split(F.regexp_replace("value", r"[^\x20-\x7E]", ""), "").alias("c"))
+    counted = F.col("n") if "n" in samples.columns else F.lit(1)
+    chars = samples.select(F.col("label").cast("int").alias("label"), counted.cast("long").alias("n"), F.split(F.regexp_replace("value", r"[^\x20-\x7E]", ""), "").alias("c"))
     pairs = chars.where(F.size("c") > 1).select("label", "n", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: F.concat(a, b))).alias("pair"))
     counts = pairs.where(F.length("pair") == 2).groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
-    symbols, weight = 66, smoothing * 66
+    symbols, smooth = 66, {0: smoothing * times, 1: smoothing}
     total = {(label, a): 0 for label in (0, 1) for a in range(128)}
     into = {(label, b): 0 for label in (0, 1) for b in range(128)}
     seen = {}
@@ -142,7 +161,8 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     every = {label: sum(into[label, b] for b in range(128)) for label in (0, 1)}
 
     def log(label: int, a: int, b: int) -> float:
-        alone = (into[label, b] + smoothing) / (every[label] + smoothing * symbols)
+        weight = smooth[label] * symbols
+        alone = (into[label, b] + smooth[label]) / (every[label] + weight)
         return math.log((seen.get((label, a, b), 0) + weight * alone) / (total[label, a] + weight))
 
     return [round(log(1, a, b) - log(0, a, b), 6) for a in range(128) for b in range(128)]

@@ -143,6 +143,34 @@ def test_copies_under_other_ids_are_sampled_one_by_one(spark):
     assert 200 < taken < 400
 
 
+def test_tokens_are_counted_over_all_rows(spark, monkeypatch):
+    docs = spark.range(6_000).selectExpr("id AS doc_id", "concat('common words ', if(id % 2000 = 7, 'zzqqzzqqxxjj', 'again')) AS text")
+    seen = {}
+    trained = secret_scan.train
+
+    def kept(samples, *args, **kwargs):
+        seen.update({r.value: r.n for r in samples.where("label = 0").groupBy("value").agg({"n": "max"}).toDF("value", "n").collect()})
+        return trained(samples, *args, **kwargs)
+
+    monkeypatch.setattr(secret_scan, "train", kept)
+    monkeypatch.setattr(secret_scan, "HELD_OUT", 1_000_003)
+    model = secret_scan.fit(docs)
+    assert (seen["common"], seen["words"], seen["again"], seen["zzqqzzqqxxjj"]) == (6_000, 6_000, 5_997, 3)
+    # So many copies of a corpus give the same model.
+    few = docs.where("doc_id < 2000")
+    assert secret_scan.fit(few.unionByName(few).unionByName(few)).table == secret_scan.fit(few.unionByName(few)).table == model.table
+
+
+def test_threshold_is_exact_on_its_steps(spark):
+    r = random.Random(5)
+    rows = [(r.randrange(-500, 900), r.randrange(1, 50)) for _ in range(4_000)]
+    least = secret_scan.bound(spark.createDataFrame(rows, "step long, n long"))
+    total, over = sum(n for _, n in rows), lambda step: sum(n for s, n in rows if s > step)
+    step = round((least - 1e-6) * secret_scan.STEPS)
+    assert over(step) <= secret_scan.MOST_REPORTED * total < over(step - 1)
+    assert secret_scan.bound(spark.createDataFrame([], "step long, n long")) == 0.0
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     learnt = secret_scan.fit(docs)
