@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clueforge.llm._text import kept as kept_in_worker
 from clueforge.llm._text import pre_tokens
 
 #: Entries of a worker's cache of encoded pre-tokens, and characters of each (longer ones are encoded each time); they bound memory and never change an id.
 CACHE_SIZE, CACHE_LONGEST = 400_000, 64
 
-_workers: dict[str, "Codec"] = {}
-
 
 def _varint(n: int) -> bytes:
     out = bytearray()
@@ -130,9 +129,7 @@ class Codec:
 
 
 def _codec(path: str) -> Codec:
-    if path not in _workers:
-        _workers[path] = Codec(read_ranks(path))
-    return _workers[path]
+    return kept_in_worker(f"codec {path}", lambda: Codec(read_ranks(path)))
 
 
 def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

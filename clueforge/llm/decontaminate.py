@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from clueforge.llm._text import mix, slices, utf8, word_hashes
+from clueforge.llm._text import mix, release, slices, utf8, word_hashes
 from clueforge.session import materialise
 
 #: Consecutive words of a window, share of hit words (1 / 20) from which a document is contaminated, and the most item words of one automaton: building takes up to about 700 bytes of the driver for each, the broadcast up to 60.
 WINDOW, ONE_IN, MOST_WORDS = 13, 20, 1_000_000
 
+#: Bytes of text that are worked on at once: each takes up to about 50 bytes of a worker's memory.
+SLICE = 250_000
+
 #: Words are runs of digits, letters and non-ASCII characters.
 IS_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
@@ -296,8 +299,9 @@ def _marked(rows: DataFrame, items: Items) -> DataFrame:
     schema = rows.select(plain).schema.add("_hit_words", "binary").add("_hit_items", ArrayType(StringType()))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 hit, counts, keys = _hits(shared.value, part)
                 bits = [np.packbits(hit[a:b]).tobytes() if k else None for a, b, k in zip(counts, counts[1:], keys, strict=False)]
                 arrays = [part.column(c) for c in plain] + [pa.array(bits, pa.binary()), pa.array([sorted(k) for k in keys], pa.list_(pa.string()))]
@@ -318,9 +322,10 @@ def _judged(rows: DataFrame, items: Items, with_clean: bool, keep: tuple[str, ..
     schema += "".join(f", `{c}` {kind(c)}" for c in keep)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         empty = hashlib.sha256(b"").hexdigest()
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 hit, counts, keys = _hits(shared.value, part)
                 run = np.concatenate([[0], np.cumsum(hit)])
                 n_words, n_hit = np.diff(counts), run[counts[1:]] - run[counts[:-1]]

@@ -19,11 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clueforge.llm._text import slices, utf8
+from clueforge.llm._text import release, slices, utf8
 
 #: Buckets of the hashed n-grams, orders of the n-grams, labelled rows to train on for each language, the most bytes of the broadcast matrix (976 languages), and the fixed-point unit of log probabilities.
 BUCKETS, ORDERS, ROWS_PER_LANGUAGE, MATRIX_BYTES, UNIT = 1 << 16, (1, 2, 3), 20_000, 256_000_000, 1 << 16
 
+#: Bytes of text that are worked on at once: each takes up to about 50 bytes of a worker's memory.
+SLICE = 250_000
+
 UNDETERMINED = "und"
 
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -58,10 +61,11 @@ def _counted(batches: Iterator[pa.RecordBatch], langs: list[str], buckets: int,
     """Packed bucket counts for each language of a partition."""
     from pyspark import TaskContext
 
+    release()
     sums = np.zeros(len(langs) * buckets, np.int64)
     number = {x: i for i, x in enumerate(langs)}
     for batch in batches:
-        for part in slices(batch, 1):
+        for part in slices(batch, 1, SLICE):
             codes, marks = _codes(part.column(1))
             of_row = np.array([number[x] for x in part.column(0).to_pylist()], np.int64)
             owner = np.repeat(of_row, np.diff(marks))
@@ -130,10 +134,11 @@ def predict(docs: DataFrame, model: dict, keep: dict[str, Column], text: str = "
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("_body").schema) + "lang_pred string, score double, fit double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         langs, prior, matrix, buckets = (shared.value[k] for k in ("langs", "prior", "matrix", "buckets"))
         names = np.array([*langs, UNDETERMINED], object)
         for batch in batches:
-            for part in slices(batch, batch.num_columns - 1, 1_000_000):
+            for part in slices(batch, batch.num_columns - 1, SLICE):
                 column = part.column(part.num_columns - 1)
                 valid = np.asarray(pc.is_valid(column))
                 best, score, fit = np.full(part.num_rows, len(langs)), np.zeros(part.num_rows), np.zeros(part.num_rows)

@@ -20,13 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clueforge.llm._text import pre_tokens
+from clueforge.llm._text import kept, pre_tokens
 
 #: Rows of the sample (by hash, whole texts) that fills the frequent table, entries of that table and characters of each, entries of a worker's cache and characters of each (longer pre-tokens are encoded each time). They bound memory and never change a count.
 TABLE_ROWS, TABLE_SIZE, TABLE_LONGEST, CACHE_SIZE, CACHE_LONGEST = 1_000, 65_536, 32, 500_000, 64
 
-_workers: dict[str, "_Lengths"] = {}
-
 
 class _Lengths:
     """The library's tokenizer, and the numbers of tokens of the pre-tokens met so far."""
@@ -109,9 +107,7 @@ def _lengths(path: str) -> _Lengths:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _workers:
-        _workers[path] = _Lengths(path)
-    return _workers[path]
+    return kept(f"lengths {path}", lambda: _Lengths(path))
 
 
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text", rows: int = TABLE_ROWS, most: int = TABLE_SIZE) -> dict[str, int]:

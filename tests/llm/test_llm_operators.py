@@ -489,3 +489,37 @@ def test_word_hashes_do_not_depend_on_slices():
     cut, same = word_hashes(data, offsets, jaccard_join.IS_WORD, most=8)
     assert (whole == cut).all() and (counts == same).all()
     assert whole[4] == whole[-1] or whole[3] == whole[-1]
+
+
+def test_batches_take_little_memory(monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+
+    from clueforge.llm import language_id
+
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    text = "".join(np.random.default_rng(3).choice(list("abcdefgh  "), 4_000).tolist())
+    batch = pa.record_batch({"lang": ["xx"] * 1_000, "text": [text] * 1_000})
+    rows = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))), schema=collections.defaultdict(lambda: SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "string"))), mapInArrow=lambda f, _: f)
+    judged = decontaminate._judged(rows, decontaminate.Items([("a", decontaminate._hashed("no such words"))]), False, (), False)
+    for run in (lambda: language_id._counted(iter([batch]), ["xx"], 1 << 16, 32), lambda: judged(iter([batch]))):
+        list(run())  # what is kept for good
+        tracemalloc.start()
+        assert sum(x.num_rows for x in run()) in (1, 1_000)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40_000_000, peak
+
+
+def test_a_worker_keeps_one_operators_caches():
+    from clueforge.llm import _text
+
+    first = _text.kept("a", dict)
+    assert _text.kept("a", dict) is first
+    _text.kept("b", dict)
+    assert list(_text._kept) == ["b"] and _text.kept("a", dict) is not first
+    _text.release()
+    assert not _text._kept
