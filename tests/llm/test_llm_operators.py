@@ -514,6 +514,18 @@ def test_batches_take_little_memory(monkeypatch):
         assert peak < 40_000_000, peak
 
 
+def test_pipeline_learns_names_from_all_rows(spark, monkeypatch):
+    import corpus_pipeline
+    from clueforge.llm import secret_scan
+
+    taken = []
+    frequent = secret_scan.frequent_words
+    monkeypatch.setattr(secret_scan, "frequent_words", lambda tokens: taken.append({r.value: r.n for r in tokens.collect()}) or frequent(tokens))
+    docs = spark.range(5_000).selectExpr("id AS doc_id", "if(id % 1000 = 3, 'rareword of', 'common of') AS text", "'en' AS lang", "'s' AS source", "9L AS n_chars")
+    assert corpus_pipeline.secret_free(spark, docs, "").count() == 5_000
+    assert taken == [{"rareword": 5, "common": 4_995}]
+
+
 def test_a_worker_keeps_one_operators_caches():
     from clueforge.llm import _text
 
