@@ -14,13 +14,16 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Elements that are not text, elements that end a line, and character references, in the order of replacement.
+#: Elements that are not text and how many of them (from the first) are common, elements that end a line, and character references, in the order of replacement.
 SILENT = ("script", "style", "head", "noscript", "template")
+COMMON = 3
 BLOCK = "p|div|br|li|ul|ol|tr|table|h[1-6]|nav|article|section|header|footer|blockquote|pre|title|body|html"
 REFERENCES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 DATE = "1970-01-01T00:00:00Z"
@@ -32,24 +35,39 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def plain_text(html: Column) -> Column:
-    """The visible text: comments, silent elements and tags go, blocks end lines, references are read, blanks collapse.
+def _without_silent(html: Column, name: str) -> Column:
+    if name == "head":  # the first head only, if it is closed
+        return F.regexp_replace(html, r"(?is)\A((?>.*?(?=<head[\s>])))<head(?:\s[^<>]*)?>.*?</head\s*>", "$1")
+    return F.regexp_replace(html, rf"(?is)<{name}(?:\s[^<>]*)?>.*?(?:</{name}\s*>|\z)", "")
+
+
+def body_text(html: Column) -> Column:
+    """What is left without comments and the common silent elements."""
+    out = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
+    for name in SILENT[:COMMON]:
+        out = _without_silent(out, name)
+    return out
+
+
+def plain_text(body: Column) -> Column:
+    """The visible text of a `body_text`: other silent elements and tags go, blocks end lines, references are read, blanks collapse.
 
     A comment or silent element that is not closed goes on to the end, but an
-    unclosed head is only a tag. Tags hold no `<`. Every step is one pass.
+    unclosed head is only a tag. Tags hold no `<`. Every step is one pass. The
+    body should be a column by name, as it is read more than once: few bodies have
+    other silent elements, and those without are spared the passes.
     """
-    out = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
-    for name in SILENT:
-        if name == "head":  # the first head only, if it is closed
-            out = F.regexp_replace(out, r"(?is)\A((?>.*?(?=<head[\s>])))<head(?:\s[^<>]*)?>.*?</head\s*>", "$1")
-        else:
-            out = F.regexp_replace(out, rf"(?is)<{name}(?:\s[^<>]*)?>.*?(?:</{name}\s*>|\z)", "")
+    lower, rare = F.lower(body), SILENT[COMMON:]
+    out = body
+    for name in rare:
+        out = _without_silent(out, name)
+    out = F.when(reduce(or_, [F.contains(lower, F.lit(f"<{name}")) for name in rare]), out).otherwise(body)
     out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCK})(?:\s[^<>]*)?/?>", "\n")
     out = F.regexp_replace(out, r"<[^<>]*>", "")
     for name, char in REFERENCES:
         out = F.replace(out, F.lit(name), F.lit(char))
     out = F.regexp_replace(out, r"[ \t\r\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"\A[ \n]+|[ \n]+\z", "")
+    return F.btrim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def field(value: Column) -> Column:
@@ -86,8 +104,8 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     if "payload_digest" in responses.columns:
         digest = F.coalesce(F.col("payload_digest"), digest)
     size = F.col("payload_bytes") if "payload_bytes" in responses.columns else F.lit(None).cast("long")
-    source = responses.select(*keep, F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("http_headers").alias("source_headers"), digest.alias("payload_digest"), payload.alias("payload"), F.coalesce(size, F.octet_length(payload)).alias("size"))
-    text = plain_text(F.col("payload"))
+    source = responses.select(*keep, F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("http_headers").alias("source_headers"), digest.alias("payload_digest"), payload.alias("payload"), body_text(payload).alias("body"), F.coalesce(size, F.octet_length(payload)).alias("size"))
+    text = plain_text(F.col("body"))
     title = field(F.regexp_extract(F.col("payload"), r"(?is)\A(?>.*?<title[^<>]*>)(.*?)</title>", 1))
     fields = F.concat_ws(
         "\r\n",

@@ -526,6 +526,16 @@ def test_pipeline_learns_names_from_all_rows(spark, monkeypatch):
     assert taken == [{"rareword": 5, "common": 4_995}]
 
 
+def test_rare_silent_elements_are_removed_wherever_they_arise(spark):
+    pages = ["a<noscript>b</noscript>c", "a<nos<!-- x -->cript>b</noscript>c", "a<TEMPLATE x>b</template>c", "a<temp<noscript>q</noscript>late>b</template>c", "a<no<script></script>script>b", "a<nav>b</nav>c", " \n a \n\n b \n ", "", None]
+    rows = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    bodies = rows.select("page_id", warc_derive.body_text(F.col("html")).alias("body"))
+    got = {r.page_id: r.t for r in bodies.select("page_id", warc_derive.plain_text(F.col("body")).alias("t")).collect()}
+    assert got == {0: "ac", 1: "ac", 2: "ac", 3: "ac", 4: "a", 5: "a\nb\nc", 6: "a\nb", 7: "", 8: None}
+    blocks = {r.page_id: r.block for r in warc_derive.derive(warc_derive.responses_of_pages(rows), ("page_id",)).where("record_type = 'conversion'").collect()}
+    assert blocks == got | {8: ""}
+
+
 def test_a_worker_keeps_one_operators_caches():
     from clueforge.llm import _text
 
