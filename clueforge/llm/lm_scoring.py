@@ -5,7 +5,7 @@ model are the most frequent words, each whole, and subwords of up to five bytes
 into which other words fall; a subword outside the vocabulary is spelled by its
 bytes. Units are grouped into classes: the commonest are a class each, the others
 share classes by what they stand beside. A one-layer causal self-attention model,
-trained in numpy on windows drawn from all training rows, gives the softmax over
+trained in numpy on all windows of all training rows, gives the softmax over
 the next unit's class, and the corpus counts that over the units of a class; the
 product is a distribution over all units. Texts are scored in overlapping windows:
 each position is scored once, with masked attention over the window's earlier
@@ -17,7 +17,7 @@ two arrays of bounded size; the others are joined by their 64-bit hash.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ from clueforge.session import materialise
 PIECE, WORDS, PIECES, SINGLE, SHARED = 5, 49_152, 16_384, 61, 64
 #: Positions of a window and those of them that are context only, width of the model, first steps, windows a step.
 WINDOW, CONTEXT, WIDTH, STEPS, BATCH = 32, 8, 16, 400, 128
-#: One window of so many is trained on, or all of a corpus with fewer than LEAST_WINDOWS; windows of a shard, most shards (a shard grows beyond), rounds over all shards, learning rate of these.
-ONE_OF, LEAST_WINDOWS, SHARD, MOST_SHARDS, ROUNDS, RATE = 16, 32_768, 16_384, 256, 2, 0.005
+#: Windows of a shard, most shards (a shard grows beyond), rounds over all shards, learning rate of these.
+SHARD, MOST_SHARDS, ROUNDS, RATE = 16_384, 256, 2, 0.005
 #: Commonest units before and after which a unit is counted to find its class, and rounds of the grouping.
 BESIDE, GROUPING = 24, 8
 #: Words that are broadcast with their counts, words counted together on the map side, and windows that are worked out together.
@@ -295,11 +295,15 @@ class Attention:
         return self
 
     def fit(self, inputs: np.ndarray, targets: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 11) -> "Attention":
-        """Adam over random batches of windows."""
+        """Adam over batches of windows in random order."""
         r = np.random.default_rng(seed)
+        order = np.empty(0, np.int64)
         state = {n: (np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))) for n in self.NAMES}
         for step in range(1, steps + 1 if len(inputs) else 1):
-            some = r.integers(0, len(inputs), batch)
+            # Without replacement, pass by pass, so that every window takes part.
+            if len(order) < min(batch, len(inputs)):
+                order = np.concatenate([order, r.permutation(len(inputs))])
+            some, order = order[:batch], order[batch:]
             for name, g in self.gradients(inputs[some], targets[some]).items():
                 m, s = state[name]
                 m += 0.1 * (g - m)
@@ -309,54 +313,74 @@ class Attention:
         return self
 
 
-def _training_windows(docs: DataFrame, text: str, vocabulary: Vocabulary, rate: float, shards: int) -> DataFrame:
-    """(shard, key, inputs, targets): windows of all rows, drawn at `rate` and dealt into shards by a hash of the row and the window's place."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    least = np.uint64(min((1 << 64) - 1, int(rate * 2.0**64)))
+#: A window as it is stored: its key, and the classes of its inputs and targets (128 of them; -1 is no target).
+_STORED = np.dtype([("key", np.uint64), ("inputs", np.int8, WINDOW), ("targets", np.int8, WINDOW - CONTEXT)])
 
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
-                ids, firsts, _ = shared.value.units(part.column(1))
-                keys = np.asarray(part.column(0)).view(np.uint64)
-                for low in range(0, n_windows(firsts), 16 * TOGETHER):
-                    inputs, targets, owner = windows(ids, firsts, low, low + 16 * TOGETHER)
-                    first = np.concatenate([[0], np.cumsum(-(-np.diff(firsts) // (WINDOW - CONTEXT)))])
-                    place = np.arange(low, low + len(owner)) - first[owner]
-                    key = mix(keys[owner] + mix(place.astype(np.uint64) + np.uint64(1)))
-                    kept = key <= least
-                    dealt = mix(key[kept])
-                    columns = [pa.array((dealt % np.uint64(shards)).astype(np.int32)), pa.array(dealt.view(np.int64)), *[pa.array([r.tobytes() for r in a[kept]], pa.binary()) for a in (inputs, targets)]]
-                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "key", "inputs", "targets"])
 
+def _unit_windows(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, inputs and targets of all windows of rows (key, text); a key depends on the row and the window's place in it."""
+    for batch in batches:
+        for part in slices(batch, "text", 1_000_000):
+            ids, firsts, _ = vocabulary.units(part.column(1))
+            keys = np.asarray(part.column(0)).view(np.uint64)
+            first = np.concatenate([[0], np.cumsum(-(-np.diff(firsts) // (WINDOW - CONTEXT)))])
+            for low in range(0, n_windows(firsts), 16 * TOGETHER):
+                inputs, targets, owner = windows(ids, firsts, low, low + 16 * TOGETHER)
+                place = np.arange(low, low + len(owner)) - first[owner]
+                yield mix(keys[owner] + mix(place.astype(np.uint64) + np.uint64(1))), inputs, targets
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
     key = F.xxhash64(*[F.col(c) for c in ("doc_id", text) if c in docs.columns])
-    return docs.select(key.alias("key"), F.col(text).alias("text")).mapInArrow(drawn, "shard int, key long, inputs binary, targets binary")
+    return docs.select(key.alias("key"), F.col(text).alias("text"))
+
+
+def _training_windows(docs: DataFrame, text: str, vocabulary: Vocabulary, shards: int) -> DataFrame:
+    """(shard, windows): all windows of all rows by class, dealt into shards by a hash of the row and the window's place; a row holds many."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, inputs, targets in _unit_windows(batches, shared.value):
+            cls = shared.value.cls
+            stored = np.empty(len(key), _STORED)
+            stored["key"], stored["inputs"] = mix(key), cls[inputs]
+            stored["targets"] = np.where(targets >= 0, cls[targets], -1)
+            shard = (stored["key"] % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            used, at = np.unique(shard[order], return_index=True)
+            held = [x.tobytes() for x in np.split(stored[order], at[1:])] if len(used) else []
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held, pa.binary())], names=["shard", "windows"])
 
-def _unpacked_windows(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return _keyed(docs, text).mapInArrow(dealt, "shard int, windows binary")
+
+
+def _unpacked_windows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and targets in the order of their keys."""
-    rows = rows.sort_by([("key", "ascending"), ("inputs", "ascending"), ("targets", "ascending")])
-    of = lambda name, width: np.frombuffer(b"".join(rows.column(name).to_pylist()), np.int32).reshape(-1, width)
-    return of("inputs", WINDOW), of("targets", WINDOW - CONTEXT)
+    stored = np.frombuffer(b"".join(rows.column("windows").to_pylist()), _STORED)
+    stored = stored[np.argsort(stored["key"], kind="stable")]
+    return stored["inputs"], stored["targets"]
 
 
-def _grouped(drawn: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+def _grouped(docs: DataFrame, text: str, vocabulary: Vocabulary) -> np.ndarray:
     """The class of each unit: units that stand beside the same common units share one.
 
-    What is counted has at most 2 * BESIDE rows for each unit of the vocabulary.
+    All windows of all rows are counted. What is counted has at most 2 * BESIDE
+    rows for each unit of the vocabulary.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            inputs, targets = _unpacked_windows(batch)
+        counts = np.zeros(len(shared.value.counts) * 2 * BESIDE, np.int64)
+        for _, inputs, targets in _unit_windows(batches, shared.value):
             last, following = inputs[:, CONTEXT:], np.concatenate([targets[:, 1:], np.full((len(targets), 1), -1)], 1)
-            found = []
             for other, shift in ((last, 0), (following, BESIDE)):
                 hit = (targets >= SPECIAL + SINGLE) & (other >= SPECIAL) & (other < SPECIAL + BESIDE)
-                found.append(targets[hit].astype(np.int64) * (2 * BESIDE) + other[hit] - SPECIAL + shift)
-            places, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(n)], names=["place", "n"])
+                places, n = np.unique(targets[hit].astype(np.int64) * (2 * BESIDE) + other[hit] - SPECIAL + shift, return_counts=True)
+                counts[places] += n
+        places = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(counts[places])], names=["place", "n"])
 
-    got = drawn.select("key", "inputs", "targets").mapInArrow(beside, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    got = _keyed(docs, text).mapInArrow(beside, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     n_units = len(vocabulary.counts)
     cls = np.where(np.arange(n_units) < SPECIAL + SINGLE, np.arange(n_units), 0)
     x = np.zeros(n_units * 2 * BESIDE, np.float32)
@@ -376,35 +400,33 @@ def _grouped(drawn: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
 
 def learned(docs: DataFrame, text: str, vocabulary: Vocabulary, about: float) -> Attention:
-    """The attention model of all rows, which have about so many windows; it also groups the vocabulary's units.
+    """The attention model of all windows of all rows, about so many; it also groups the vocabulary's units.
 
-    What is trained on grows with the corpus. The first shard, a sample of all
-    rows, gives the first weights; in each round every shard then trains a copy,
-    and the copies are averaged.
+    The first shard gives the weights to begin with; in each round every shard
+    then trains a copy on all of its windows, and the copies are averaged.
     """
-    rate = min(1.0, max(1.0 / ONE_OF, LEAST_WINDOWS / max(1.0, about)))
-    shards = int(min(MOST_SHARDS, max(1, -(-about * rate // SHARD))))
-    drawn = materialise(_training_windows(docs, text, vocabulary, rate, shards), "windows")
-    vocabulary.group(_grouped(drawn, vocabulary))
-    cls, prior = vocabulary.cls, vocabulary.prior
-    of_class = lambda inputs, targets: (cls[inputs].astype(np.int32), np.where(targets >= 0, cls[targets], -1).astype(np.int32))
+    shards = int(min(MOST_SHARDS, max(1, -(-about // SHARD))))
+    vocabulary.group(_grouped(docs, text, vocabulary))
+    stored = materialise(_training_windows(docs, text, vocabulary, shards), "windows")
+    prior = vocabulary.prior
     attention = Attention(prior)
-    first = drawn.where("shard = 0").drop("shard")
-    attention.fit(*of_class(*_unpacked_windows(first.toArrow())))
 
-    def round_of(weights: np.ndarray, turn: int) -> Callable[[pa.Table], pa.Table]:
-        def trained(rows: pa.Table) -> pa.Table:
-            inputs, targets = of_class(*_unpacked_windows(rows))
-            own = Attention(prior).unpacked(weights).fit(inputs, targets, max(1, len(inputs) // BATCH), rate=RATE, seed=100 + turn)
-            return pa.table({"shard": rows.column("shard").slice(0, 1), "n": pa.array([len(inputs)], pa.int64()), "weights": pa.array([own.packed().astype(np.float32).tobytes()], pa.binary())})
+    def averaged(rows: DataFrame, weights: np.ndarray, steps: int | None, rate: float, seed: int) -> None:
+        """The mean of the copies that the shards of some rows train from these weights, by their windows."""
 
-        return trained
+        def trained(one: pa.Table) -> pa.Table:
+            inputs, targets = _unpacked_windows(one)
+            own = Attention(prior).unpacked(weights).fit(inputs, targets, -(-len(inputs) // BATCH) if steps is None else steps, rate=rate, seed=seed)
+            return pa.table({"shard": one.column("shard").slice(0, 1), "n": pa.array([len(inputs)], pa.int64()), "weights": pa.array([own.packed().astype(np.float32).tobytes()], pa.binary())})
 
-    for turn in range(ROUNDS):
-        found = sorted(drawn.groupBy("shard").applyInArrow(round_of(attention.packed(), turn), "shard int, n long, weights binary").collect())
+        found = sorted(rows.groupBy("shard").applyInArrow(trained, "shard int, n long, weights binary").collect())
         if found:
             total = sum(r["n"] * np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in found)
             attention.unpacked(total / sum(r["n"] for r in found))
+
+    averaged(stored.where("shard = 0"), attention.packed(), STEPS, 0.01, 11)
+    for turn in range(ROUNDS):
+        averaged(stored, attention.packed(), None, RATE, 100 + turn)
     return attention
 
 

@@ -545,3 +545,23 @@ def test_a_worker_keeps_one_operators_caches():
     assert list(_text._kept) == ["b"] and _text.kept("a", dict) is not first
     _text.release()
     assert not _text._kept
+
+
+def test_lm_trains_on_every_window(spark):
+    texts = [" ".join(f"w{(i * j) % 50}" for j in range(200)) for i in range(6_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blank = lambda: lm_scoring.Vocabulary((np.empty(0, np.int64), np.empty(0, np.int64)), (np.empty(0, np.int64), np.empty(0, np.int64)), 0, 0)
+    found = lm_scoring._training_windows(docs, "text", blank(), 5).toArrow()
+    inputs, targets = lm_scoring._unpacked_windows(found)
+    assert len(inputs) == 6_000 * -(-201 // (lm_scoring.WINDOW - lm_scoring.CONTEXT)) > 32_768
+    assert (targets >= 0).sum() == 6_000 * 201
+    met = []
+
+    class Watched(lm_scoring.Attention):
+        def gradients(self, inputs, targets):
+            met.append(inputs[:, -1])
+            return {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
+
+    numbers = np.repeat(np.arange(1_000)[:, None], lm_scoring.WINDOW, 1)
+    Watched(np.ones(lm_scoring.CLASSES)).fit(numbers, numbers, -(-1_000 // lm_scoring.BATCH))
+    assert set(np.concatenate(met).tolist()) == set(range(1_000))
