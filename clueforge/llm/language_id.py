@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from clueforge.llm._text import release, slices, utf8
 
-#: Buckets of the hashed n-grams, orders of the n-grams, labelled rows to train on for each language, the most bytes of the broadcast matrix (976 languages), and the fixed-point unit of log probabilities.
-BUCKETS, ORDERS, ROWS_PER_LANGUAGE, MATRIX_BYTES, UNIT = 1 << 16, (1, 2, 3), 20_000, 256_000_000, 1 << 16
+#: Buckets of the hashed n-grams, orders of the n-grams, the most bytes of the broadcast matrix (976 languages), and the fixed-point unit of log probabilities.
+BUCKETS, ORDERS, MATRIX_BYTES, UNIT = 1 << 16, (1, 2, 3), 256_000_000, 1 << 16
 
 #: Bytes of text that are worked on at once: each takes up to about 50 bytes of a worker's memory.
 SLICE = 250_000
@@ -86,10 +86,11 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"lang": table.column("lang")[:1], "part": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE, buckets: int = BUCKETS) -> dict:
+def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", rows_per_language: int | None = None, buckets: int = BUCKETS) -> dict:
     """Languages (sorted), their log priors and log probabilities in UNITs, from rows with non-null text and language.
 
-    More languages than fit the matrix raise an error. Of a language with more than `rows_per_language` rows, rows are taken by a
+    All rows are counted. More languages than fit the matrix raise an error. With
+    `rows_per_language`, of a language with more rows than that, rows are taken by a
     hash of key and text at that rate, so rows that share a key are not taken or
     left together; priors are of all rows.
     """
@@ -100,14 +101,16 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "prior": np.zeros(0, np.int64), "matrix": np.zeros((0, buckets), np.int32), "buckets": buckets}
-    rate = F.lit(1.0)
-    for name in langs:
-        if sizes[name] > rows_per_language:
-            rate = F.when(F.col("lang") == name, F.lit(rows_per_language / sizes[name])).otherwise(rate)
-    sample = rows.where(F.pmod(F.xxhash64(F.col("key").cast("string"), F.col("text")), F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text")
+    taken = rows
+    if rows_per_language is not None:
+        rate = F.lit(1.0)
+        for name in langs:
+            if sizes[name] > rows_per_language:
+                rate = F.when(F.col("lang") == name, F.lit(rows_per_language / sizes[name])).otherwise(rate)
+        taken = rows.where(F.pmod(F.xxhash64(F.col("key").cast("string"), F.col("text")), F.lit(1 << 30)) < rate * (1 << 30))
     schema = "lang string, part int, counts binary"
     groups = 32
-    packed = sample.mapInArrow(lambda it: _counted(it, langs, buckets, groups), schema).groupBy("lang", "part").applyInArrow(_summed, schema).groupBy("lang").applyInArrow(_summed, schema)
+    packed = taken.select("lang", "text").mapInArrow(lambda it: _counted(it, langs, buckets, groups), schema).groupBy("lang", "part").applyInArrow(_summed, schema).groupBy("lang").applyInArrow(_summed, schema)
     matrix = np.full((len(langs), buckets), 1.0)
     for row in packed.collect():
         matrix[langs.index(row["lang"])] += np.frombuffer(zlib.decompress(row["counts"]), np.int64)

@@ -125,6 +125,13 @@ def brute_words(text):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
 
 
+def test_language_learns_from_all_rows(spark):
+    rows, buckets = 24_000, 1 << 12
+    model = language_id.train(spark.range(rows).selectExpr("id AS doc_id", "'ab' AS text", "'xx' AS lang"), buckets=buckets)
+    probability = (rows + 1) / (3 * rows + buckets)
+    assert np.sum(model["matrix"] == round(math.log(probability) * language_id.UNIT)) == 3
+
+
 def test_benchmarks_over_a_bound(spark):
     with pytest.raises(ValueError):
         list(decontaminate.item_parts(spark.createDataFrame([("a", "b")], "item_id string, text string"), most=12))
