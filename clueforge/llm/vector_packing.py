@@ -17,15 +17,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clueforge.llm._text import slices
+from clueforge.llm._text import slices, utf8, word_hashes
 from clueforge.llm.bpe_codec import byte_characters
+from clueforge.llm.lm_scoring import IS_WORD, word_spans
 
 #: Limits of a sequence: tokens, segments, tokens that bear loss.
 TOKENS, SEGMENTS, LOSS = 4_096, 256, 4_096
@@ -139,9 +140,10 @@ SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-
 class _Ids:
     """The library's ids of texts, by a table of the words between white space that a worker has met.
 
-    For files whose pre-tokenizer never joins characters across white space. Plain
+    For files whose pre-tokenizer never joins characters across white space and whose
+    normaliser lowers case. Words are looked up by their 64-bit hashes in numpy. Plain
     words are split here and asked of the library's model; the library gets others
-    whole, and special strings.
+    whole, and texts with special strings.
     """
 
     def __init__(self, path: str):
@@ -160,7 +162,7 @@ class _Ids:
         normal = (spec.get("normalizer") or {}).get("normalizers", [])
         before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        self.special = re.compile(b"|".join(re.escape(x.encode()) for x in added) or b"(?!)").search
         #: Normalised character by character, white space dropped by the split, byte-level without a prefix space.
         self.by_words = (
             [x["type"] for x in normal] == ["NFC", "Replace", "Lowercase"]
@@ -174,40 +176,62 @@ class _Ids:
         self._clear()
 
     def _clear(self) -> None:
-        self.places: dict[str, int] = {}
+        self.keys, self.places = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.parts: dict[str, tuple[int, ...]] = {}
         self.ends, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, without added tokens."""
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, without added tokens; a null is an empty text."""
         if not self.by_words:
-            return [np.array(x, np.uint32) for x in self._library(texts)]
-        split = [None if _odd(t) else t.split() for t in texts]
-        if len(self.places) + len(self.parts) > CACHE_SIZE:
+            return [np.array(x, np.uint32) for x in self._library([t or "" for t in column.to_pylist()])]
+        data, offsets = utf8(column)
+        raw, apart = data.tobytes(), {}
+        if self.special(raw):
+            apart = {i: np.array(self._library([t])[0], np.uint32) for i, t in enumerate(column.to_pylist()) if t and self.special(t.encode())}
+            data, offsets = utf8(pa.array([None if i in apart else t for i, t in enumerate(column.to_pylist())], pa.string()))
+            raw = data.tobytes()
+        hashes, marks = word_hashes(data, offsets, IS_WORD)
+        if len(self.keys) + len(self.parts) > CACHE_SIZE:
             self._clear()
-        places = self.places
-        new = dict.fromkeys(w for words in split if words for w in words if w not in places)
-        stays = [w for w in new if len(w) <= CACHE_LONGEST]
-        others = [w for w in new if len(w) > CACHE_LONGEST]
-        flat, ends = self.flat, self.ends
-        if new:
-            found = self._words(stays + others)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        head = np.ones(len(ranked), bool)
+        head[1:] = ranked[1:] != ranked[:-1]
+        keys = ranked[head]
+        place = np.empty(len(ranked), np.int64)
+        place[order] = np.cumsum(head) - 1
+        entry, flat, ends = np.full(len(keys), -1), self.flat, self.ends
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            entry = np.where(self.keys[at] == keys, self.places[at], -1)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            starts, stops = (x[order[head][new]] for x in word_spans(data, offsets))
+            # Long words come last and leave the table after this batch.
+            last = np.argsort(stops - starts > CACHE_LONGEST, kind="stable")
+            new, starts, stops = new[last], starts[last], stops[last]
+            found = self._words([raw[i:j].decode() for i, j in zip(starts.tolist(), stops.tolist(), strict=True)])
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            first = len(ends) - 1
+            entry[new] = np.arange(len(ends) - 1, len(ends) - 1 + len(new))
             flat = np.concatenate([flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
             ends = np.concatenate([ends, ends[-1] + np.cumsum(sizes)])
-            places.update(zip(stays, range(first, first + len(stays)), strict=True))
-            kept = first + len(stays)
+            stays = np.sort(new[: int((stops - starts <= CACHE_LONGEST).sum())])
+            kept = len(self.ends) - 1 + len(stays)
             self.flat, self.ends = flat[: ends[kept]], ends[: kept + 1]
-            if others:
-                places = places | dict(zip(others, range(kept, kept + len(others)), strict=True))
-        return [np.array(self._library([t])[0], np.uint32) if words is None else _gathered(words, places, ends, flat) for t, words in zip(texts, split, strict=True)]
+            at = np.searchsorted(self.keys, keys[stays])
+            self.keys, self.places = np.insert(self.keys, at, keys[stays]), np.insert(self.places, at, entry[stays])
+        at = entry[place]
+        sizes = ends[at + 1] - ends[at]
+        before = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(sizes, out=before[1:])
+        ids = flat[np.arange(before[-1]) + np.repeat(ends[at] - before[:-1], sizes)]
+        return [apart[i] if i in apart else ids[a:b] for i, (a, b) in enumerate(pairwise(before[marks].tolist()))]
 
     def _words(self, words: list[str]) -> list[Sequence[int]]:
         out: list[Sequence[int]] = []
         hard, tokenize, letters, parts = [], self.model.tokenize, self.letters, self.parts
         for k, word in enumerate(words):
-            if not PLAIN(word) or self.special(word):
+            if not PLAIN(word):
                 hard.append(k)
                 out.append(())
                 continue
@@ -228,20 +252,6 @@ class _Ids:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _odd(text: str) -> bool:
-    """Characters that split() takes for white space and the tokenizer does not."""
-    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-
-
-def _gathered(words: list[str], places: dict[str, int], ends: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    if not words:
-        return np.empty(0, np.uint32)
-    at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-    first, sizes = ends[at], ends[at + 1] - ends[at]
-    out = np.cumsum(sizes)
-    return flat[np.arange(out[-1]) + np.repeat(first - out + sizes, sizes)]
-
-
 _workers: dict[str, _Ids] = {}
 
 
@@ -298,7 +308,7 @@ def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
             key_type = batch.column(0).type
             for part in slices(batch, 1):
                 keys = part.column(0)
-                for i, ids in enumerate(library.encode([t or "" for t in part.column(1).to_pylist()])):
+                for i, ids in enumerate(library.encode(part.column(1))):
                     ids = np.append(ids, np.uint32(end))
                     held[name] = (keys[i], ids, [len(ids)])
                     packer.add(name, len(ids))

@@ -104,6 +104,21 @@ def test_pack_documents(spark, sf):
     assert sum(n == 4096 for n in lengths.values()) >= 0.8 * len(lengths)
 
 
+def test_words_are_looked_up_by_hash():
+    import pyarrow as pa
+
+    library = vector_packing._Ids(tokenizer_path(PATH))
+    special = next(iter(library.tokenizer.get_added_tokens_decoder().values())).content
+    texts = ["Word word's WORD.", "word", None, "", "x" * 99, "a\x1cb\xa0c d\u2003E", "\u0130\u03a3 \u0301e", f"one{special}TWO two", special.upper(), "word two"]
+    for _ in range(2):
+        got = library.encode(pa.array(texts))
+        assert [x.tolist() for x in got] == [library.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    # One entry for all cases of a word, none for long ones.
+    before = len(library.keys)
+    library.encode(pa.array(["wOrD new NEW", "New " + "y" * 99]))
+    assert len(library.keys) == len(library.places) == len(library.ends) - 1 == before + 1
+
+
 def test_other_tokenizers_are_asked_whole(spark):
     from tokenizers import Tokenizer
 
