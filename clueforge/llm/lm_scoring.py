@@ -35,6 +35,8 @@ WINDOW, CONTEXT, WIDTH, STEPS, BATCH = 32, 8, 16, 400, 128
 SHARD, MOST_SHARDS, ROUNDS, RATE = 16_384, 256, 2, 0.005
 #: Commonest units before and after which a unit is counted to find its class, and rounds of the grouping.
 BESIDE, GROUPING = 24, 8
+#: Windows whose class probabilities are held at once, so that they stay in a core's cache.
+AT_ONCE = 64
 #: Words that are broadcast with their counts, words counted together on the map side, and windows that are worked out together.
 FREQUENT, BUFFER, TOGETHER = 500_000, 4_000_000, 1_024
 
@@ -217,6 +219,17 @@ def n_windows(counts: np.ndarray) -> int:
     return int((-(-np.diff(counts) // (WINDOW - CONTEXT))).sum())
 
 
+_ONES = np.ones(CLASSES, np.float32)
+
+
+def _softmax(x: np.ndarray, share: np.ndarray | float = 1.0) -> np.ndarray:
+    """The softmax over the last axis in place, each row times its share."""
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x *= (share / (x @ _ONES[: x.shape[-1]]))[..., None]
+    return x
+
+
 class Attention:
     """One causal self-attention layer over class ids, with hand-written gradients."""
 
@@ -230,6 +243,7 @@ class Attention:
         self.head, self.bias = r.normal(0, 0.05, (d, CLASSES)).astype(np.float32), np.log(prior / prior.sum()).astype(np.float32)
         late = np.arange(WINDOW)[None, :] > np.arange(CONTEXT, WINDOW)[:, None]
         self.mask = np.where(late, np.float32(-1e9), np.float32(0))
+        self.room = np.empty((0, CLASSES), np.float32)
 
     def forward(self, inputs: np.ndarray) -> tuple[np.ndarray, ...]:
         d = WIDTH
@@ -241,32 +255,36 @@ class Attention:
         q = (own.reshape(-1, d) @ (self.qkv[:, :d] * np.float32(d**-0.5))).reshape(own.shape)
         weight = q @ k.transpose(0, 2, 1)
         weight += self.mask
-        weight -= weight.max(-1, keepdims=True)
-        np.exp(weight, out=weight)
-        weight /= weight.sum(-1, keepdims=True)
+        _softmax(weight)
         mixed = weight @ v
         h = own + (mixed.reshape(-1, d) @ self.out).reshape(own.shape)
-        logits = h.reshape(-1, d) @ self.head + self.bias
+        # The largest array by far: its memory is used again by the next call.
+        if len(self.room) < h.size // d:
+            self.room = np.empty((h.size // d, CLASSES), np.float32)
+        logits = np.matmul(h.reshape(-1, d), self.head, out=self.room[: h.size // d])
+        logits += self.bias
         return x, own, q, k, v, weight, mixed, h, logits
 
     def log_probs(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the targets; 0 where there is none."""
-        logits = self.forward(inputs)[-1]
-        logits -= logits.max(-1, keepdims=True)
-        goal = targets.reshape(-1)
-        picked = logits[np.arange(len(goal)), np.maximum(goal, 0)]
-        np.exp(logits, out=logits)
-        return np.where(goal >= 0, picked - np.log(logits.sum(-1)), 0.0).reshape(targets.shape)
+        out = np.zeros(targets.shape)
+        for low in range(0, len(inputs), AT_ONCE):
+            goal = targets[low : low + AT_ONCE].reshape(-1)
+            logits = self.forward(inputs[low : low + AT_ONCE])[-1]
+            logits -= logits.max(-1, keepdims=True)
+            picked = logits[np.arange(len(goal)), np.maximum(goal, 0)]
+            np.exp(logits, out=logits)
+            out[low : low + AT_ONCE] = np.where(goal >= 0, picked - np.log(logits @ _ONES), 0.0).reshape(-1, targets.shape[1])
+        return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
         d = WIDTH
         x, own, q, k, v, weight, mixed, h, logits = self.forward(inputs)
         goal = targets.reshape(-1)
-        g = np.exp(logits - logits.max(-1, keepdims=True))
-        g /= g.sum(-1, keepdims=True)
-        g[np.arange(len(goal)), np.maximum(goal, 0)] -= 1
-        g *= (goal >= 0)[:, None] / np.float32(max(1, (goal >= 0).sum()))
-        out = {"head": h.reshape(-1, d).T @ g, "bias": g.sum(0)}
+        share = (goal >= 0) / np.float32(max(1, (goal >= 0).sum()))
+        g = _softmax(logits, share)
+        g[np.arange(len(goal)), np.maximum(goal, 0)] -= share
+        out = {"head": h.reshape(-1, d).T @ g, "bias": np.ones(len(g), np.float32) @ g}
         gh = (g @ self.head.T).reshape(h.shape)
         out["out"] = mixed.reshape(-1, d).T @ gh.reshape(-1, d)
         gm = (gh.reshape(-1, d) @ self.out.T).reshape(h.shape)
@@ -278,8 +296,8 @@ class Attention:
         gx = (gkv @ self.qkv[:, d:].T).reshape(x.shape)
         gx[:, CONTEXT:] += gh + (gq.reshape(-1, d) @ self.qkv[:, :d].T).reshape(own.shape)
         out["place"] = gx.sum(0)
-        out["embed"] = np.zeros_like(self.embed)
-        np.add.at(out["embed"], inputs.reshape(-1), gx.reshape(-1, d))
+        cells = inputs.reshape(-1, 1).astype(np.int64) * d + np.arange(d)
+        out["embed"] = np.bincount(cells.ravel(), gx.ravel(), self.embed.size).astype(np.float32).reshape(self.embed.shape)
         return out
 
     def packed(self) -> np.ndarray:

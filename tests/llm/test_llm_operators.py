@@ -361,6 +361,16 @@ def test_attention_gradients_and_causality():
     assert model.fit(inputs, targets, steps=60).log_probs(inputs, targets).sum() > before
 
 
+def test_attention_works_through_many_windows_in_parts():
+    r = np.random.default_rng(0)
+    model = lm_scoring.Attention(np.ones(lm_scoring.CLASSES))
+    inputs, targets, _ = lm_scoring.windows(r.integers(3, 20, 5_000).astype(np.int32), np.array([0, 70, 70, 5_000]))
+    assert len(inputs) > 3 * lm_scoring.AT_ONCE
+    got = model.log_probs(inputs, targets)
+    assert len(model.room) == lm_scoring.AT_ONCE * (lm_scoring.WINDOW - lm_scoring.CONTEXT)
+    assert np.allclose(got, np.concatenate([model.log_probs(inputs[i : i + 1], targets[i : i + 1]) for i in range(len(inputs))]), atol=1e-5)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_top_k(spark, small, monkeypatch):
     if small:
