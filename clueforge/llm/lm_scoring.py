@@ -17,14 +17,14 @@ two arrays of bounded size; the others are joined by their 64-bit hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clueforge.llm._text import mix, slices, utf8, word_hashes
+from clueforge.llm._text import hashed_words, mix, slices, utf8
 from clueforge.session import materialise
 
 #: Bytes of a subword, words and subwords in the vocabulary (the most frequent ones), classes with one unit, shared classes.
@@ -35,8 +35,8 @@ WINDOW, CONTEXT, WIDTH, STEPS, BATCH = 32, 8, 16, 400, 128
 SHARD, MOST_SHARDS, ROUNDS, RATE = 16_384, 256, 2, 0.005
 #: Commonest units before and after which a unit is counted to find its class, and rounds of the grouping.
 BESIDE, GROUPING = 24, 8
-#: Windows whose class probabilities are held at once, so that they stay in a core's cache.
-AT_ONCE = 64
+#: Windows whose class probabilities are held at once, in scoring and in training, so that they stay in a core's cache and its arrays in the heap.
+AT_ONCE, LEARNT_AT_ONCE = 64, 32
 #: Words that are broadcast with their counts, words counted together on the map side, and windows that are worked out together.
 FREQUENT, BUFFER, TOGETHER = 500_000, 4_000_000, 1_024
 
@@ -62,6 +62,31 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, breaks[np.searchsorted(breaks, starts, "right")] if len(starts) else starts
 
 
+class Places:
+    """Finds 64-bit hashes in a sorted array of them: their first bits lead to a run of few."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(1, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash, and whether it is there; where it isn't, the place is any."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int32), np.zeros(len(hashes), bool)
+        run = (hashes >> self.shift).astype(np.int64)
+        at, end = self.first.take(run), self.first.take(run + 1)
+        at = np.minimum(at, len(self.keys) - 1)
+        there = self.keys.take(at) == hashes
+        left = np.flatnonzero(~there & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            there[left] = self.keys.take(at[left]) == hashes[left]
+            left = left[~there[left] & (at[left] + 1 < end[left])]
+        return at, there
+
+
 def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The subwords of words as numbers, and how many each word has.
 
@@ -95,9 +120,9 @@ def counted_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = utf8(part.column(0))
-                words, _ = word_hashes(data, offsets, IS_WORD)
+                words, _, starts, ends = hashed_words(data, offsets, IS_WORD)
                 held[0].append(words)
-                held[1].append(pieces(data, *word_spans(data, offsets))[0])
+                held[1].append(pieces(data, starts, ends)[0])
                 rows += part.num_rows
                 size += len(words)
                 if size > BUFFER:
@@ -142,6 +167,7 @@ class Vocabulary:
         (wk, wn), (pk, pn) = words, parts
         order = np.argsort(wk.view(np.uint64), kind="stable")
         self.words, self.word_unit = wk.view(np.uint64)[order], (SPECIAL + order).astype(np.int32)
+        self.places = Places(self.words)
         order = np.argsort(pk, kind="stable")
         self.parts, self.part_unit = pk[order], (SPECIAL + len(wk) + order).astype(np.int32)
         # Subwords are counted over all words, but stand only for words outside the vocabulary.
@@ -168,13 +194,9 @@ class Vocabulary:
             out += np.where(k < (value >> 40 & 7), self.byte[value >> (8 * k) & 255], 0.0)
         return out
 
-    def units(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit ids of all texts with an END after each, how many come before each text (n + 1), and the log10 probability inside its class of each."""
-        data, offsets = utf8(part)
-        hashes, marks = word_hashes(data, offsets, IS_WORD)
-        starts, ends = word_spans(data, offsets)
-        at = np.minimum(np.searchsorted(self.words, hashes), max(0, len(self.words) - 1))
-        whole = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
+    def units(self, data: np.ndarray, hashes: np.ndarray, marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts as bytes and their `hashed_words`: unit ids of all with an END after each, how many come before each text (n + 1), and the log10 probability inside its class of each."""
+        at, whole = self.places.find(hashes)
         value, n = pieces(data, starts[~whole], ends[~whole])
         there = np.minimum(np.searchsorted(self.parts, value), max(0, len(self.parts) - 1))
         known = self.parts[there] == value if len(self.parts) else np.zeros(len(value), bool)
@@ -219,19 +241,36 @@ def n_windows(counts: np.ndarray) -> int:
     return int((-(-np.diff(counts) // (WINDOW - CONTEXT))).sum())
 
 
-_ONES = np.ones(CLASSES, np.float32)
+_ZEROS = np.zeros(WINDOW, np.float32)
+
 
+def _exponents(x: np.ndarray, bias: np.ndarray, again: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp of `x` in place, that of its columns' bias as their weights, the sum of each row so weighted, and what was taken off each row first: nothing.
 
-def _softmax(x: np.ndarray, share: np.ndarray | float = 1.0) -> np.ndarray:
-    """The softmax over the last axis in place, each row times its share."""
-    x -= x.max(-1, keepdims=True)
+    Where float32 doesn't hold these well, they are taken from `again()`, which
+    has the bias added, less the most of each row.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(x, out=x)
+        weight = np.exp(bias)
+        total = x @ weight
+    if not len(x) or weight.min() > 1e-24 and total.min() > 1e-12 and total.max() < 1e12:
+        return x, weight, total, 0.0
+    x = again()
+    most = x.max(-1)
+    x -= most[:, None]
     np.exp(x, out=x)
-    x *= (share / (x @ _ONES[: x.shape[-1]]))[..., None]
-    return x
+    weight = np.ones_like(weight)
+    return x, weight, x @ weight, most
 
 
 class Attention:
-    """One causal self-attention layer over class ids, with hand-written gradients."""
+    """One causal self-attention layer over class ids, with hand-written gradients.
+
+    Probabilities are held as exponents and their sums. The bias is a factor of
+    the columns and the sums of the rows are divided by in the narrow arrays
+    that follow, so the widest array is passed over as seldom as can be.
+    """
 
     NAMES = ("embed", "place", "qkv", "out", "head", "bias")
 
@@ -243,72 +282,94 @@ class Attention:
         self.head, self.bias = r.normal(0, 0.05, (d, CLASSES)).astype(np.float32), np.log(prior / prior.sum()).astype(np.float32)
         late = np.arange(WINDOW)[None, :] > np.arange(CONTEXT, WINDOW)[:, None]
         self.mask = np.where(late, np.float32(-1e9), np.float32(0))
+        self.cells = np.arange(CLASSES * d).reshape(CLASSES, d)
         self.room = np.empty((0, CLASSES), np.float32)
 
     def forward(self, inputs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What the gradients need; last the hidden values and, without the bias, the logits."""
         d = WIDTH
-        x = self.embed[inputs] + self.place
-        kv = x.reshape(-1, d) @ self.qkv[:, d:]
-        kv = kv.reshape(len(inputs), WINDOW, 2 * d)
+        x = self.embed.take(inputs, 0)
+        x += self.place
+        own = x[:, CONTEXT:].reshape(-1, d)
+        kv = (x.reshape(-1, d) @ self.qkv[:, d:]).reshape(len(inputs), WINDOW, 2 * d)
         k, v = kv[..., :d], kv[..., d:]
-        own = x[:, CONTEXT:]
-        q = (own.reshape(-1, d) @ (self.qkv[:, :d] * np.float32(d**-0.5))).reshape(own.shape)
+        q = (own @ (self.qkv[:, :d] * np.float32(d**-0.5))).reshape(len(inputs), -1, d)
         weight = q @ k.transpose(0, 2, 1)
         weight += self.mask
-        _softmax(weight)
-        mixed = weight @ v
-        h = own + (mixed.reshape(-1, d) @ self.out).reshape(own.shape)
+        weight, _, total, _ = _exponents(weight.reshape(-1, WINDOW), _ZEROS, lambda: (q @ k.transpose(0, 2, 1) + self.mask).reshape(-1, WINDOW))
+        weight, share = weight.reshape(len(inputs), -1, WINDOW), (1 / total)[:, None]
+        mixed = (weight @ v).reshape(-1, d)
+        mixed *= share
+        h = mixed @ self.out
+        h += own
         # The largest array by far: its memory is used again by the next call.
-        if len(self.room) < h.size // d:
-            self.room = np.empty((h.size // d, CLASSES), np.float32)
-        logits = np.matmul(h.reshape(-1, d), self.head, out=self.room[: h.size // d])
-        logits += self.bias
-        return x, own, q, k, v, weight, mixed, h, logits
+        if len(self.room) < len(h):
+            self.room = np.empty((len(h), CLASSES), np.float32)
+        logits = np.matmul(h, self.head, out=self.room[: len(h)])
+        return x, own, q, k, v, weight, share, mixed, h, logits
 
     def log_probs(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the targets; 0 where there is none."""
         out = np.zeros(targets.shape)
         for low in range(0, len(inputs), AT_ONCE):
             goal = targets[low : low + AT_ONCE].reshape(-1)
-            logits = self.forward(inputs[low : low + AT_ONCE])[-1]
-            logits -= logits.max(-1, keepdims=True)
-            picked = logits[np.arange(len(goal)), np.maximum(goal, 0)]
-            np.exp(logits, out=logits)
-            out[low : low + AT_ONCE] = np.where(goal >= 0, picked - np.log(logits @ _ONES), 0.0).reshape(-1, targets.shape[1])
+            class_of = np.maximum(goal, 0)
+            *_, h, logits = self.forward(inputs[low : low + AT_ONCE])
+            picked = logits.ravel()[np.arange(len(goal)) * CLASSES + class_of] + self.bias[class_of]
+            _, _, total, less = _exponents(logits, self.bias, lambda: h @ self.head + self.bias)  # noqa: B023
+            out[low : low + AT_ONCE] = np.where(goal >= 0, picked - less - np.log(total), 0.0).reshape(-1, targets.shape[1])
         return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean loss of the targets."""
+        each = np.float32(1 / max(1, (targets >= 0).sum()))
+        parts = [self._gradients(inputs[low : low + LEARNT_AT_ONCE], targets[low : low + LEARNT_AT_ONCE], each) for low in range(0, len(inputs), LEARNT_AT_ONCE)]
+        return {n: sum(p[n] for p in parts) for n in self.NAMES}
+
+    def _gradients(self, inputs: np.ndarray, targets: np.ndarray, each: np.float32) -> dict[str, np.ndarray]:
+        """Of the summed loss of the targets times `each`."""
         d = WIDTH
-        x, own, q, k, v, weight, mixed, h, logits = self.forward(inputs)
+        x, own, q, k, v, weight, share, mixed, h, logits = self.forward(inputs)
         goal = targets.reshape(-1)
-        share = (goal >= 0) / np.float32(max(1, (goal >= 0).sum()))
-        g = _softmax(logits, share)
-        g[np.arange(len(goal)), np.maximum(goal, 0)] -= share
-        out = {"head": h.reshape(-1, d).T @ g, "bias": np.ones(len(g), np.float32) @ g}
-        gh = (g @ self.head.T).reshape(h.shape)
-        out["out"] = mixed.reshape(-1, d).T @ gh.reshape(-1, d)
-        gm = (gh.reshape(-1, d) @ self.out.T).reshape(h.shape)
-        gw = gm @ v.transpose(0, 2, 1)
-        gs = weight * (gw - (gw * weight).sum(-1, keepdims=True))
-        gq, gk, gv = gs @ k * np.float32(d**-0.5), gs.transpose(0, 2, 1) @ q, weight.transpose(0, 2, 1) @ gm
-        gkv = np.concatenate([gk, gv], -1).reshape(-1, 2 * d)
-        out["qkv"] = np.concatenate([own.reshape(-1, d).T @ gq.reshape(-1, d), x.reshape(-1, d).T @ gkv], 1)
+        there, goal = goal >= 0, np.maximum(goal, 0)
+        # The gradient by a logit is wide * base * scale, once the target's share is taken off.
+        wide, base, total, _ = _exponents(logits, self.bias, lambda: h @ self.head + self.bias)
+        wide.ravel()[np.arange(len(goal)) * CLASSES + goal] -= total / base[goal]
+        scale = there * each / total
+        gh = wide @ (self.head * base).T
+        gh *= scale[:, None]
+        out = {"head": (h * scale[:, None]).T @ wide * base, "bias": scale @ wide * base, "out": mixed.T @ gh}
+        gm = gh @ self.out.T
+        gm *= share
+        less = (gm * mixed).sum(-1)
+        gm = gm.reshape(q.shape)
+        gs = gm @ v.transpose(0, 2, 1)
+        gs -= less.reshape(len(inputs), -1, 1)
+        gs *= weight
+        gq = (gs @ k).reshape(-1, d)
+        gq *= np.float32(d**-0.5)
+        gkv = np.empty((len(inputs), WINDOW, 2 * d), np.float32)
+        np.matmul(gs.transpose(0, 2, 1), q, out=gkv[..., :d])
+        np.matmul(weight.transpose(0, 2, 1), gm, out=gkv[..., d:])
+        gkv = gkv.reshape(-1, 2 * d)
+        out["qkv"] = np.concatenate([own.T @ gq, x.reshape(-1, d).T @ gkv], 1)
         gx = (gkv @ self.qkv[:, d:].T).reshape(x.shape)
-        gx[:, CONTEXT:] += gh + (gq.reshape(-1, d) @ self.qkv[:, :d].T).reshape(own.shape)
+        gh += gq @ self.qkv[:, :d].T
+        gx[:, CONTEXT:] += gh.reshape(q.shape)
         out["place"] = gx.sum(0)
-        cells = inputs.reshape(-1, 1).astype(np.int64) * d + np.arange(d)
-        out["embed"] = np.bincount(cells.ravel(), gx.ravel(), self.embed.size).astype(np.float32).reshape(self.embed.shape)
+        out["embed"] = np.bincount(self.cells.take(inputs, 0).ravel(), gx.ravel(), self.embed.size).astype(np.float32).reshape(self.embed.shape)
         return out
 
     def packed(self) -> np.ndarray:
         """All weights as one array."""
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
 
-    def unpacked(self, weights: np.ndarray) -> "Attention":
+    def unpacked(self, weights: np.ndarray, copy: bool = True) -> "Attention":
+        """This with those weights; without a copy they stay parts of that (float32) array."""
         at = 0
         for name in self.NAMES:
             old = getattr(self, name)
-            setattr(self, name, weights[at : at + old.size].reshape(old.shape).astype(np.float32))
+            setattr(self, name, weights[at : at + old.size].reshape(old.shape).astype(np.float32, copy=copy))
             at += old.size
         return self
 
@@ -316,18 +377,19 @@ class Attention:
         """Adam over batches of windows in random order."""
         r = np.random.default_rng(seed)
         order = np.empty(0, np.int64)
-        state = {n: (np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))) for n in self.NAMES}
+        weights = self.packed()
+        m, s = np.zeros_like(weights), np.zeros_like(weights)
+        self.unpacked(weights, copy=False)
         for step in range(1, steps + 1 if len(inputs) else 1):
             # Without replacement, pass by pass, so that every window takes part.
             if len(order) < min(batch, len(inputs)):
                 order = np.concatenate([order, r.permutation(len(inputs))])
             some, order = order[:batch], order[batch:]
-            for name, g in self.gradients(inputs[some], targets[some]).items():
-                m, s = state[name]
-                m += 0.1 * (g - m)
-                s += 0.01 * (g * g - s)
-                value = getattr(self, name)
-                value -= (rate * min(1, 2 - 2 * step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            found = self.gradients(inputs[some], targets[some])
+            g = np.concatenate([found[n].ravel() for n in self.NAMES])
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            weights -= (rate * min(1, 2 - 2 * step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
 
@@ -339,7 +401,8 @@ def _unit_windows(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) ->
     """Keys, inputs and targets of all windows of rows (key, text); a key depends on the row and the window's place in it."""
     for batch in batches:
         for part in slices(batch, "text", 1_000_000):
-            ids, firsts, _ = vocabulary.units(part.column(1))
+            data, offsets = utf8(part.column(1))
+            ids, firsts, _ = vocabulary.units(data, *hashed_words(data, offsets, IS_WORD))
             keys = np.asarray(part.column(0)).view(np.uint64)
             first = np.concatenate([[0], np.cumsum(-(-np.diff(firsts) // (WINDOW - CONTEXT)))])
             for low in range(0, n_windows(firsts), 16 * TOGETHER):
@@ -464,14 +527,15 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     return {"words": words, "N": int(total["n"]), "V": int(total["v"]), "keys": keys.view(np.uint64)[order], "counts": n.astype(np.int64)[order], "vocabulary": vocabulary, "attention": attention}
 
 
-def text_scores(part: pa.Array, vocabulary: Vocabulary, attention: Attention) -> np.ndarray:
-    """The model's log10 probability of each text; a long one is worked through TOGETHER windows at a time."""
-    ids, firsts, inside = vocabulary.units(part)
-    total = np.add.reduceat(inside, firsts[:-1]) if len(part) else np.zeros(0)
+def text_scores(data: np.ndarray, hashed: tuple[np.ndarray, ...], vocabulary: Vocabulary, attention: Attention) -> np.ndarray:
+    """The model's log10 probability of each text, given as bytes and their `hashed_words`; a long one is worked through TOGETHER windows at a time."""
+    ids, firsts, inside = vocabulary.units(data, *hashed)
+    n = len(firsts) - 1
+    total = np.add.reduceat(inside, firsts[:-1]) if n else np.zeros(0)
     cls = vocabulary.cls[ids]
     for low in range(0, n_windows(firsts), TOGETHER):
         inputs, targets, owner = windows(cls, firsts, low, low + TOGETHER)
-        total += np.bincount(owner, attention.log_probs(inputs, targets).sum(-1, dtype=np.float64), len(part)) / np.log(10.0)
+        total += np.bincount(owner, attention.log_probs(inputs, targets).sum(-1, dtype=np.float64), n) / np.log(10.0)
     return total
 
 
@@ -483,27 +547,27 @@ def score(docs: DataFrame, model: dict, held_out: Column, doc_id: str = "doc_id"
     spelled one. Other columns are not read.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast({k: v for k, v in model.items() if k != "words"})
+    shared = spark.sparkContext.broadcast({k: v for k, v in model.items() if k not in ("words", "keys")} | {"places": Places(model["keys"])})
     dtype = docs.schema[doc_id].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m = shared.value
-        keys, counts, vocabulary, attention = m["keys"], m["counts"], m["vocabulary"], m["attention"]
+        places, counts, vocabulary, attention = m["places"], m["counts"], m["vocabulary"], m["attention"]
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
                 data, offsets = utf8(part.column(2))
-                words, marks = word_hashes(data, offsets, IS_WORD)
-                words, marks = np.insert(words, marks[1:], END_HASH), marks + np.arange(len(marks))
-                at = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
-                found = keys[at] == words if len(keys) else np.zeros(len(words), bool)
-                c = np.where(found, counts[at] if len(keys) else 0, 0)
-                logs = np.where(found, np.log10((c + 1.0) / (m["N"] + m["V"] + 1.0)), 0.0)
+                hashed = hashed_words(data, offsets, IS_WORD)
+                total = text_scores(data, hashed, vocabulary, attention)
+                words, marks = np.insert(hashed[0], hashed[1][1:], END_HASH), hashed[1] + np.arange(len(offsets))
+                at, found = places.find(words)
+                c = counts[at[found]]
+                logs = np.zeros(len(words))
+                logs[found] = np.log10((c + 1.0) / (m["N"] + m["V"] + 1.0))
                 run, seen = np.concatenate([[0.0], np.cumsum(logs)]), np.concatenate([[0], np.cumsum(found)])
                 missing = np.concatenate([[0], np.cumsum(~found)])[marks]
-                total = text_scores(part.column(2), vocabulary, attention)
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -582,3 +582,63 @@ def test_lm_trains_on_every_window(spark):
     numbers = np.repeat(np.arange(1_000)[:, None], lm_scoring.WINDOW, 1)
     Watched(np.ones(lm_scoring.CLASSES)).fit(numbers, numbers, -(-1_000 // lm_scoring.BATCH))
     assert set(np.concatenate(met).tolist()) == set(range(1_000))
+
+
+def test_lm_training_works_through_a_batch_in_parts():
+    r = np.random.default_rng(0)
+    model = lm_scoring.Attention(r.uniform(1, 9, lm_scoring.CLASSES))
+    inputs, targets, _ = lm_scoring.windows(r.integers(3, 90, 5_000).astype(np.int32), np.array([0, 70, 70, 5_000]))
+    got = model.gradients(inputs[:130], targets[:130])
+    assert len(model.room) == lm_scoring.LEARNT_AT_ONCE * (lm_scoring.WINDOW - lm_scoring.CONTEXT)
+    share = (targets[:130] >= 0).sum(1) / (targets[:130] >= 0).sum()
+    each = [model.gradients(inputs[i : i + 1], targets[i : i + 1]) for i in range(130)]
+    for name in model.NAMES:
+        assert np.allclose(got[name], sum(s * g[name] for s, g in zip(share, each, strict=True)), atol=1e-6)
+
+
+@pytest.mark.parametrize("size", [1.0, 40.0, 4_000.0])
+def test_attention_of_any_size_of_weights(size):
+    r = np.random.default_rng(1)
+    model = lm_scoring.Attention(np.ones(lm_scoring.CLASSES))
+    model.head, model.bias, model.qkv = (np.float32(size) * r.normal(0, 0.1, x.shape).astype(np.float32) for x in (model.head, model.bias, model.qkv))
+    inputs, targets, _ = lm_scoring.windows(r.integers(3, 90, 700).astype(np.int32), np.array([0, 70, 70, 700]))
+    x, d, context = model.embed.astype(float)[inputs] + model.place, lm_scoring.WIDTH, lm_scoring.CONTEXT
+    q, k, v = (x @ model.qkv[:, i * d : (i + 1) * d].astype(float) for i in range(3))
+
+    def softmax(x):
+        x = np.exp(x - x.max(-1, keepdims=True))
+        return x / x.sum(-1, keepdims=True)
+
+    weight = softmax(q[:, context:] @ k.transpose(0, 2, 1) / math.sqrt(d) + model.mask)
+    h = x[:, context:] + weight @ v @ model.out
+    logits = h @ model.head.astype(float) + model.bias
+    logs = logits - logits.max(-1, keepdims=True)
+    logs -= np.log(np.exp(logs).sum(-1, keepdims=True))
+    want = np.where(targets >= 0, np.take_along_axis(logs, np.maximum(targets, 0)[..., None], -1)[..., 0], 0)
+    assert np.allclose(model.log_probs(inputs, targets), want, rtol=2e-3, atol=2e-4)
+    g = np.where(targets[..., None] >= 0, np.exp(logs) - np.eye(lm_scoring.CLASSES)[np.maximum(targets, 0)], 0) / (targets >= 0).sum()
+    got = model.gradients(inputs, targets)
+    assert all(np.isfinite(x).all() for x in got.values())
+    assert np.allclose(got["bias"], g.sum((0, 1)), atol=2e-4) and np.allclose(got["head"], np.einsum("wpd,wpc->dc", h, g), atol=2e-4 * max(1, np.abs(h).max()))
+
+
+def test_places_of_hashes():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 1_000):
+        keys = np.unique(np.concatenate([r.integers(0, 1 << 64, n, np.uint64), np.array([0, 5, 6, (1 << 64) - 1], np.uint64)[: n // 2]]))
+        values = np.concatenate([keys, keys + np.uint64(1), r.integers(0, 1 << 64, 500, np.uint64)])
+        at, there = lm_scoring.Places(keys).find(values)
+        assert there.tolist() == np.isin(values, keys).tolist() and (keys[at[there]] == values[there]).all()
+
+
+def test_lm_hashes_each_text_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from clueforge.llm import _text
+
+    model = lm_scoring.train(spark.createDataFrame([(1, "a b a"), (2, "a c")], "doc_id long, text string"))
+    data, offsets = _text.utf8(pa.array(["A b", None, "zz  a", "  "]))
+    hashed = _text.hashed_words(data, offsets, lm_scoring.IS_WORD)
+    assert [bytes(data[a:b]) for a, b in zip(*hashed[2:], strict=True)] == [b"A", b"b", b"zz", b"a"]
+    monkeypatch.setattr(lm_scoring, "hashed_words", None)
+    assert (lm_scoring.text_scores(data, hashed, model["vocabulary"], model["attention"]) < 0).all()
