@@ -43,6 +43,8 @@ FREQUENT, BUFFER, TOGETHER = 500_000, 4_000_000, 1_024
 IS_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: The bits of a number that hold its first bytes, by their count.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(PIECE + 1)])
 
 #: Unit ids and class ids: 0 before a text, 1 its end, 2 subwords outside the vocabulary; then words and subwords by rank (units), single and shared classes (classes).
 BEGIN, END, UNKNOWN, SPECIAL = 0, 1, 2, 3
@@ -93,14 +95,17 @@ def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     A number holds the lower-cased bytes, their count, and whether the subword begins a word.
     """
     n = -(-(ends - starts) // PIECE)
-    word = np.repeat(np.arange(len(starts)), n)
-    within = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-    at = starts[word] + PIECE * within
-    size = np.minimum(ends[word] - at, PIECE)
-    value = size << 40 | (within == 0).astype(np.int64) << 44
-    for k in range(PIECE):
-        value |= np.where(k < size, _LOWER[data[np.minimum(at + k, len(data) - 1)]].astype(np.int64) << (8 * k), 0)
-    return value, n
+    if not len(n):
+        return np.empty(0, np.int64), n
+    first = np.cumsum(n) - n
+    within = np.arange(first[-1] + n[-1]) - np.repeat(first, n)
+    size = np.minimum(np.repeat(ends - starts, n) - PIECE * within, PIECE)
+    at = np.repeat(starts, n) + PIECE * within
+    # The eight bytes from each place on, as one number.
+    lower = np.zeros(len(data) + 8, np.uint8)
+    np.take(_LOWER, data, out=lower[: len(data)])
+    eight = np.ndarray(len(data), "<i8", lower, strides=(1,))
+    return eight[at] & _KEPT[size] | size << 40 | (within == 0).astype(np.int64) << 44, n
 
 
 def counted_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -170,6 +175,9 @@ class Vocabulary:
         self.places = Places(self.words)
         order = np.argsort(pk, kind="stable")
         self.parts, self.part_unit = pk[order], (SPECIAL + len(wk) + order).astype(np.int32)
+        hashes = mix(self.parts.view(np.uint64))
+        order = np.argsort(hashes)
+        self.part_places, self.placed_unit = Places(hashes[order]), self.part_unit[order]
         # Subwords are counted over all words, but stand only for words outside the vocabulary.
         outside = max(0.0, n_words - float(wn.sum())) / max(1.0, n_words)
         self.counts = np.concatenate([[0.0, n_texts + 1.0, outside * len(pk) + 1.0], wn.astype(float), outside * pn + 1e-9])
@@ -195,26 +203,29 @@ class Vocabulary:
         return out
 
     def units(self, data: np.ndarray, hashes: np.ndarray, marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts as bytes and their `hashed_words`: unit ids of all with an END after each, how many come before each text (n + 1), and the log10 probability inside its class of each."""
+        """Of texts as bytes and their `hashed_words`: unit ids of all with an END after each, how many come before each text (n + 1), and the subwords that are UNKNOWN in order."""
         at, whole = self.places.find(hashes)
-        value, n = pieces(data, starts[~whole], ends[~whole])
-        there = np.minimum(np.searchsorted(self.parts, value), max(0, len(self.parts) - 1))
-        known = self.parts[there] == value if len(self.parts) else np.zeros(len(value), bool)
-        unit = np.where(known, self.part_unit[there], UNKNOWN).astype(np.int32) if len(self.parts) else np.full(len(value), UNKNOWN, np.int32)
-        logs = np.where(known, self.inside[unit], 0.0)
-        logs[~known] = self.spelled(value[~known])
-        sizes = np.ones(len(hashes), np.int64)
-        sizes[~whole] = n
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        ids, inside = np.empty(int(first[-1]), np.int32), np.empty(int(first[-1]))
-        own = first[:-1][whole]
-        ids[own] = self.word_unit[at[whole]]
-        inside[own] = self.inside[ids[own]]
-        rest = np.ones(len(ids), bool)
-        rest[own] = False
-        ids[rest], inside[rest] = unit, logs
-        counts = first[marks]
-        return np.insert(ids, counts[1:], END), counts + np.arange(len(counts)), np.insert(inside, counts[1:], 0.0)
+        own, odd = np.flatnonzero(whole), np.flatnonzero(~whole)
+        value, n = pieces(data, starts.take(odd), ends.take(odd))
+        there, known = self.part_places.find(mix(value.view(np.uint64)))
+        unit = np.full(len(value), UNKNOWN, np.int32)
+        unit[known] = self.placed_unit[there[known]]
+        before = np.zeros(len(hashes) + 1, np.int64)
+        before[1:] = 1
+        before[odd + 1] = n
+        np.cumsum(before, out=before)
+        counts = before.take(marks) + np.arange(len(marks))
+        first = before[:-1] + np.repeat(np.arange(len(marks) - 1), np.diff(marks))
+        ids = np.full(int(counts[-1]), END, np.int32)
+        ids[first.take(own)] = self.word_unit.take(at.take(own))
+        ids[np.repeat(first.take(odd) - np.cumsum(n) + n, n) + np.arange(len(unit))] = unit
+        return ids, counts, value[~known]
+
+    def inside_classes(self, ids: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+        """The log10 probability of each unit inside its class; the UNKNOWN ones are spelled."""
+        inside = self.inside.take(ids)
+        inside[ids == UNKNOWN] = self.spelled(unknown)
+        return inside
 
 
 def windows(ids: np.ndarray, counts: np.ndarray, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,27 +252,12 @@ def n_windows(counts: np.ndarray) -> int:
     return int((-(-np.diff(counts) // (WINDOW - CONTEXT))).sum())
 
 
-_ZEROS = np.zeros(WINDOW, np.float32)
+_ONES = np.ones(CLASSES, np.float32)
 
 
-def _exponents(x: np.ndarray, bias: np.ndarray, again: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | float]:
-    """exp of `x` in place, that of its columns' bias as their weights, the sum of each row so weighted, and what was taken off each row first: nothing.
-
-    Where float32 doesn't hold these well, they are taken from `again()`, which
-    has the bias added, less the most of each row.
-    """
-    with np.errstate(over="ignore", invalid="ignore"):
-        np.exp(x, out=x)
-        weight = np.exp(bias)
-        total = x @ weight
-    if not len(x) or weight.min() > 1e-24 and total.min() > 1e-12 and total.max() < 1e12:
-        return x, weight, total, 0.0
-    x = again()
-    most = x.max(-1)
-    x -= most[:, None]
-    np.exp(x, out=x)
-    weight = np.ones_like(weight)
-    return x, weight, x @ weight, most
+def _held(total: np.ndarray) -> bool:
+    """Whether float32 holds these sums of exponents well."""
+    return not len(total) or np.minimum.reduce(total) > 1e-12 and np.maximum.reduce(total) < 1e12
 
 
 class Attention:
@@ -282,6 +278,7 @@ class Attention:
         self.head, self.bias = r.normal(0, 0.05, (d, CLASSES)).astype(np.float32), np.log(prior / prior.sum()).astype(np.float32)
         late = np.arange(WINDOW)[None, :] > np.arange(CONTEXT, WINDOW)[:, None]
         self.mask = np.where(late, np.float32(-1e9), np.float32(0))
+        self.scales = np.where(np.arange(3 * d) < d, d**-0.5, 1.0).astype(np.float32)
         self.cells = np.arange(CLASSES * d).reshape(CLASSES, d)
         self.room = np.empty((0, CLASSES), np.float32)
 
@@ -291,13 +288,19 @@ class Attention:
         x = self.embed.take(inputs, 0)
         x += self.place
         own = x[:, CONTEXT:].reshape(-1, d)
-        kv = (x.reshape(-1, d) @ self.qkv[:, d:]).reshape(len(inputs), WINDOW, 2 * d)
-        k, v = kv[..., :d], kv[..., d:]
-        q = (own @ (self.qkv[:, :d] * np.float32(d**-0.5))).reshape(len(inputs), -1, d)
+        qkv = (x.reshape(-1, d) @ (self.qkv * self.scales)).reshape(len(inputs), WINDOW, 3 * d)
+        q, k, v = qkv[:, CONTEXT:, :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
         weight = q @ k.transpose(0, 2, 1)
         weight += self.mask
-        weight, _, total, _ = _exponents(weight.reshape(-1, WINDOW), _ZEROS, lambda: (q @ k.transpose(0, 2, 1) + self.mask).reshape(-1, WINDOW))
-        weight, share = weight.reshape(len(inputs), -1, WINDOW), (1 / total)[:, None]
+        with np.errstate(over="ignore"):
+            np.exp(weight, out=weight)
+            total = weight.reshape(-1, WINDOW) @ _ONES[:WINDOW]
+        if not _held(total):
+            weight = q @ k.transpose(0, 2, 1) + self.mask
+            weight -= weight.max(-1, keepdims=True)
+            np.exp(weight, out=weight)
+            total = weight.reshape(-1, WINDOW) @ _ONES[:WINDOW]
+        share = (1 / total)[:, None]
         mixed = (weight @ v).reshape(-1, d)
         mixed *= share
         h = mixed @ self.out
@@ -308,53 +311,81 @@ class Attention:
         logits = np.matmul(h, self.head, out=self.room[: len(h)])
         return x, own, q, k, v, weight, share, mixed, h, logits
 
+    def base(self) -> tuple[np.ndarray, bool]:
+        """The bias as a factor of the classes, and whether float32 holds it well."""
+        with np.errstate(over="ignore"):
+            base = np.exp(self.bias)
+        return base, bool(base.min() > 1e-24 and base.max() < 1e12)
+
+    def exponents(self, h: np.ndarray, logits: np.ndarray, base: np.ndarray, held: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | float]:
+        """exp of the logits in place, the factors of their classes, the sum of each row so weighted, and what was taken off each row first: nothing.
+
+        Where float32 doesn't hold these well, the factors are 1 and the bias is
+        added to the logits, less the most of each row.
+        """
+        if held:
+            with np.errstate(over="ignore"):
+                np.exp(logits, out=logits)
+                total = logits @ base
+            if _held(total):
+                return logits, base, total, 0.0
+        np.matmul(h, self.head, out=logits)
+        logits += self.bias
+        most = logits.max(-1)
+        logits -= most[:, None]
+        np.exp(logits, out=logits)
+        return logits, _ONES, logits @ _ONES, most
+
     def log_probs(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the targets; 0 where there is none."""
         out = np.zeros(targets.shape)
+        base = self.base()
         for low in range(0, len(inputs), AT_ONCE):
             goal = targets[low : low + AT_ONCE].reshape(-1)
             class_of = np.maximum(goal, 0)
             *_, h, logits = self.forward(inputs[low : low + AT_ONCE])
             picked = logits.ravel()[np.arange(len(goal)) * CLASSES + class_of] + self.bias[class_of]
-            _, _, total, less = _exponents(logits, self.bias, lambda: h @ self.head + self.bias)  # noqa: B023
+            _, _, total, less = self.exponents(h, logits, *base)
             out[low : low + AT_ONCE] = np.where(goal >= 0, picked - less - np.log(total), 0.0).reshape(-1, targets.shape[1])
         return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss of the targets."""
-        each = np.float32(1 / max(1, (targets >= 0).sum()))
-        parts = [self._gradients(inputs[low : low + LEARNT_AT_ONCE], targets[low : low + LEARNT_AT_ONCE], each) for low in range(0, len(inputs), LEARNT_AT_ONCE)]
+        each, base = np.float32(1 / max(1, (targets >= 0).sum())), self.base()
+        parts = [self._gradients(inputs[low : low + LEARNT_AT_ONCE], targets[low : low + LEARNT_AT_ONCE], each, *base) for low in range(0, len(inputs), LEARNT_AT_ONCE)]
         return {n: sum(p[n] for p in parts) for n in self.NAMES}
 
-    def _gradients(self, inputs: np.ndarray, targets: np.ndarray, each: np.float32) -> dict[str, np.ndarray]:
+    def _gradients(self, inputs: np.ndarray, targets: np.ndarray, each: np.float32, base: np.ndarray, held: bool) -> dict[str, np.ndarray]:
         """Of the summed loss of the targets times `each`."""
         d = WIDTH
         x, own, q, k, v, weight, share, mixed, h, logits = self.forward(inputs)
         goal = targets.reshape(-1)
-        there, goal = goal >= 0, np.maximum(goal, 0)
+        there, goal = goal >= 0, np.maximum(goal, 0).astype(np.intp)
         # The gradient by a logit is wide * base * scale, once the target's share is taken off.
-        wide, base, total, _ = _exponents(logits, self.bias, lambda: h @ self.head + self.bias)
-        wide.ravel()[np.arange(len(goal)) * CLASSES + goal] -= total / base[goal]
+        wide, base, total, _ = self.exponents(h, logits, base, held)
+        each_goal, flat = np.arange(0, wide.size, CLASSES) + goal, wide.ravel()
+        flat[each_goal] = flat.take(each_goal) - total / base.take(goal)
         scale = there * each / total
-        gh = wide @ (self.head * base).T
+        gh = wide @ np.ascontiguousarray((self.head * base).T)
         gh *= scale[:, None]
-        out = {"head": (h * scale[:, None]).T @ wide * base, "bias": scale @ wide * base, "out": mixed.T @ gh}
+        # In two halves, as BLAS is quicker on small products.
+        halves = (h * scale[:, None]).reshape(2, -1, d).transpose(0, 2, 1) @ wide.reshape(2, -1, CLASSES)
+        out = {"head": (halves[0] + halves[1]) * base, "bias": scale @ wide * base, "out": mixed.T @ gh}
         gm = gh @ self.out.T
         gm *= share
-        less = (gm * mixed).sum(-1)
+        less = (gm * mixed) @ _ONES[:d]
         gm = gm.reshape(q.shape)
         gs = gm @ v.transpose(0, 2, 1)
         gs -= less.reshape(len(inputs), -1, 1)
         gs *= weight
-        gq = (gs @ k).reshape(-1, d)
-        gq *= np.float32(d**-0.5)
-        gkv = np.empty((len(inputs), WINDOW, 2 * d), np.float32)
-        np.matmul(gs.transpose(0, 2, 1), q, out=gkv[..., :d])
-        np.matmul(weight.transpose(0, 2, 1), gm, out=gkv[..., d:])
-        gkv = gkv.reshape(-1, 2 * d)
-        out["qkv"] = np.concatenate([own.T @ gq, x.reshape(-1, d).T @ gkv], 1)
-        gx = (gkv @ self.qkv[:, d:].T).reshape(x.shape)
-        gh += gq @ self.qkv[:, :d].T
+        g = np.empty((len(inputs), WINDOW, 3 * d), np.float32)
+        g[:, :CONTEXT, :d] = 0
+        np.matmul(gs, k, out=g[:, CONTEXT:, :d])
+        np.matmul(gs.transpose(0, 2, 1), q, out=g[..., d : 2 * d])
+        np.matmul(weight.transpose(0, 2, 1), gm, out=g[..., 2 * d :])
+        g = g.reshape(-1, 3 * d)
+        out["qkv"] = x.reshape(-1, d).T @ g * self.scales
+        gx = (g @ (self.qkv * self.scales).T).reshape(x.shape)
         gx[:, CONTEXT:] += gh.reshape(q.shape)
         out["place"] = gx.sum(0)
         out["embed"] = np.bincount(self.cells.take(inputs, 0).ravel(), gx.ravel(), self.embed.size).astype(np.float32).reshape(self.embed.shape)
@@ -393,8 +424,8 @@ class Attention:
         return self
 
 
-#: A window as it is stored: its key, and the classes of its inputs and targets (128 of them; -1 is no target).
-_STORED = np.dtype([("key", np.uint64), ("inputs", np.int8, WINDOW), ("targets", np.int8, WINDOW - CONTEXT)])
+#: A window as it is stored: its key, and its units from the first input to the last target (17 bits each); BEGIN also where there is none.
+_STORED = np.dtype([("key", np.uint64), ("low", np.uint16, WINDOW + 1), ("high", np.uint8, WINDOW + 1)])
 
 
 def _unit_windows(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -417,15 +448,14 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _training_windows(docs: DataFrame, text: str, vocabulary: Vocabulary, shards: int) -> DataFrame:
-    """(shard, windows): all windows of all rows by class, dealt into shards by a hash of the row and the window's place; a row holds many."""
+    """(shard, windows): all windows of all rows by unit, dealt into shards by a hash of the row and the window's place; a row holds many."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, inputs, targets in _unit_windows(batches, shared.value):
-            cls = shared.value.cls
-            stored = np.empty(len(key), _STORED)
-            stored["key"], stored["inputs"] = mix(key), cls[inputs]
-            stored["targets"] = np.where(targets >= 0, cls[targets], -1)
+            stored, units = np.empty(len(key), _STORED), np.empty((len(key), WINDOW + 1), np.int32)
+            units[:, :CONTEXT + 1], units[:, CONTEXT + 1 :] = inputs[:, : CONTEXT + 1], np.maximum(targets, BEGIN)
+            stored["key"], stored["low"], stored["high"] = mix(key), units & 0xFFFF, units >> 16
             shard = (stored["key"] % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             used, at = np.unique(shard[order], return_index=True)
@@ -435,33 +465,41 @@ def _training_windows(docs: DataFrame, text: str, vocabulary: Vocabulary, shards
     return _keyed(docs, text).mapInArrow(dealt, "shard int, windows binary")
 
 
-def _unpacked_windows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and targets in the order of their keys."""
+def _unpacked_windows(rows: pa.Table | pa.RecordBatch, cls: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets in the order of their keys, by unit or by class; a target of -1 is none."""
     stored = np.frombuffer(b"".join(rows.column("windows").to_pylist()), _STORED)
     stored = stored[np.argsort(stored["key"], kind="stable")]
-    return stored["inputs"], stored["targets"]
+    units = stored["low"] | stored["high"].astype(np.int32) << 16
+    inputs, targets = units[:, :WINDOW], units[:, CONTEXT + 1 :]
+    # After an END there is nothing, and before a text only inputs are BEGIN.
+    inputs, none = np.where(inputs == END, BEGIN, inputs), targets == BEGIN
+    if cls is not None:
+        inputs, targets = cls.take(inputs), cls.take(targets)
+    return inputs, np.where(none, -1, targets)
 
 
-def _grouped(docs: DataFrame, text: str, vocabulary: Vocabulary) -> np.ndarray:
+def _grouped(stored: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """The class of each unit: units that stand beside the same common units share one.
 
-    All windows of all rows are counted. What is counted has at most 2 * BESIDE
-    rows for each unit of the vocabulary.
+    All stored windows are counted. What is counted has at most 2 * BESIDE rows
+    for each unit of the vocabulary.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    places_of = len(vocabulary.counts) * 2 * BESIDE
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(shared.value.counts) * 2 * BESIDE, np.int64)
-        for _, inputs, targets in _unit_windows(batches, shared.value):
-            last, following = inputs[:, CONTEXT:], np.concatenate([targets[:, 1:], np.full((len(targets), 1), -1)], 1)
-            for other, shift in ((last, 0), (following, BESIDE)):
-                hit = (targets >= SPECIAL + SINGLE) & (other >= SPECIAL) & (other < SPECIAL + BESIDE)
-                places, n = np.unique(targets[hit].astype(np.int64) * (2 * BESIDE) + other[hit] - SPECIAL + shift, return_counts=True)
-                counts[places] += n
+        counts = np.zeros(places_of, np.int64)
+        for batch in batches:
+            for part in slices(batch, "windows"):
+                inputs, targets = _unpacked_windows(part)
+                last, following = inputs[:, CONTEXT:], np.concatenate([targets[:, 1:], np.full((len(targets), 1), -1)], 1)
+                for other, shift in ((last, 0), (following, BESIDE)):
+                    hit = (targets >= SPECIAL + SINGLE) & (other >= SPECIAL) & (other < SPECIAL + BESIDE)
+                    places, n = np.unique(targets[hit].astype(np.int64) * (2 * BESIDE) + other[hit] - SPECIAL + shift, return_counts=True)
+                    counts[places] += n
         places = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(counts[places])], names=["place", "n"])
 
-    got = _keyed(docs, text).mapInArrow(beside, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    got = stored.select("windows").mapInArrow(beside, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     n_units = len(vocabulary.counts)
     cls = np.where(np.arange(n_units) < SPECIAL + SINGLE, np.arange(n_units), 0)
     x = np.zeros(n_units * 2 * BESIDE, np.float32)
@@ -487,16 +525,16 @@ def learned(docs: DataFrame, text: str, vocabulary: Vocabulary, about: float) ->
     then trains a copy on all of its windows, and the copies are averaged.
     """
     shards = int(min(MOST_SHARDS, max(1, -(-about // SHARD))))
-    vocabulary.group(_grouped(docs, text, vocabulary))
     stored = materialise(_training_windows(docs, text, vocabulary, shards), "windows")
-    prior = vocabulary.prior
+    vocabulary.group(_grouped(stored, vocabulary))
+    prior, cls = vocabulary.prior, vocabulary.cls.astype(np.int8)
     attention = Attention(prior)
 
     def averaged(rows: DataFrame, weights: np.ndarray, steps: int | None, rate: float, seed: int) -> None:
         """The mean of the copies that the shards of some rows train from these weights, by their windows."""
 
         def trained(one: pa.Table) -> pa.Table:
-            inputs, targets = _unpacked_windows(one)
+            inputs, targets = _unpacked_windows(one, cls)
             own = Attention(prior).unpacked(weights).fit(inputs, targets, -(-len(inputs) // BATCH) if steps is None else steps, rate=rate, seed=seed)
             return pa.table({"shard": one.column("shard").slice(0, 1), "n": pa.array([len(inputs)], pa.int64()), "weights": pa.array([own.packed().astype(np.float32).tobytes()], pa.binary())})
 
@@ -529,9 +567,9 @@ def train(docs: DataFrame, text: str = "text") -> dict:
 
 def text_scores(data: np.ndarray, hashed: tuple[np.ndarray, ...], vocabulary: Vocabulary, attention: Attention) -> np.ndarray:
     """The model's log10 probability of each text, given as bytes and their `hashed_words`; a long one is worked through TOGETHER windows at a time."""
-    ids, firsts, inside = vocabulary.units(data, *hashed)
+    ids, firsts, unknown = vocabulary.units(data, *hashed)
     n = len(firsts) - 1
-    total = np.add.reduceat(inside, firsts[:-1]) if n else np.zeros(0)
+    total = np.add.reduceat(vocabulary.inside_classes(ids, unknown), firsts[:-1]) if n else np.zeros(0)
     cls = vocabulary.cls[ids]
     for low in range(0, n_windows(firsts), TOGETHER):
         inputs, targets, owner = windows(cls, firsts, low, low + TOGETHER)
@@ -547,14 +585,14 @@ def score(docs: DataFrame, model: dict, held_out: Column, doc_id: str = "doc_id"
     spelled one. Other columns are not read.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast({k: v for k, v in model.items() if k not in ("words", "keys")} | {"places": Places(model["keys"])})
+    logs_of = np.log10((model["counts"] + 1.0) / (model["N"] + model["V"] + 1.0))
+    shared = spark.sparkContext.broadcast((Places(model["keys"]), logs_of, model["vocabulary"], model["attention"]))
     dtype = docs.schema[doc_id].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        m = shared.value
-        places, counts, vocabulary, attention = m["places"], m["counts"], m["vocabulary"], m["attention"]
+        places, logs_of, vocabulary, attention = shared.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
@@ -563,9 +601,8 @@ def score(docs: DataFrame, model: dict, held_out: Column, doc_id: str = "doc_id"
                 total = text_scores(data, hashed, vocabulary, attention)
                 words, marks = np.insert(hashed[0], hashed[1][1:], END_HASH), hashed[1] + np.arange(len(offsets))
                 at, found = places.find(words)
-                c = counts[at[found]]
                 logs = np.zeros(len(words))
-                logs[found] = np.log10((c + 1.0) / (m["N"] + m["V"] + 1.0))
+                logs[found] = logs_of[at[found]]
                 run, seen = np.concatenate([[0.0], np.cumsum(logs)]), np.concatenate([[0], np.cumsum(found)])
                 missing = np.concatenate([[0], np.cumsum(~found)])[marks]
                 n = part.num_rows
