@@ -385,10 +385,11 @@ class Attention:
         np.matmul(weight.transpose(0, 2, 1), gm, out=g[..., 2 * d :])
         g = g.reshape(-1, 3 * d)
         out["qkv"] = x.reshape(-1, d).T @ g * self.scales
-        gx = (g @ (self.qkv * self.scales).T).reshape(x.shape)
+        gx = (g @ np.ascontiguousarray((self.qkv * self.scales).T)).reshape(x.shape)
         gx[:, CONTEXT:] += gh.reshape(q.shape)
         out["place"] = gx.sum(0)
-        out["embed"] = np.bincount(self.cells.take(inputs, 0).ravel(), gx.ravel(), self.embed.size).astype(np.float32).reshape(self.embed.shape)
+        out["embed"] = np.zeros_like(self.embed)
+        np.add.at(out["embed"].ravel(), self.cells.take(inputs, 0).ravel(), gx.ravel())
         return out
 
     def packed(self) -> np.ndarray:
@@ -425,7 +426,7 @@ class Attention:
 
 
 #: A window as it is stored: its key, and its units from the first input to the last target (17 bits each); BEGIN also where there is none.
-_STORED = np.dtype([("key", np.uint64), ("low", np.uint16, WINDOW + 1), ("high", np.uint8, WINDOW + 1)])
+_STORED = np.dtype([("key", np.uint64), ("low", np.uint16, WINDOW + 1), ("high", np.uint8, WINDOW // 8 + 1)])
 
 
 def _unit_windows(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -454,8 +455,8 @@ def _training_windows(docs: DataFrame, text: str, vocabulary: Vocabulary, shards
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, inputs, targets in _unit_windows(batches, shared.value):
             stored, units = np.empty(len(key), _STORED), np.empty((len(key), WINDOW + 1), np.int32)
-            units[:, :CONTEXT + 1], units[:, CONTEXT + 1 :] = inputs[:, : CONTEXT + 1], np.maximum(targets, BEGIN)
-            stored["key"], stored["low"], stored["high"] = mix(key), units & 0xFFFF, units >> 16
+            units[:, : CONTEXT + 1], units[:, CONTEXT + 1 :] = inputs[:, : CONTEXT + 1], np.maximum(targets, BEGIN)
+            stored["key"], stored["low"], stored["high"] = mix(key), units & 0xFFFF, np.packbits(units > 0xFFFF, axis=1)
             shard = (stored["key"] % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             used, at = np.unique(shard[order], return_index=True)
@@ -469,7 +470,8 @@ def _unpacked_windows(rows: pa.Table | pa.RecordBatch, cls: np.ndarray | None =
     """Inputs and targets in the order of their keys, by unit or by class; a target of -1 is none."""
     stored = np.frombuffer(b"".join(rows.column("windows").to_pylist()), _STORED)
     stored = stored[np.argsort(stored["key"], kind="stable")]
-    units = stored["low"] | stored["high"].astype(np.int32) << 16
+    units = stored["low"].astype(np.int32)
+    units += np.unpackbits(stored["high"], axis=1, count=WINDOW + 1) * np.int32(1 << 16)
     inputs, targets = units[:, :WINDOW], units[:, CONTEXT + 1 :]
     # After an END there is nothing, and before a text only inputs are BEGIN.
     inputs, none = np.where(inputs == END, BEGIN, inputs), targets == BEGIN

@@ -642,3 +642,39 @@ def test_lm_hashes_each_text_once(spark, monkeypatch):
     assert [bytes(data[a:b]) for a, b in zip(*hashed[2:], strict=True)] == [b"A", b"b", b"zz", b"a"]
     monkeypatch.setattr(lm_scoring, "hashed_words", None)
     assert (lm_scoring.text_scores(data, hashed, model["vocabulary"], model["attention"]) < 0).all()
+
+
+def test_lm_windows_are_stored_by_unit(spark):
+    r = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(70_000)]
+    texts = [" ".join(words[i] for i in r.integers(0, 70_000, n)) for n in (0, 1, 23, 24, 25, 60, 200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    import pyarrow as pa
+
+    from clueforge.llm._text import utf8, word_hashes
+
+    keys = word_hashes(*utf8(pa.array([" ".join(words)])), lm_scoring.IS_WORD)[0].view(np.int64)
+    vocabulary = lm_scoring.Vocabulary((keys, np.arange(70_000)[::-1] + 1), (np.empty(0, np.int64), np.empty(0, np.int64)), 1e6, 7)
+    got = lm_scoring._unpacked_windows(lm_scoring._training_windows(docs, "text", vocabulary, 3).toArrow())
+    units = [[lm_scoring.SPECIAL + int(w[1:]) for w in t.split()] + [lm_scoring.END] for t in texts]
+    assert max(map(max, units)) > 1 << 16
+    ids, counts = np.array(sum(units, []), np.int32), np.concatenate([[0], np.cumsum([len(u) for u in units])])
+    want = lm_scoring.windows(ids, counts)[:2]
+    both = [sorted(np.concatenate(x, 1).tolist()) for x in (got, want)]
+    assert both[0] == both[1]
+    by_class = lm_scoring._unpacked_windows(lm_scoring._training_windows(docs, "text", vocabulary, 3).toArrow(), vocabulary.cls.astype(np.int8))
+    assert (by_class[0] == vocabulary.cls[got[0]]).all() and (by_class[1] == np.where(got[1] < 0, -1, vocabulary.cls[got[1]])).all()
+
+
+def test_subwords_of_words():
+    import pyarrow as pa
+
+    from clueforge.llm._text import hashed_words, utf8
+
+    texts = ["a", None, "Abcdefghijk ÜBER  x", " ", "zzzzz yyyyyy"]
+    data, offsets = utf8(pa.array(texts))
+    value, n = lm_scoring.pieces(data, *hashed_words(data, offsets, lm_scoring.IS_WORD)[2:])
+    parts = [[w.encode()[i : i + 5] for i in range(0, len(w.encode()), 5)] for t in texts for w in spaced(t)]
+    assert n.tolist() == [len(p) for p in parts]
+    assert value.tolist() == [sum(b << 8 * k for k, b in enumerate(p)) | len(p) << 40 | (i == 0) << 44 for w in parts for i, p in enumerate(w)]
+    assert [len(x) for x in lm_scoring.pieces(*(np.empty(0, t) for t in (np.uint8, np.int64, np.int64)))] == [0, 0]
