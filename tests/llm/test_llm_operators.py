@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -238,6 +239,36 @@ def test_jaccard_components(spark, empty, block, one_task, width, least, monkeyp
         assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that this session's shuffles have written so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+
+@pytest.mark.parametrize(("block", "at_once"), [(96, 90), (4, 1_000_000)])
+def test_jaccard_components_deals_out_no_texts(spark, block, at_once, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", at_once)
+    monkeypatch.setattr(jaccard_join, "OUTSIDE", 20_000)
+    rng, rows = random.Random(7), []
+    for family in range(8):
+        words = [f"{rng.randrange(10**9):x}" for _ in range(500)]
+        for copy in range(40):
+            own = list(words)
+            for place in rng.sample(range(500), rng.choice((2, 9, 9, 9))):  # of two copies some are linked and some are not
+                own[place] = f"{rng.randrange(10**9):x}"
+            rows.append((100 * family + copy, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before, small = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are not small
+    try:
+        got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert shuffled(spark) - before < 3 * sum(len(t) for _, t in rows)
+    assert got == brute_components(rows)
+
+
 def test_jaccard_components_without_ids_and_with_repeated_ids(spark):
     words = [f"w{i}" for i in range(60)]
     a, b, c = " ".join(words), " ".join([*words, "x", "y", "z", "q", "r"]), " ".join([*words[3:], "x", "y", "z", "q", "r"])
