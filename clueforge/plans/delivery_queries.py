@@ -276,12 +276,10 @@ SELECT user_id, event_id, value, (row_number() OVER (ORDER BY first) - 1) // {_D
 def st_pending_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     buffer = Pending(spark, L.scratch(spark, "pending"), "user_id long, event_id long, value double, at long", "user_id")
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
-    waiting = buffer.add(rows, ["at", "event_id"])
-    while waiting > 0:  # some runs, each of which takes what one build can
-        buffer.drain(_DRAIN)
-        waiting -= _DRAIN
-    first = buffer.drained().agg(F.min("run")).collect()[0][0] or 0
-    return buffer.drained().select("user_id", "event_id", "value", (F.col("run") - F.lit(first)).alias("build"))
+    buffer.add(rows, ["at", "event_id"])
+    out = materialise(buffer.drain_all(_DRAIN), "builds")
+    first = out.agg(F.min("run")).collect()[0][0] or 0
+    return out.select("user_id", "event_id", "value", (F.col("run") - F.lit(first)).alias("build"))
 
 
 @register("src_chat_incremental", "SELECT conv_id::VARCHAR AS key, turn + 1 AS id, role, text FROM conversations WHERE turn >= 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn) = 1")

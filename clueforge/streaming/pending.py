@@ -69,11 +69,24 @@ class Pending:
         self._commit(n + 1, rest.select(*rows.columns), out.select(*rows.columns))
         return self.drained().where(F.col("run") == n + 1).drop("run")
 
+    def drain_all(self, size: int) -> DataFrame:
+        """Take all rows out in runs of `size` (1 or more) rows, as repeated drains would, in one change."""
+        if size < 1:
+            raise ValueError("a run takes one row or more")
+        n, _ = self._last()
+        placed, waiting = numbered(self.waiting(), ["_batch", "_turn"], "_place")
+        runs = max(1, -(-waiting // size))
+        # The change has the number of its last run; a row's run is told by how far it is before that.
+        out = placed.withColumn("_run", F.floor(F.col("_place") / size).cast("long") - (runs - 1)).select(*self.columns, "_batch", "_turn", "_run")
+        self._commit(n + runs, self.waiting().limit(0), out)
+        return self.drained().where(F.col("run") > n)
+
     def drained(self) -> DataFrame:
         """All rows that were ever drained, with the number of their run."""
         marks = self._marks().where("drained is not null").select("n", "drained").collect() if self._last()[0] else []
-        parts = [self.spark.read.schema(self.schema).parquet(f"{self.place}/drained/{r['drained']}").withColumn("run", F.lit(r["n"])) for r in marks]
-        out = self.spark.createDataFrame([], f"{self.schema}, run long")
+        schema = f"{self.schema}, _run long"
+        parts = [self.spark.read.schema(schema).parquet(f"{self.place}/drained/{r['drained']}").withColumn("run", F.lit(r["n"]) + F.coalesce("_run", F.lit(0)).cast("long")) for r in marks]
+        out = self.spark.createDataFrame([], f"{schema}, run long")
         for part in parts:
             out = out.unionByName(part)
         return out.select(*self.columns, "run")

@@ -84,3 +84,33 @@ def test_a_change_without_its_mark_changes_nothing(spark, tmp_path, monkeypatch)
     assert buffer.waiting().count() == 2 and buffer.drained().count() == 0
     assert [r.trace for r in buffer.drain(1).collect()] == ["a"] and [r.trace for r in buffer.drain(5).collect()] == ["b"]
     assert buffer.drained().agg(F.count("*")).first()[0] == 2
+
+
+def test_all_runs_at_once_are_those_of_repeated_drains(spark, tmp_path):
+    schema = "trace string, at long"
+    rows = [(f"t{i * 7 % 23}", i) for i in range(40)]
+    one, all_runs = (Pending(spark, str(tmp_path / p), schema, "trace") for p in "ab")
+    for buffer in (one, all_runs):
+        buffer.add(spark.createDataFrame(rows, schema), ["at"])
+    while one.waiting().count():
+        one.drain(5)
+    expected = sorted(map(tuple, one.drained().collect()))
+    assert sorted(map(tuple, all_runs.drain_all(5).collect())) == expected
+    assert all_runs.waiting().count() == 0 and len({r for *_, r in expected}) == 5
+    for buffer in (one, all_runs):  # later rows have later runs
+        buffer.add(spark.createDataFrame([("late", 99)], schema), ["at"])
+        assert [r.trace for r in buffer.drain(5).collect()] == ["late"]
+    assert sorted(map(tuple, all_runs.drained().collect())) == sorted(map(tuple, one.drained().collect()))
+    assert all_runs.drain_all(5).count() == 0
+
+
+def test_pending_query_drains_in_few_jobs(spark, sf, tmp_path):
+    from clueforge import registry
+
+    spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id", "ts", "event_id AS user_id", "event_type", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    spark.sparkContext.setJobGroup("pending", "pending")
+    got = registry.queries()["st_pending_batch"](spark, str(tmp_path)).groupBy("build").count().collect()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("pending")) < 60
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r.build for r in got) == list(range(-(-n // 60))) and sum(r["count"] for r in got) == n
