@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from clueforge.sources.landing import scratch
+
 
 def event_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """The event files under `path` as a stream; times become instants in UTC.
@@ -72,11 +74,25 @@ def corroborated(events: DataFrame, hours: int = 48) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all there is and return what its sink holds; for results of bounded size."""
+    """Run a stream over all there is and return what its sink holds, a table in the shared folder; nothing of it passes the driver.
+
+    A batch that is repeated after a failure writes its rows anew. In complete mode
+    the last batch's rows are the result, in the others those of all batches.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    place = scratch(spark, name)
+    numbers: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/batch-{number}")
+        numbers.append(number)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not numbers:
+        return spark.createDataFrame([], stream.schema)
+    last = sorted(set(numbers))
+    return spark.read.schema(stream.schema).parquet(*[f"{place}/batch-{n}" for n in (last[-1:] if mode == "complete" else last)])
 
 
 def upsert(batch: DataFrame, target: DataFrame | None, key: list[str], order: str) -> DataFrame:

@@ -59,6 +59,16 @@ def test_stream_of_files_out_of_time_order(spark, sf, tmp_path, name):
     assert sorted(map(tuple, found.select(cols).collect())) == sorted(answer.fetchall())
 
 
+@pytest.mark.parametrize("name", ["st_dedup", "st_session"])
+def test_stream_results_do_not_pass_the_driver(spark, sf, monkeypatch, name):
+    written = []
+    writer = type(spark.readStream.schema("a long").parquet(sf).writeStream)
+    known = writer.format
+    monkeypatch.setattr(writer, "format", lambda self, source: written.append(source) or known(self, source))
+    assert registry.queries()[name](spark, sf).count() > 0
+    assert "memory" not in written
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
