@@ -269,6 +269,24 @@ def test_jaccard_components_deals_out_no_texts(spark, block, at_once, monkeypatc
     assert got == brute_components(rows)
 
 
+def test_near_copies_neither_sort_nor_lose_texts(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = [*families(5, 4, 6, 3), *((5000 + i, t) for i, (_, t) in enumerate(families(5, 4, 2, 3))), (1001, "another row of an id"), (1001, "another row of an id"), (None, "no id")]
+    docs = spark.createDataFrame([(d, t, "x", "y", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    broadcast = sorted(map(str, corpus_pipeline.near_copies(spark, docs, "").collect()))
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 1)
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.near_copies(spark, docs, "")
+        assert sorted(map(str, kept.collect())) == broadcast
+        plan = kept._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
 def test_jaccard_components_without_ids_and_with_repeated_ids(spark):
     words = [f"w{i}" for i in range(60)]
     a, b, c = " ".join(words), " ".join([*words, "x", "y", "z", "q", "r"]), " ".join([*words[3:], "x", "y", "z", "q", "r"])
